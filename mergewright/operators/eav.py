@@ -27,6 +27,8 @@ from ..functions.chars import plain, skeleton
 from ..session import parallelism
 
 MAX_COLUMNS = 2000
+#: Input rows per reduce task at most, on average.
+ROWS_PER_PARTITION = 200_000
 
 _INT = re.compile(r"([+\-−–]?)\s*(\d+)(?:[.,]0+)?(?![\d.,]*\d)[^\d]*")
 # Words that mean yes, no, or nothing at all.
@@ -141,12 +143,14 @@ def widen(items: DataFrame, attr_defs: DataFrame, entity: str = "id", text: str
     stamp = F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(2**63))) if version else F.lit(0).cast("long")
     rows = items.where(F.col(entity).isNotNull()).select(F.col(entity).cast("long"), stamp, F.col(text).cast("string")).rdd
     width = len(columns)
+    # the footers' row count sizes the reduce tasks, so that a task's registers fit its memory
+    partitions = max(parallelism(spark), -(-items.count() // ROWS_PER_PARTITION))
 
     def encode(pair: tuple) -> tuple:
         got = pair[1][1]
         return (pair[0], *(got[i][1] if i in got else None for i in range(width)))
 
-    wide = rows.mapPartitions(_cells(columns, slots)).combineByKey(_open, _add, _merge, numPartitions=parallelism(spark)).map(encode)
+    wide = rows.mapPartitions(_cells(columns, slots)).combineByKey(_open, _add, _merge, numPartitions=partitions).map(encode)
     return spark.createDataFrame(wide, schema, verifySchema=False)
 
 
