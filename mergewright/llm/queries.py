@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, mixing, tokens
+from . import components, mixing, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +48,25 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of each source."""
     return mixing.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "matches", "pair_id", "id1", "id2", "category")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Bundle of every record of matches: pair_id, bundle_id."""
+    return splits.bundles(_matches(spark, d), Scratch(spark, "p6")).select("pair_id", "bundle_id")
+
+
+@query("p6_splits")
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    """One split per record of matches."""
+    return splits.assign(_matches(spark, d), table(spark, d, "split_targets"), Scratch(spark, "p6"))
+
+
+@query("p6_shares")
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual and target shares of the splits, overall and per category."""
+    return splits.report(p6_splits(spark, d), table(spark, d, "split_targets"))
