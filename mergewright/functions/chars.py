@@ -13,8 +13,8 @@ import sys
 import unicodedata
 
 # Letters of Latin, Cyrillic and Greek with the same shape.
-LATIN = "ABCEHKMOPTXYaceopxyk"
-CYRILLIC = "АВСЕНКМОРТХУасеорхук"
+LATIN = "ABCEËHKMOPTXYaceëopxyk"
+CYRILLIC = "АВСЕЁНКМОРТХУасеёорхук"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονκ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXovk"
 
