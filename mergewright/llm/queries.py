@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, mixing, splits, tokens
+from . import components, lookalike, mixing, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,20 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     """Actual and target shares of the splits, overall and per category."""
     return splits.report(p6_splits(spark, d), table(spark, d, "split_targets"))
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
+    return lookalike.repair_fields(items, table(spark, d, "brands", "brand"), Scratch(spark, "p5"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of current items in other characters: id, field."""
+    return _repaired(spark, d).where("size(findings) > 0").select("id", "field")
+
+
+@query("p5_repaired")
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Those fields in consistent form."""
+    return _repaired(spark, d)
