@@ -1,0 +1,220 @@
+"""Quantities recorded in different units, brought to base units.
+
+Method: units and their spellings are nodes of a graph whose edges are affine
+conversions (value * a + b), inverses included. Shortest compositions from every
+spelling to the base unit of its kind are computed once; every edge outside the
+search trees closes a cycle and must agree with the composition along the trees.
+Mentions of quantities are read from the text in one pass and converted by an
+equi-join on their unit.
+
+Scale: one narrow pass over the items; what is shuffled is a short list of
+mentions per item. The conversions are a table of spellings bounded by
+``MAX_NODES``, checked, hence broadcast.
+
+What counts as the item's own: a number with a unit in the name unless a limit
+or another thing is named before it; an attribute value that is a number with a
+unit, or a number whose key names the unit, unless the key speaks of packaging,
+loads, areas, box dimensions and the like.
+
+Defined results: null, blank or unreadable fields state nothing; the current row
+of an id counts, ties on ``updated_at`` are merged; equal quantities of an item
+are one row; a null id is left out; units missing from the table of units are
+ignored; empty tables give an empty table. Texts of any length are read whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import chars
+from ..functions.attrs import entries
+
+MAX_NODES = 5_000
+Affine = tuple[float, float]
+
+# Spellings of units, without dots, spaces and middle dots.
+SPELLINGS = {
+    "g": "g gr gram grams gramme г гр грамм грамма граммов граммы",
+    "kg": "kg kilo kilogram kilograms кг кило килограмм килограмма килограммов килограммы",
+    "oz": "oz ounce ounces унция унции унций",
+    "lb": "lb lbs pound pounds фунт фунта фунтов",
+    "ml": "ml milliliter milliliters millilitre millilitres мл миллилитр миллилитра миллилитров",
+    "cl": "cl centiliter centiliters centilitre centilitres сл сантилитр сантилитра сантилитров",
+    "l": "l liter liters litre litres л литр литра литров",
+    "floz": "floz flozs fluidounce fluidounces жидкунция жидкунции жидкунций",
+    "mm": "mm millimeter millimeters millimetre millimetres мм миллиметр миллиметра миллиметров",
+    "cm": "cm centimeter centimeters centimetre centimetres см сантиметр сантиметра сантиметров",
+    "m": "m meter meters metre metres м метр метра метров",
+    "in": "in inch inches ″ дюйм дюйма дюймов",
+    "mb": "mb megabyte megabytes мб мегабайт мегабайта мегабайтов",
+    "gb": "gb gigabyte gigabytes гб гигабайт гигабайта гигабайтов",
+    "tb": "tb terabyte terabytes тб терабайт терабайта терабайтов",
+    "w": "w watt watts вт ватт ватта ваттов",
+    "kw": "kw kilowatt kilowatts квт киловатт киловатта киловаттов",
+    "hp": "hp horsepower лс лошсил лошсила",
+    "mah": "mah мач миллиамперчас",
+    "ah": "ah ач амперчас",
+}
+
+
+def _then(first: Affine, second: Affine) -> Affine:
+    """Composition: the first conversion, then the second."""
+    return first[0] * second[0], first[1] * second[0] + second[1]
+
+
+def compose(edges: list[tuple[str, str, float, float]], targets: list[str]) -> dict[tuple[str, str], Affine]:
+    """Shortest compositions from every node to each target of its component.
+
+    Raises ValueError if conversions round a cycle don't agree.
+    """
+    graph: dict[str, list[tuple[str, Affine]]] = {}
+    for u, v, a, b in edges:
+        if not a:
+            raise ValueError(f"conversion of {u} to {v} can't be inverted")
+        graph.setdefault(v, []).append((u, (a, b)))  # walked from the target: u is converted to v
+        graph.setdefault(u, []).append((v, (1 / a, -b / a)))
+    out: dict[tuple[str, str], Affine] = {}
+    for target in targets:
+        seen: dict[str, Affine] = {target: (1.0, 0.0)}
+        todo = deque([target])
+        while todo:
+            at = todo.popleft()
+            for node, step in graph.get(at, ()):
+                way = _then(step, seen[at])
+                if node not in seen:
+                    seen[node] = way
+                    todo.append(node)
+                elif any(abs(x - y) > 1e-6 * max(1e-9, abs(x), abs(y)) for x, y in zip(way, seen[node])):
+                    raise ValueError(f"conversions of {node} to {target} disagree: {way} and {seen[node]}")
+        out |= {(node, target): way for node, way in seen.items()}
+    return out
+
+
+def conversions(units: DataFrame) -> list[tuple[str, str, str, float, float]]:
+    """(spelling, kind, base, a, b) of every spelling of the table's units."""
+    rows = units.where("unit is not null and kind is not null and factor is not null").select("unit", "kind", "factor").distinct().limit(MAX_NODES + 1).collect()
+    if len(rows) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} units")
+    base: dict[str, str] = {}
+    for r in sorted(rows, key=lambda r: (abs(r["factor"] - 1.0), r["unit"])):
+        base.setdefault(r["kind"], r["unit"])
+    edges, spelled = [], {}
+    for r in rows:
+        unit = f"{r['kind']}:{r['unit']}"
+        if r["unit"] != base[r["kind"]]:
+            edges.append((unit, f"{r['kind']}:{base[r['kind']]}", float(r["factor"]), 0.0))
+        for s in SPELLINGS.get(r["unit"], r["unit"]).split():
+            edges.append((s, unit, 1.0, 0.0))
+            spelled[s] = r["kind"]
+    if len(edges) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} spellings")
+    ways = compose(edges, [f"{k}:{u}" for k, u in base.items()])
+    return [(s, k, base[k], *ways[s, f"{k}:{base[k]}"]) for s, k in sorted(spelled.items())]
+
+
+_SPELLED = sorted({s for v in SPELLINGS.values() for s in v.split()} - {"лс", "floz", "flozs", "жидкунция", "жидкунции", "жидкунций", "мач", "ач", "fluidounce", "fluidounces"}, key=len, reverse=True)
+_UNIT = r"(?:л\.?\s?с|fl\.?\s?oz|жидк\.?\s?унци[ийя]|м?а[·*.\- ]?ч|fluid ounces?|" + "|".join(map(re.escape, _SPELLED)) + r")(?![^\W_]|[²³])"
+_NUMBER = r"(?:\d{1,3}(?: \d{3})+|\d+)(?:[.,]\d+)?"
+_IN_NAME = re.compile(r"(?<![\w.,])(" + _NUMBER + r")\s?-?\s?(" + _UNIT + ")", re.I)
+_WHOLE = re.compile(r"\s*(" + _NUMBER + r")\s?(" + _UNIT + r")\.?\s*", re.I)
+_BARE = re.compile(r"\s*(" + _NUMBER + r")\s*")
+_KEY_UNIT = re.compile(r".*[,(]\s*(" + _UNIT + r")[.)]*\s*:?\s*", re.I)
+# Article codes, packs and sizes are no quantities, whatever letter follows.
+_CODE = re.compile(r"(?:(?<![^\W_])(?:[A-Z]{2}|[a-z]{2})([-/ ]?)|(?<![^\W_])[A-Za-z]{2}([-/])|^\s*[A-Z][a-z]([-/ ]?))\d{3,5}[A-Za-z](?![^\W_])")
+_SUFFIXES = frozenset({"II", "IV", "GO", "ii", "iv", "go"})
+_PACK = re.compile(r"(?<![^\W_])(?:из|of)\s\d{1,3}(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?\d{1,3}(?!\d)|(?<![\w.,])\d{1,3}\s?(?:шт|pcs|pieces|пар)(?:ук[аи]?|\.)?(?![^\W_])", re.I)
+_SIZE = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?\d{1,3}(?:[.,]\d)?(?!\d)|(?<![\w.,])\d{1,3}(?:[.,]\d)? (?:размер|size)(?![^\W_])", re.I)
+# A limit or another thing named right before the number.
+_LIMIT = re.compile(r"(?:(?<![^\W_])(?:до|от|свыше|более|менее|выше|ниже|под|to|from|over|under|above|below|least|most|than)|[её]мкост\w*|объ[её]мом|сет[ьи]|сетью|нагрузк\w*|loads?|mains|≤|≥|<|>)\s*:?\s*$", re.I)
+_NOT_OWN = re.compile(r"упаков|нагруз|габарит|площад|короб|комплект|описан|совмест|комнат|помещен|бонус|(?<![^\W_])год(?![^\W_])|(?<![^\W_])years?(?![^\W_])|артикул|партномер|код товара|температур|гарант|packag|packing|\bbox|dimension|\bload|\barea|\broom|compatib|\bsku|model|модел|серия|линейк|бренд|brand", re.I)
+
+
+def _squeezed(unit: str) -> str:
+    return re.sub(r"[\s.·*\-]", "", unit.lower())
+
+
+def _value(number: str) -> float:
+    return float(number.replace(" ", "").replace(",", "."))
+
+
+def name_mentions(name: str) -> list[tuple[float, str]]:
+    """(number, unit) of quantities that the name states of the item."""
+    text = chars.plain(name)
+    if not any(c.isdigit() for c in text):
+        return []
+    text = _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
+    text = _SIZE.sub(" ; ", _PACK.sub(" ; ", text))
+    return [(_value(m[1]), _squeezed(m[2])) for m in _IN_NAME.finditer(text) if not _LIMIT.search(text, max(0, m.start() - 40), m.start())]
+
+
+def key_unit(key: str) -> tuple[bool, str | None]:
+    """Whether a key's quantity is the item's own, and the unit the key names."""
+    k = chars.plain(key).lower()
+    if _NOT_OWN.search(k):
+        return False, None
+    m = _KEY_UNIT.fullmatch(k)
+    return True, _squeezed(m[1]) if m else None
+
+
+def attribute_mentions(text: str, keys: dict[str, tuple[bool, str | None]]) -> list[tuple[float, str]]:
+    """The same of the attributes. keys: remembers what keys say."""
+    out = []
+    for key, value in entries(text):
+        if value is None or isinstance(value, bool):
+            continue
+        known = keys.get(key)
+        if known is None:
+            if len(keys) > 100_000:
+                keys.clear()
+            known = keys[key] = key_unit(key)
+        if not known[0]:
+            continue
+        if isinstance(value, str):
+            # most values hold no digit at all
+            if not any(c.isdigit() for c in value):
+                continue
+            s = chars.plain(value)
+            if m := _WHOLE.fullmatch(s):
+                out.append((_value(m[1]), _squeezed(m[2])))
+            elif known[1] and (m := _BARE.fullmatch(s)):
+                out.append((_value(m[1]), known[1]))
+        elif known[1] and value == value and abs(value) < 1e15:
+            out.append((float(value), known[1]))
+    return out
+
+
+def mentions(items: DataFrame) -> DataFrame:
+    """(id, said: array of (number, unit)) of the current row of every item."""
+    stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
+    rows = items.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), stamp, F.col("name").cast("string"), F.col("attributes").cast("string"))
+    kind = pa.list_(pa.struct([("number", pa.float64()), ("unit", pa.string())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, tuple[bool, str | None]] = {}
+        for b in batches:
+            said = []
+            for name, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                got = name_mentions(name) if name else []
+                if text:
+                    got += attribute_mentions(text, keys)
+                said.append([{"number": n, "unit": u} for n, u in dict.fromkeys(got)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, kind)], ["id", "stamp", "said"])
+
+    read_ = rows.mapInArrow(read, "id long, stamp long, said array<struct<number: double, unit: string>>")
+    return read_.groupBy("id").agg(F.max_by("said", "stamp").alias("said"))
+
+
+def quantities(items: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, kind, amount): each quantity of each item in the kind's base unit."""
+    spark = items.sparkSession
+    table = spark.createDataFrame(conversions(units), "unit string, kind string, base string, a double, b double")
+    said = mentions(items).select("id", F.inline("said"))
+    # the equi-join on unit: the table is bounded by MAX_NODES
+    found = said.join(F.broadcast(table.select("unit", "kind", "a", "b")), "unit")
+    return found.select("id", "kind", F.round(F.col("number") * F.col("a") + F.col("b")).cast("long").alias("amount")).distinct()

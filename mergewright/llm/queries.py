@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, lookalike, mixing, splits, tokens
+from . import components, lookalike, mixing, quantities, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Those fields in consistent form."""
     return _repaired(spark, d)
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of current items in base units: id, kind, amount."""
+    items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
+    return quantities.quantities(items, table(spark, d, "units"))
