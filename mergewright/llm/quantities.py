@@ -145,7 +145,7 @@ def _value(number: str) -> float:
 
 def name_mentions(name: str) -> list[tuple[float, str]]:
     """(number, unit) of quantities that the name states of the item."""
-    text = chars.plain(name)
+    text = " ".join(chars.plain(name).split())
     if not any(c.isdigit() for c in text):
         return []
     text = _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
@@ -179,7 +179,7 @@ def attribute_mentions(text: str, keys: dict[str, tuple[bool, str | None]]) -> l
             # most values hold no digit at all
             if not any(c.isdigit() for c in value):
                 continue
-            s = chars.plain(value)
+            s = " ".join(chars.plain(value).split())
             if m := _WHOLE.fullmatch(s):
                 out.append((_value(m[1]), _squeezed(m[2])))
             elif known[1] and (m := _BARE.fullmatch(s)):
