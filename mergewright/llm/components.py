@@ -97,3 +97,22 @@ def connected_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
         final = composed
     least = final.groupBy("cluster").agg(F.min("vertex").alias("group_id"))
     return hot_split_join(final, least, "cluster", "inner").select(F.col("vertex").alias("id"), "group_id")
+
+
+def short_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, group_id) like ``connected_groups``, for groups of short diameter.
+
+    Least labels spread to neighbours until nothing changes: as many rounds as
+    the longest shortest path from a group's least id, one narrow join each.
+    """
+    arcs = scratch.save(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "arcs")
+    state = scratch.save(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    while True:
+        heard = arcs.join(state, "u").groupBy(F.col("v").alias("u")).agg(F.min("label").alias("new"))
+        merged = state.join(heard, "u").select("u", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved"))
+        nxt = scratch.save(merged, "labels")
+        scratch.drop(state)
+        state = nxt.select("u", "label")
+        state._scratch_path = nxt._scratch_path
+        if nxt.where("moved").isEmpty():
+            return state.select(F.col("u").alias("id"), F.col("label").alias("group_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, lookalike, mixing, quantities, splits, tokens
+from . import components, lookalike, mixing, overlap, quantities, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Quantities of current items in base units: id, kind, amount."""
     items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
     return quantities.quantities(items, table(spark, d, "units"))
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "p2")
+    pairs = [table(spark, d, t, "pair_id", "id1", "id2", "split_name", "source") for t in ("matches", "matches_llm")]
+    items = table(spark, d, "items", "id", "name", "attributes", "seller_id", "updated_at")
+    rows = overlap.records(*pairs)
+    return rows, overlap.overlaps(rows, overlap.same_listings(items, scratch), scratch)
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the training split and another one that join the same listings."""
+    return _overlaps(spark, d)[1].select("pair_id1", "pair_id2")
+
+
+@query("p2_report")
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping records per split and source."""
+    return overlap.report(*_overlaps(spark, d))
