@@ -8,8 +8,8 @@ over all texts. Brands spelled wholly in look-alike letters are recognised by
 the table of brands.
 
 Scale: one pass counts words and mixed runs, combined per task before the
-shuffle; the vocabulary test is an equi-join of distinct words; only fields that
-hold something suspicious are shuffled again. Brands are a bounded table
+shuffle, and sets apart the fields that hold something suspicious; the
+vocabulary test is an equi-join of distinct words; no other field is shuffled. Brands are a bounded table
 (``MAX_BRANDS``, checked).
 
 Defined results: null and empty fields are never reported; legitimate text comes
@@ -49,12 +49,8 @@ WIDE = re.compile("[Ａ-Ｚａ-ｚ０-９]")
 ACCENT = re.compile(f"[^\\W\\d_][{_MARKS}]")
 UNSEEN = re.compile(f"[{re.escape(_UNSEEN)}]|(?<![{_EMOJI}])‍")
 SPACE = re.compile(f"[{chars.SPACES}]")
-#: Anything that a field with a finding must hold (Java); brands are added.
-_SUSPICIOUS = (
-    f"[{_MARKS}{chars.SPACES}‍！-～" + "".join(f"\\x{{{ord(c):x}}}" for c in _UNSEEN) + "]"
-    "|[A-Za-zÀ-ɏ][Ͱ-ϿЀ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏͰ-Ͽ]|[Ͱ-Ͽ][A-Za-zÀ-ɏЀ-ԯ]"
-    "|\\\\u[0-9A-Fa-f]{4}"
-)
+#: Any character that folding changes or that is a finding by itself.
+ODD = re.compile(f"[{_MARKS}{chars.SPACES}‍！-～{re.escape(_UNSEEN + chars.INVISIBLE)}]")
 
 
 def disguised_brands(brands: list[str]) -> dict[str, str]:
@@ -116,34 +112,72 @@ def findings(text: str, brand: re.Pattern | None) -> list[str]:
     return out
 
 
-def word_table(texts: DataFrame) -> DataFrame:
-    """(word, n) of all texts (one string column), as folded lower-case runs;
-    mixed runs keep their letters' case."""
+def scan(items: DataFrame, fields: tuple[str, ...], disguised: dict[str, str]) -> DataFrame:
+    """One pass over all rows with two kinds of output.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind 0: (word, n, mixed), the words of all texts as folded lower-case runs;
+    mixed runs keep their letters' case. kind 1: (id, stamp, field, text,
+    findings, runs) of the fields that aren't in consistent form.
+    """
+    spelled = brand_pattern(disguised)
+    inner = f"(?<![^\\W\\d_])(?:{spelled})(?![^\\W\\d_])" if spelled else None
+    firsts = frozenset(w for b in disguised for w in chars.RUN.findall(b)[:1])
+    stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
+    rows = items.select(F.col("id").cast("long"), stamp, *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    texts = pa.list_(pa.string())
+    shape = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("mixed", pa.bool_()), ("id", pa.int64()), ("stamp", pa.int64()), ("field", pa.string()), ("text", pa.string()), ("findings", texts), ("runs", texts)])
+
+    def batch(height: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(height, f.type) for f in shape], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        brand = re.compile(inner) if inner else None
         seen: Counter = Counter()
+        pure: set[str] = set()
+        both: set[str] = set()
+        find, odd, is_mixed = chars.RUN.findall, ODD.search, chars.MIXED.search
 
         def flush() -> pa.RecordBatch:
             total: Counter = Counter()
             for w, n in seen.items():
                 if len(w) > 1:
-                    total[w if chars.MIXED.search(w) else w.lower()] += n
+                    total[w if w in both else w.lower()] += n
+            out = batch(len(total), kind=[0] * len(total), word=list(total), n=list(total.values()), mixed=[w in both for w in total])
             seen.clear()
-            words = list(total)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([bool(chars.MIXED.search(w)) for w in words], pa.bool_())], ["word", "n", "mixed"])
+            pure.clear()
+            both.clear()
+            return out
 
-        find = chars.RUN.findall
         for b in batches:
-            for column in b.columns:
-                for t in column.to_pylist():
-                    if t:
-                        seen.update(find(tidy(chars.unescape(t))))
+            ids, stamps = b.column(0).to_pylist(), b.column(1).to_pylist()
+            bad: list[tuple] = []
+            for name, column in zip(fields, b.columns[2:]):
+                for i, s, t in zip(ids, stamps, column.to_pylist()):
+                    if not t:
+                        continue
+                    if "\\u" in t:
+                        t = chars.unescape(t)
+                    strange = odd(t) is not None
+                    folded = tidy(t) if strange else t
+                    words = find(folded)
+                    seen.update(words)
+                    here = set(words)
+                    for w in here - pure:
+                        if w not in both:
+                            (both if is_mixed(w) else pure).add(w)
+                    runs = here & both
+                    if strange or runs or here & firsts:
+                        found = findings(t, brand)
+                        if (found or runs) and i is not None:
+                            bad.append((i, s, name, folded, found, sorted(runs)))
+            if bad:
+                i, s, f, t, x, r = map(list, zip(*bad))
+                yield batch(len(bad), kind=[1] * len(bad), id=i, stamp=s, field=f, text=t, findings=x, runs=r)
             if len(seen) > 300_000:
                 yield flush()
         yield flush()
 
-    counted = texts.mapInArrow(count, "word string, n long, mixed boolean")
-    return counted.groupBy("word", "mixed").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "kind int, word string, n long, mixed boolean, id long, stamp long, field string, text string, findings array<string>, runs array<string>")
 
 
 def repairs(words: DataFrame) -> DataFrame:
@@ -168,35 +202,14 @@ def repair_fields(items: DataFrame, brands: DataFrame, scratch: Scratch, fields:
     disguised = disguised_brands(names)
     spelled = brand_pattern(disguised)
     inner = f"(?<![^\\W\\d_])(?:{spelled})(?![^\\W\\d_])" if spelled else None
-
-    fix = scratch.save(repairs(scratch.save(word_table(items.select(*[F.col(f).cast("string") for f in fields])), "words")), "repairs")
+    scanned = scratch.save(scan(items, fields, disguised), "scan")
+    words = scanned.where("kind = 0").groupBy("word", "mixed").agg(F.sum("n").alias("n"))
+    fix = scratch.save(repairs(scratch.save(words, "words")), "repairs")
 
     stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
-    rows = items.where(F.col("id").isNotNull()).select("id", stamp.alias("stamp"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
-    current = rows.groupBy("id").agg(F.max("stamp").alias("stamp"))
-    doubtful = _SUSPICIOUS + (f"|{spelled}" if spelled else "")
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("text")) for i, f in enumerate(fields)])
-    bad = F.filter(each, lambda x: x["text"].rlike(doubtful))
-    fields_ = rows.select("id", "stamp", bad.alias("bad")).where(F.size("bad") > 0).select("id", "stamp", F.inline("bad"))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        brand = re.compile(inner) if inner else None
-        for b in batches:
-            ids, stamps, names_, texts = (c.to_pylist() for c in b.columns)
-            out = []
-            for i, s, f, t in zip(ids, stamps, names_, texts):
-                t = chars.unescape(t)
-                folded = tidy(t)
-                runs = mixed_runs(folded)
-                found = findings(t, brand)
-                if found or runs:
-                    out.append((i, s, f, folded, found, sorted(set(runs))))
-            cols = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "stamp", "field", "text", "findings", "runs"])
-
-    looked = fields_.mapInArrow(look, "id long, stamp long, field string, text string, findings array<string>, runs array<string>")
-    now = scratch.save(looked.join(current, ["id", "stamp"]).dropDuplicates(["id", "field"]).drop("stamp"), "doubtful")
+    current = items.where("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(stamp).alias("stamp"))
+    doubtful = scanned.where("kind = 1").select("id", "stamp", "field", "text", "findings", "runs")
+    now = scratch.save(doubtful.join(current, ["id", "stamp"]).dropDuplicates(["id", "field"]).drop("stamp"), "doubtful")
     wanted = now.select("id", "field", F.explode("runs").alias("run"))
     pairs = hot_split_join(wanted, fix, "run").groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("run", "repaired"))).alias("fix"))
 
