@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, lookalike, mixing, overlap, quantities, splits, tokens
+from . import components, lookalike, mixing, overlap, personal, quantities, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +115,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping records per split and source."""
     return overlap.report(*_overlaps(spark, d))
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal.scan(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "brands", "brand"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where personal information starts: doc_id, kind, start_at."""
+    return _personal(spark, d).select("doc_id", F.inline("findings"))
+
+
+@query("p10_redacted")
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with placeholders."""
+    return _personal(spark, d).select("doc_id", "text")
