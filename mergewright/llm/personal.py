@@ -133,7 +133,7 @@ _SURNAME = re.compile(r"[а-яё\-]{2,}(?:(?:[оеё]в|[иы]н)(?:а|у|ым|
 _SURNAME_LATIN = re.compile(r"[A-Za-z\-]{2,}(?:[oe]v|[iy]n|sky|skiy)a?", re.I)
 _TOKEN = re.compile(r"(?:[А-ЯЁ]\.\s?[А-ЯЁ]\.|[А-ЯЁ]\.|[A-Z]\.)|[А-ЯЁа-яё]+(?:-[А-ЯЁа-яё]+)*|[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿ]+)*")
 # A name follows: then a capital word beside a first name needs no shape.
-_NAMED = re.compile(r"(?:зовут|получатель:?|покупатель\w*|уважением,?|контакт:?|на имя|возврата:|клиент\w*:?|отправитель:?|regards,?|sincerely,?|gru(?:ß|ss),?|grüßen,?|name:?|name is|mr\.?|mrs\.?|ms\.?|herr|frau|dear)\s+$", re.I)
+_NAMED = re.compile(r"(?<!\w)(?:зовут|получатель:?|покупатель\w*|уважением,?|контакт:?|на имя|возврата:|клиент\w*:?|отправитель:?|regards,?|sincerely,?|gru(?:ß|ss),?|grüßen,?|name:?|name is|this is|mr\.?|mrs\.?|ms\.?|herr|frau|dear)\s+$", re.I)
 
 
 def _tag(tok: str, latin: bool) -> str:
@@ -154,7 +154,8 @@ _LATIN_SHAPES = ("FIS", "FIC", "FPS", "FS", "FC", "FF", "SF")
 _LATIN_NAMED = ("CIC", "CIS", "IC", "IS", "CI", "IF", "CF", "SC", "SS", "CC", "CS")
 
 
-def names(text: str, taken: list[tuple[int, int]], brands: frozenset[str], stems: tuple[tuple[str, ...], ...]) -> list[Finding]:
+def names(text: str, taken: list[tuple[int, int]]) -> list[Finding]:
+    """Names of persons outside the spans that are taken by something else."""
     toks = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     latin = [bool(re.match(r"[A-Za-zÀ-ÿ]", t)) for t, _, _ in toks]
     tags = [_tag(t, x) for (t, _, _), x in zip(toks, latin)]
@@ -165,9 +166,12 @@ def names(text: str, taken: list[tuple[int, int]], brands: frozenset[str], stems
             i += 1
             continue
         start = toks[i][1]
+        if any(a <= start < b for a, b in taken):
+            i += 1
+            continue
         # tokens that run on without anything but a space between them
         n = 1
-        while n < 3 and i + n < len(toks) and tags[i + n] and latin[i + n] == latin[i] and text[toks[i + n - 1][2] : toks[i + n][1]] in ("", " ", " "):
+        while n < 3 and i + n < len(toks) and tags[i + n] and not any(a <= toks[i + n][1] < b for a, b in taken) and latin[i + n] == latin[i] and text[toks[i + n - 1][2] : toks[i + n][1]] in ("", " ", " "):
             if text[toks[i + n - 1][2] : toks[i + n][1]] == "" and tags[i + n - 1] != "I":
                 break
             n += 1
@@ -179,23 +183,21 @@ def names(text: str, taken: list[tuple[int, int]], brands: frozenset[str], stems
         if not hit and named and latin[i] and n == 1 and text[toks[i][2] : toks[i][2] + 2] == ", " and i + 1 < len(toks) and tags[i + 1] == "F" and toks[i + 1][1] == toks[i][2] + 2:
             hit, end = 2, toks[i + 1][2]  # surname, first name
         if hit and not any(a < end and start < b for a, b in taken):
-            words = [t.lower() for t, _, _ in toks[i : i + hit]]
-            brand = " ".join(words) in brands or any(len(s) == hit and all(w.startswith(x) for w, x in zip(words, s)) for s in stems)
-            if not brand:
-                out.append(("name", start, end))
+            out.append(("name", start, end))
             i += hit
         else:
             i += 1
     return out
 
 
-def brand_stems(brands: list[str]) -> tuple[frozenset[str], tuple[tuple[str, ...], ...]]:
-    """Brands of several words, and their words without case endings."""
-    many = [b.lower().split() for b in brands if len(b.split()) > 1]
-    return frozenset(" ".join(b) for b in many), tuple(tuple(w[: max(3, len(w) - 1)] for w in b) for b in many)
+def brand_pattern(brands: list[str]) -> re.Pattern | None:
+    """Brands of several words, in any case form: they may look like names."""
+    many = [b.split() for b in brands if len(b.split()) > 1]
+    forms = [r"\s".join(re.escape(w[: max(3, len(w) - 1)]) + r"\w{0,3}" for w in b) for b in many]
+    return re.compile(r"(?<!\w)(?:" + "|".join(sorted(forms, key=len, reverse=True)) + r")(?!\w)", re.I) if forms else None
 
 
-def find(text: str, brands: frozenset[str] = frozenset(), stems: tuple[tuple[str, ...], ...] = ()) -> list[Finding]:
+def find(text: str, brands: re.Pattern | None = None) -> list[Finding]:
     """All findings in a text, in order, without overlaps."""
     found: list[Finding] = []
     if "@" in text or "＠" in text or "at" in text.lower() or "собака" in text.lower():
@@ -217,7 +219,9 @@ def find(text: str, brands: frozenset[str] = frozenset(), stems: tuple[tuple[str
         for p in (STREET_RU, STREET_EN, STREET_DE):
             found += [("address", m.start(), m.end()) for m in p.finditer(text)]
     taken = [(a, b) for _, a, b in found] + [m.span() for m in _STREET_ONLY.finditer(text)]
-    found += names(text, taken, brands, stems)
+    if brands:
+        taken += [m.span() for m in brands.finditer(text)]
+    found += names(text, taken)
     out: list[Finding] = []
     for f in sorted(found, key=lambda f: (f[1], -f[2])):
         if not out or f[1] >= out[-1][2]:
@@ -267,14 +271,14 @@ def scan(docs: DataFrame, brands: DataFrame, key: bytes = b"mergewright", doc: s
     rows = brands.select("brand").where("brand is not null").distinct().limit(MAX_BRANDS + 1).collect()
     if len(rows) > MAX_BRANDS:
         raise ValueError(f"more than {MAX_BRANDS} brands")
-    exact, stems = brand_stems([r[0] for r in rows])
+    spelled = brand_pattern([r[0] for r in rows])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start_at", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lists = [], []
             for t in b.column(1).to_pylist():
-                found = find(t, exact, stems) if t else []
+                found = find(t, spelled) if t else []
                 texts.append(redact(t, found, key) if found else t)
                 lists.append([{"kind": k, "start_at": a} for k, a, _ in found])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(lists, kind)], ["doc_id", "text", "findings"])
