@@ -51,7 +51,7 @@ SPELLINGS = {
     "mm": "mm millimeter millimeters millimetre millimetres мм миллиметр миллиметра миллиметров",
     "cm": "cm centimeter centimeters centimetre centimetres см сантиметр сантиметра сантиметров",
     "m": "m meter meters metre metres м метр метра метров",
-    "in": "in inch inches ″ дюйм дюйма дюймов",
+    "in": 'in inch inches ″ " ” дюйм дюйма дюймов',
     "mb": "mb megabyte megabytes мб мегабайт мегабайта мегабайтов",
     "gb": "gb gigabyte gigabytes гб гигабайт гигабайта гигабайтов",
     "tb": "tb terabyte terabytes тб терабайт терабайта терабайтов",
@@ -143,14 +143,32 @@ def _value(number: str) -> float:
     return float(number.replace(" ", "").replace(",", "."))
 
 
+def without_codes(text: str) -> str:
+    """The text without article codes."""
+    return _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
+
+
+def without_counts(text: str) -> str:
+    """The text without packs and sizes."""
+    return _SIZE.sub(" ; ", _PACK.sub(" ; ", text))
+
+
+def without_amounts(text: str) -> str:
+    """The text without numbers with a unit."""
+    return _IN_NAME.sub(" ; ", text)
+
+
+def mentions_of(text: str) -> list[tuple[float, str]]:
+    """(number, unit) of a cleaned text, but for limits and other things."""
+    return [(_value(m[1]), _squeezed(m[2])) for m in _IN_NAME.finditer(text) if not _LIMIT.search(text, max(0, m.start() - 40), m.start())]
+
+
 def name_mentions(name: str) -> list[tuple[float, str]]:
     """(number, unit) of quantities that the name states of the item."""
     text = " ".join(chars.plain(name).split())
     if not any(c.isdigit() for c in text):
         return []
-    text = _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
-    text = _SIZE.sub(" ; ", _PACK.sub(" ; ", text))
-    return [(_value(m[1]), _squeezed(m[2])) for m in _IN_NAME.finditer(text) if not _LIMIT.search(text, max(0, m.start() - 40), m.start())]
+    return mentions_of(without_counts(without_codes(text)))
 
 
 def key_unit(key: str) -> tuple[bool, str | None]:
@@ -162,6 +180,22 @@ def key_unit(key: str) -> tuple[bool, str | None]:
     return True, _squeezed(m[1]) if m else None
 
 
+def value_mentions(value: object, own: tuple[bool, str | None]) -> list[tuple[float, str]]:
+    """The quantity of an attribute's value, by what its key says."""
+    if isinstance(value, str):
+        # most values hold no digit at all
+        if not any(c.isdigit() for c in value):
+            return []
+        s = " ".join(chars.plain(value).split())
+        if m := _WHOLE.fullmatch(s):
+            return [(_value(m[1]), _squeezed(m[2]))]
+        if own[1] and (m := _BARE.fullmatch(s)):
+            return [(_value(m[1]), own[1])]
+    elif own[1] and value == value and abs(value) < 1e15:
+        return [(float(value), own[1])]
+    return []
+
+
 def attribute_mentions(text: str, keys: dict[str, tuple[bool, str | None]]) -> list[tuple[float, str]]:
     """The same of the attributes. keys: remembers what keys say."""
     out = []
@@ -173,19 +207,8 @@ def attribute_mentions(text: str, keys: dict[str, tuple[bool, str | None]]) -> l
             if len(keys) > 100_000:
                 keys.clear()
             known = keys[key] = key_unit(key)
-        if not known[0]:
-            continue
-        if isinstance(value, str):
-            # most values hold no digit at all
-            if not any(c.isdigit() for c in value):
-                continue
-            s = " ".join(chars.plain(value).split())
-            if m := _WHOLE.fullmatch(s):
-                out.append((_value(m[1]), _squeezed(m[2])))
-            elif known[1] and (m := _BARE.fullmatch(s)):
-                out.append((_value(m[1]), known[1]))
-        elif known[1] and value == value and abs(value) < 1e15:
-            out.append((float(value), known[1]))
+        if known[0]:
+            out += value_mentions(value, known)
     return out
 
 

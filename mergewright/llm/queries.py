@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, lookalike, mixing, overlap, personal, quantities, splits, tokens
+from . import components, lookalike, mixing, overlap, personal, products, quantities, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,26 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with placeholders."""
     return _personal(spark, d).select("doc_id", "text")
+
+
+def _products(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
+    return products.groups(items, table(spark, d, "brands", "brand", "brand_ru"), table(spark, d, "units"), Scratch(spark, "p1"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of listings of the same product: id1, id2."""
+    return products.pairs(_products(spark, d))
+
+
+@query("p1_groups")
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Product of every listing: id, product."""
+    return _products(spark, d).select("id", "product")
+
+
+@query("p1_agreement")
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The groups against the labels of matches."""
+    return products.agreement(_products(spark, d), table(spark, d, "matches", "id1", "id2", "target"))
