@@ -1,27 +1,15 @@
-"""Registered queries of the core and their SQL twins."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import eav
 from ..sources.tables import table
+from . import metrics  # noqa: F401
+from .registry import QUERIES, SQL, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
+__all__ = ["QUERIES", "SQL"]
 
 
 @query("p3_wide")
