@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from ..functions import chars
 from ..functions.attrs import entries
@@ -83,19 +85,39 @@ def _keys(text: str) -> frozenset[str]:
     return frozenset(chars.skeleton(k) for k in text.split("|"))
 
 
+_ACCENTED = re.compile("[à-ɏ]")
+
+
 def bare(text: str) -> str:
     """Lower case without accents; Cyrillic letters keep theirs but for ё."""
     low = text.lower().replace("ё", "е")
-    if low.isascii():
-        return low
-    return "".join(unicodedata.normalize("NFD", c)[0] if "à" <= c <= "ɏ" else c for c in low)
+    return _ACCENTED.sub(lambda m: unicodedata.normalize("NFD", m.group(0))[0], low) if _ACCENTED.search(low) else low
+
+
+def one_of(words: Iterable[str]) -> str:
+    """Pattern of the longest of the words at a place, as a tree of their letters."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        more = [re.escape(c) + pattern(n) for c, n in sorted(node.items()) if c]
+        if not more:
+            return ""
+        body = more[0] if len(more) == 1 and "" not in node else "(?:" + "|".join(more) + ")"
+        return body + "?" if "" in node else body
+
+    return pattern(tree)
 
 
 TYPES: dict[str, str] = {}
 for _line in _TYPES.strip().splitlines():
     _all = [bare(x.strip()) for x in _line.split("|")]
     TYPES |= {x: _all[0] for x in _all}
-_TYPE = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, TYPES), key=len, reverse=True)) + r")(?![^\W_])")
+_TYPE = re.compile(r"(?<![^\W_])" + one_of(TYPES) + r"(?![^\W_])")
 _TYPE_WORDS = sorted({w for t in TYPES for w in re.findall(r"[^\W\d_]+", t) if len(w) > 3})
 _TYPE_WORD_SET = frozenset(_TYPE_WORDS)
 _COLOUR_OF = [(p, c) for c, ps in (x.split(":") for x in _COLOURS.strip().splitlines()) for p in ps.split()]
@@ -130,8 +152,7 @@ class Brands:
                         known.setdefault(" ".join(bare(s).split()), bare(brand))
         for spelled, brand in disguised_brands([b for b, _ in rows if b]).items():
             known.setdefault(bare(spelled), bare(brand))
-        words = sorted(map(re.escape, known), key=len, reverse=True)
-        return cls(known, re.compile(r"(?<![^\W_])(?:" + "|".join(words) + r")(?![^\W_])") if words else None)
+        return cls(known, re.compile(r"(?<![^\W_])" + one_of(known) + r"(?![^\W_])") if known else None)
 
 
 def colour_of(text: str) -> str | None:
@@ -139,26 +160,26 @@ def colour_of(text: str) -> str | None:
     return next((c for p, c in _COLOUR_OF if m.group(0).startswith(p)), None) if m else None
 
 
-def _mended(text: str) -> str:
-    """The text with words that are one slip away from a word of the types."""
+@lru_cache(maxsize=200_000)
+def _type_word(w: str) -> str:
+    """The word of the types that a word is one slip away from, or the word."""
+    if len(w) < 4 or w in _TYPE_WORD_SET:
+        return w
+    return next((t for t in _TYPE_WORDS if abs(len(t) - len(w)) < 2 and (t[0] == w[0] or t[-1] == w[-1]) and within_one_slip(t, w)), w)
 
-    def mend(m: re.Match) -> str:
-        w = m.group(0)
-        if len(w) < 4 or w in _TYPE_WORD_SET:
-            return w
-        return next((t for t in _TYPE_WORDS if abs(len(t) - len(w)) < 2 and (t[0] == w[0] or t[-1] == w[-1]) and within_one_slip(t, w)), w)
 
-    return _WORD.sub(mend, text)
+@lru_cache(maxsize=200_000)
+def _colour_word(w: str) -> str:
+    """The same of the colours."""
+    return next((c for c in _COLOUR_WORDS if abs(len(c) - len(w)) < 2 and within_one_slip(c, w)), w) if len(w) > 4 else w
 
 
-def _recoloured(text: str) -> str:
-    """The same for words that are one slip away from a colour."""
+def _mended(text: str) -> str:
+    return _WORD.sub(lambda m: _type_word(m.group(0)), text)
 
-    def mend(m: re.Match) -> str:
-        w = m.group(0)
-        return next((c for c in _COLOUR_WORDS if abs(len(c) - len(w)) < 2 and within_one_slip(c, w)), w) if len(w) > 4 else w
 
-    return _WORD.sub(mend, text)
+def _recoloured(text: str) -> str | None:
+    return next((c for w in _WORD.findall(text) if (m := _colour_word(w)) is not w and (c := colour_of(m))), None)
 
 
 def series_of(text: str) -> str | None:
@@ -172,69 +193,85 @@ def series_of(text: str) -> str | None:
     return max(rest, key=len) if rest else None
 
 
+def _entry(key: str, value: object, brands: Brands, keys: dict) -> tuple[str | None, object]:
+    """What an entry says: a group of keys and its reading, or (None, amounts)."""
+    known = keys.get(key)
+    if known is None:
+        known = keys[key] = (_KEY_GROUPS.get(chars.skeleton(key).rstrip(":")), q.key_unit(key))
+    group, own = known
+    if group is None:
+        return None, q.value_mentions(value, own) if own[0] else []
+    s = " ".join(bare(chars.plain(str(value))).split())
+    got: object = None
+    if group == "brand":
+        # an unknown brand is a brand, if no known one is named
+        got = (s in brands.known, brands.known.get(s, s)) if s else None
+    elif group == "series":
+        got = s if _LATIN.search(s) else None
+    elif group == "type":
+        m = _TYPE.search(s) or _TYPE.search(_mended(s))
+        got = TYPES[m.group(0)] if m else None
+    elif group == "colour":
+        got = colour_of(s) or _recoloured(s)
+    elif group == "size":
+        m = _SIZE_VALUE.fullmatch(s)
+        got = m[1].replace(",", ".") if m else None
+    elif m := _COUNT.fullmatch(s.replace(" ", "")):
+        got = int(m[1])
+    return group, got
+
+
 def read(name: str | None, attributes: str | None, brands: Brands, memo: dict) -> dict:
     """Typed tokens of a listing: brand, series, type, colour, size, pack and
-    amounts, a list of (unit spelling, number)."""
+    amounts, a list of (number, unit spelling). memo: remembers readings."""
     out: dict = {"brand": None, "series": None, "type": None, "colour": None, "size": None, "pack": None, "amounts": []}
-    keys = memo.setdefault("keys", {})
     if attributes:
+        keys, seen = memo.setdefault("keys", {}), memo.setdefault("entries", {})
+        if len(seen) > 300_000 or len(keys) > 100_000:
+            seen.clear()
+            keys.clear()
         for key, value in entries(attributes):
             if value is None or isinstance(value, bool):
                 continue
-            known = keys.get(key)
-            if known is None:
-                if len(keys) > 100_000:
-                    keys.clear()
-                k = chars.skeleton(key).rstrip(":")
-                own = q.key_unit(key)
-                known = keys[key] = (_KEY_GROUPS.get(k), own)
-            group, own = known
+            said = seen.get((key, value))
+            if said is None:
+                said = seen[key, value] = _entry(key, value, brands, keys)
+            group, got = said
             if group is None:
-                if own[0]:
-                    out["amounts"] += q.value_mentions(value, own)
-                continue
-            s = " ".join(bare(chars.plain(str(value))).split())
-            if not s:
-                continue
-            if group == "brand":
-                out["brand"] = brands.known.get(s) or out["brand"] or None
-                if out["brand"] is None and s:
-                    out["brand"] = s
-            elif group == "series":
-                out["series"] = s if _LATIN.search(s) else out["series"]
-            elif group == "type":
-                m = _TYPE.search(s) or _TYPE.search(_mended(s))
-                out["type"] = TYPES[m.group(0)] if m else out["type"]
-            elif group == "colour":
-                out["colour"] = colour_of(s) or out["colour"]
-            elif group == "size" and (m := _SIZE_VALUE.fullmatch(s)):
-                out["size"] = m[1].replace(",", ".")
-            elif group == "pack" and (m := _COUNT.fullmatch(s.replace(" ", ""))):
-                out["pack"] = int(m[1])
+                out["amounts"] += got
+            elif got is not None:
+                if group == "brand":
+                    if got[0] or out["brand"] is None:
+                        out["brand"] = got[1]
+                else:
+                    out[group] = got
     if name:
         text = " ".join(chars.plain(name).split())
         coded = q.without_codes(text)
-        if m := _SIZE_NAME.search(coded):
-            out["size"] = out["size"] or (m[1] or m[2]).lower().replace(",", ".")
-        if m := _PACK_NAME.search(coded):
-            out["pack"] = out["pack"] or int(m[1] or m[2] or m[3])
-        low = q.without_counts(coded)
-        out["amounts"] += q.mentions_of(low)
-        low = bare(q.without_amounts(low))
-        if brands.pattern:
-            if out["brand"] is None and (m := brands.pattern.search(low)):
-                out["brand"] = brands.known[m.group(0)]
-            low = brands.pattern.sub(" ; ", low)
+        digits = any(c.isdigit() for c in coded)
+        if out["size"] is None and (m := _SIZE_NAME.search(coded)):
+            out["size"] = (m[1] or m[2]).lower().replace(",", ".")
+        if digits:
+            if out["pack"] is None and (m := _PACK_NAME.search(coded)):
+                out["pack"] = int(m[1] or m[2] or m[3])
+            coded = q.without_counts(coded)
+            out["amounts"] += q.mentions_of(coded)
+        low = bare(coded)
+        if out["brand"] is None and brands.pattern and (m := brands.pattern.search(low)):
+            out["brand"] = brands.known[m.group(0)]
         m = _TYPE.search(low)
-        if m is None:
-            mended = _mended(low)
-            if m := _TYPE.search(mended):
-                low = mended
+        if m is None and (m := _TYPE.search(mended := _mended(low))):
+            low = mended
         if m:
             out["type"] = TYPES[m.group(0)]
             low = low[: m.start()] + " ; " + low[m.end() :]
         if out["colour"] is None:
-            out["colour"] = colour_of(low) or colour_of(_recoloured(low))
+            out["colour"] = colour_of(low) or _recoloured(low)
         if out["series"] is None:
+            low = bare(q.without_amounts(coded))
+            if m:
+                low = low.replace(m.group(0), " ; ")
+            if brands.pattern:
+                low = brands.pattern.sub(" ; ", low)
             out["series"] = series_of(_COLOUR.sub(" ; ", low))
     return out

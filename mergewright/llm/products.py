@@ -12,10 +12,10 @@ the rounding of converted units). Agreements become edges, and correlation
 clustering by pivots turns edges into groups without chaining: a pivot takes its
 undecided neighbours, nothing more.
 
-Scale: one narrow pass reads the listings. A sorted order is cut into runs of
-``RUN_ROWS`` rows by position, each with the last ``WINDOW`` rows of the run
-before, so no run grows with the data and no neighbour is lost, whatever share of
-rows a brand or product holds. Pairs come out by an equi-join on group and block,
+Scale: one narrow pass reads the listings. A sorted order is cut into range
+partitions that are read as streams; the rows next to a cut are compared across
+it afterwards, so no neighbour is lost. Keys end in the representative's id, so a
+brand or product with most of the rows is cut like any other stretch. Pairs come out by an equi-join on group and block,
 with large groups cut into blocks.
 
 Defined results: the current row of an id counts, ties on ``updated_at`` are
@@ -27,11 +27,13 @@ id without another listing gives no pair; empty tables give an empty one.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, parallelism
@@ -41,8 +43,7 @@ from .overlap import within_one_slip
 MAX_BRANDS = 20_000
 #: Share of a type's listings from which a feature counts as varying.
 VARIES = 0.3
-WINDOW = 12
-RUN_ROWS = 20_000
+WINDOW = 10
 #: Relative difference that the rounding of converted amounts explains.
 ROUNDING = 0.035
 LEAST_SCORE = 4.0
@@ -116,98 +117,116 @@ def _amount(f: str):
     return F.lpad(F.coalesce(F.col(f).cast("string"), F.lit("")), 12, "0")
 
 
-def orders() -> dict[str, object]:
-    """Token orders of the passes, as one comparable text each."""
-    part = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in (*WHO, "colour", "size", "pack")}
+def orders() -> list[object]:
+    """Token orders of the passes, as one comparable text each: amounts last,
+    amounts turned round without regard to the brand, and colour last by the
+    series' last letters."""
+    p = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in (*WHO, "colour", "size", "pack")}
     amounts = [_amount(k) for k in KINDS]
 
     def key(*cols):
         return F.concat_ws("|", *cols, F.lpad(F.col("rep").cast("string"), 20, "0"))
 
-    p = part
-    return {
-        "amounts_last": key(p["brand"], p["series"], p["type"], p["colour"], p["size"], p["pack"], *amounts),
-        "amounts_turned": key(p["type"], p["series"], p["brand"], p["size"], p["pack"], p["colour"], *reversed(amounts)),
-        "colour_last": key(p["series"], p["type"], *amounts, p["size"], p["pack"], p["brand"], p["colour"]),
-        "series_last": key(p["type"], p["brand"], p["colour"], p["size"], p["pack"], *amounts, F.reverse(p["series"])),
-    }
-
-
-def positions(df: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """``at``: the position in the order of the key, by range partitions, their
-    row counts and a count within each; no partition holds the whole order."""
-    n = parallelism(df.sparkSession)
-    part = scratch.save(df.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()), "ranged")
-    # one row per partition
-    counts = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    at, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, at))
-        at += counts[p]
-    starts = df.sparkSession.createDataFrame(offsets, "part int, start long")
-    local = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return part.withColumn("local", local).join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("local")).drop("local", "start", "part")
-
-
-def agree(a: tuple, b: tuple) -> float:
-    """Soft alignment of two token tuples (in the order of FIELDS): a score, or
+    return [
+        key(p["brand"], p["series"], p["type"], p["colour"], p["size"], p["pack"], *amounts),
+        key(p["type"], p["series"], p["colour"], p["size"], p["pack"], p["brand"], *reversed(amounts)),
+        key(p["type"], F.reverse(p["series"]), p["brand"], p["size"], p["pack"], *amounts, p["colour"]),
+    ]
+
+
+def agree(a: list, b: list) -> float:
+    """Soft alignment of two token lists (in the order of FIELDS): a score, or
     less than 0 on any conflict."""
     score = 0.0
-    for i, f in enumerate(FIELDS):
-        x, y = a[i], b[i]
-        if x is None or y is None:
-            score -= 0.0 if x is y else 0.5
-        elif x == y:
-            score += WEIGHTS.get(f, 1.0)
-        elif f in KINDS:
+    for i, x, y, w in zip(_INDEX, a, b, _WEIGHT):
+        if x == y:
+            if x is not None:
+                score += w
+        elif x is None or y is None:
+            score -= 0.5
+        elif i >= _FIRST_KIND:
             # weight, length and the like come rounded from other units
             if abs(x - y) > ROUNDING * max(abs(x), abs(y)) + 1:
                 return -1.0
             score += 1.0
-        elif f in ("brand", "series") and min(len(x), len(y)) > 5 and _slip_in_long_word(x, y):
+        elif i < 2 and len(x) > 5 and len(y) > 5 and _slip_in_long_word(x, y):
             score += 0.5
         else:
             return -1.0
     return score
 
 
+_INDEX, _WEIGHT, _FIRST_KIND = range(len(FIELDS)), [WEIGHTS.get(f, 1.0) for f in FIELDS], FIELDS.index(KINDS[0])
+
+
 def _slip_in_long_word(x: str, y: str) -> bool:
-    """Whether two names of words differ in one word of over five letters only."""
-    a, b = x.split(), y.split()
-    if len(a) != len(b):
+    """Whether two names differ by a missing or doubled letter in one word of
+    over five letters; sisters of a series differ by whole or short words."""
+    if abs(len(x) - len(y)) != 1 or within_one_slip(x, y) is None:
         return False
+    a, b = x.split(), y.split()
     other = [(u, v) for u, v in zip(a, b) if u != v]
-    # a series is told from its sisters by short words and by whole words, never by a doubled or missing letter
-    return len(other) == 1 and min(map(len, other[0])) > 5 and abs(len(other[0][0]) - len(other[0][1])) == 1 and within_one_slip(*other[0]) is not None
+    return len(a) == len(b) and len(other) == 1 and min(map(len, other[0])) > 5
 
 
-def neighbours(ordered: DataFrame) -> DataFrame:
-    """Edges (u, v, score) between rows at most WINDOW positions apart that agree.
+def _compare(last: deque, rep: int, tokens: list, out: list) -> None:
+    for other, toks in last:
+        if (s := agree(toks, tokens)) >= LEAST_SCORE:
+            out.append((min(rep, other), max(rep, other), s))
+    last.append((rep, tokens))
 
-    Input: rep, n, FIELDS and ``at``.
+
+def _edges(out: list, *more: pa.Array) -> list[pa.Array]:
+    u, v, s = zip(*out) if out else ((), (), ())
+    return [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())]
+
+
+def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
+    """Edges (u, v, score) between rows at most WINDOW places apart in the order
+    of the key that agree.
+
+    The order is cut into range partitions, which are read as streams. Their
+    first and last WINDOW rows come out as well and are compared across the cuts
+    in one small step: 2 x WINDOW rows per partition, whatever the data's size.
     """
-    run = F.floor(F.col("at") / RUN_ROWS)
-    # the last rows of a run are also the head of the next one
-    runs = F.when(F.col("at") % RUN_ROWS >= RUN_ROWS - WINDOW, F.array(run, run + 1)).otherwise(F.array(run))
-    spread = ordered.withColumn("run", F.explode(runs)).repartition("run").sortWithinPartitions("run", "at")
+    n = parallelism(reps.sparkSession)
+    ordered = reps.select("rep", *FIELDS, key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
+    kinds = [pa.int64() if f in KINDS or f == "pack" else pa.string() for f in FIELDS]
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, int, int, tuple]] = []  # run, position, rep, tokens
+        part, place = TaskContext.get().partitionId(), 0
+        last: deque = deque(maxlen=WINDOW)
+        head: list = []
+        for b in batches:
+            out: list = []
+            for rep, *tokens in zip(*(c.to_pylist() for c in b.columns)):
+                if place < WINDOW:
+                    head.append((place, rep, tokens))
+                _compare(last, rep, tokens, out)
+                place += 1
+            yield batch(_edges(out), [], part)
+        tail = [(place - len(last) + i, rep, tokens) for i, (rep, tokens) in enumerate(last)]
+        yield batch(_edges([]), [x for x in {x[0]: x for x in (*head, *tail)}.values()], part)
+
+    def batch(edges: list[pa.Array], rows: list, part: int) -> pa.RecordBatch:
+        m, k = len(edges[0]), len(rows)
+        cols = [pa.concat_arrays([e, pa.nulls(k, e.type)]) for e in edges]
+        cols += [pa.array([None] * m + [part] * k, pa.int32()), pa.array([None] * m + [r[0] for r in rows], pa.int64()), pa.array([None] * m + [r[1] for r in rows], pa.int64())]
+        cols += [pa.array([None] * m + [r[2][i] for r in rows], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(cols, ["u", "v", "score", "part", "place", "rep", *FIELDS])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: deque = deque(maxlen=WINDOW)
         for b in batches:
-            out: list[tuple[int, int, float]] = []
-            for run_, at, rep, *tokens in zip(*(c.to_pylist() for c in b.columns)):
-                if last and last[0][0] != run_:
-                    last.clear()
-                for _, _, other, toks in last:
-                    if (s := agree(toks, tokens)) >= LEAST_SCORE:
-                        out.append((min(rep, other), max(rep, other), s))
-                last.append((run_, at, rep, tokens))
-                if len(last) > WINDOW:
-                    last.pop(0)
-            u, v, s = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "score"])
-
-    return spread.select("run", "at", "rep", *FIELDS).mapInArrow(slide, "u long, v long, score double")
+            out: list = []
+            for rep, *tokens in zip(*(c.to_pylist() for c in b.columns[2:])):
+                _compare(last, rep, tokens, out)
+            yield pa.RecordBatch.from_arrays(_edges(out), ["u", "v", "score"])
+
+    fields = ", ".join(f"{f} {'long' if f in KINDS or f == 'pack' else 'string'}" for f in FIELDS)
+    slid = scratch.save(ordered.mapInArrow(slide, f"u long, v long, score double, part int, place long, rep long, {fields}"), "slid")
+    cuts = slid.where("rep is not null").select("part", "place", "rep", *FIELDS).repartition(1).sortWithinPartitions("part", "place")
+    return slid.where("u is not null").select("u", "v", "score").unionByName(cuts.mapInArrow(across, "u long, v long, score double"))
 
 
 def pivots(edges: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame:
@@ -245,7 +264,7 @@ def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scrat
     members, reps = signatures(scratch.save(read_listings(items, brands, units), "read"), scratch)
     # a listing that names nothing has nothing to be compared by
     known = reps.where(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in WHO]))
-    found = [neighbours(positions(known.withColumn("key", k), "key", scratch).drop("key")) for k in orders().values()]
+    found = [neighbours(known, k, scratch) for k in orders()]
     edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score")), "edges")
     centre = pivots(edges, reps.select("rep", "n"), scratch)
     named = reps.join(centre, "rep", "left").select("k1", "k2", F.coalesce("centre", "rep").alias("product"), *[F.col(f).isNotNull().alias(f"has_{f}") for f in WHO])
