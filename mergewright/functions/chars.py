@@ -85,6 +85,10 @@ def _repair(m: re.Match) -> str:
     return repaired_run(run) if MIXED.search(run) else run
 
 
+#: Any character that folding may change.
+ODD = re.compile("[" + "".join(re.escape(chr(o)) for o in FOLD) + "̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+
+
 def unescape(text: str) -> str:
     """Text with its JSON code unit escapes decoded."""
     if "\\u" not in text:
@@ -95,7 +99,7 @@ def unescape(text: str) -> str:
 
 def fold(text: str) -> str:
     """Full-width forms, separate accents, invisible characters and spaces."""
-    if text.isascii():
+    if text.isascii() or not ODD.search(text):
         return text
     text = text.translate(FOLD)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
