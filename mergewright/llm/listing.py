@@ -121,7 +121,7 @@ _TYPE = re.compile(r"(?<![^\W_])" + one_of(TYPES) + r"(?![^\W_])")
 _TYPE_WORDS = sorted({w for t in TYPES for w in re.findall(r"[^\W\d_]+", t) if len(w) > 3})
 _TYPE_WORD_SET = frozenset(_TYPE_WORDS)
 _COLOUR_OF = [(p, c) for c, ps in (x.split(":") for x in _COLOURS.strip().splitlines()) for p in ps.split()]
-_COLOUR = re.compile(r"(?<![^\W_])(?:" + "|".join(p + (r"[а-я]*" if p[0] > "z" else "") for p, _ in _COLOUR_OF) + r")(?![^\W_])")
+_COLOUR = re.compile(r"(?<![^\W_])(?:" + "|".join(p + (r"(?:ен|ов|ев|нев)?(?:ый|ий|ая|яя|ое|ее|ые|ие)?" if p[0] > "z" else "") for p, _ in _COLOUR_OF) + r")(?![^\W_])")
 # Full names of the colours.
 _COLOUR_WORDS = "белый черный красный синий зеленый желтый оранжевый розовый фиолетовый серый коричневый бежевый white black green yellow orange purple brown beige".split()
 _SIZE_NAME = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)(?![^\W_])|(?<![\w.,])(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m) (?:размер|size)(?![^\W_])", re.I)
