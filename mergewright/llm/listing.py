@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,6 +16,7 @@ from ..functions import chars
 from ..functions.attrs import entries
 from . import quantities as q
 from .overlap import within_one_slip
+from .words import one_of
 
 # Kinds of products with their usual names, one kind a line.
 _TYPES = """
@@ -94,25 +94,6 @@ def bare(text: str) -> str:
     return _ACCENTED.sub(lambda m: unicodedata.normalize("NFD", m.group(0))[0], low) if _ACCENTED.search(low) else low
 
 
-def one_of(words: Iterable[str]) -> str:
-    """Pattern of the longest of the words at a place, as a tree of their letters."""
-    tree: dict = {}
-    for w in words:
-        at = tree
-        for c in w:
-            at = at.setdefault(c, {})
-        at[""] = {}
-
-    def pattern(node: dict) -> str:
-        more = [re.escape(c) + pattern(n) for c, n in sorted(node.items()) if c]
-        if not more:
-            return ""
-        body = more[0] if len(more) == 1 and "" not in node else "(?:" + "|".join(more) + ")"
-        return body + "?" if "" in node else body
-
-    return pattern(tree)
-
-
 TYPES: dict[str, str] = {}
 for _line in _TYPES.strip().splitlines():
     _all = [bare(x.strip()) for x in _line.split("|")]
@@ -124,9 +105,9 @@ _COLOUR_OF = [(p, c) for c, ps in (x.split(":") for x in _COLOURS.strip().splitl
 _COLOUR = re.compile(r"(?<![^\W_])(?:" + "|".join(p + (r"(?:ен|ов|ев|нев)?(?:ый|ий|ая|яя|ое|ее|ые|ие)?" if p[0] > "z" else "") for p, _ in _COLOUR_OF) + r")(?![^\W_])")
 # Full names of the colours.
 _COLOUR_WORDS = "белый черный красный синий зеленый желтый оранжевый розовый фиолетовый серый коричневый бежевый white black green yellow orange purple brown beige".split()
-_SIZE_NAME = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)(?![^\W_])|(?<![\w.,])(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m) (?:размер|size)(?![^\W_])", re.I)
+_SIZE_NAME = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)(?![^\W_])|(?<![\w.,])(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m) (?:размер|size)(?![^\W_])")
 _SIZE_VALUE = re.compile(r"(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)", re.I)
-_PACK_NAME = re.compile(r"(?<![^\W_])(?:из|of|набор|упаковка|set|pack)\s(\d{1,3})(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?(\d{1,3})(?!\d)|(?<![\w.,])(\d{1,3})\s?(?:шт|pcs|pieces)(?:ук[аи]?|\.)?(?![^\W_])", re.I)
+_PACK_NAME = re.compile(r"(?<![^\W_])(?:из|of|набор|упаковка|set|pack)\s(\d{1,3})(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?(\d{1,3})(?!\d)|(?<![\w.,])(\d{1,3})\s?(?:шт|pcs|pieces)(?:ук[аи]?|\.)?(?![^\W_])")
 _COUNT = re.compile(r"(\d{1,4})(?:[.,]0+)?(?:шт\.?|штук[аи]?|pcs|pieces)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[a-z]+")
@@ -178,8 +159,21 @@ def _mended(text: str) -> str:
     return _WORD.sub(lambda m: _type_word(m.group(0)), text)
 
 
+_SEEN_COLOURS: dict[str, str | None] = {}
+
+
 def _recoloured(text: str) -> str | None:
-    return next((c for w in _WORD.findall(text) if (m := _colour_word(w)) is not w and (c := colour_of(m))), None)
+    """A colour that a word of the text is one slip away from."""
+    for w in _WORD.findall(text):
+        got = _SEEN_COLOURS.get(w, "")
+        if got == "":
+            if len(_SEEN_COLOURS) > 200_000:
+                _SEEN_COLOURS.clear()
+            near = _colour_word(w)
+            got = _SEEN_COLOURS[w] = colour_of(near) if near is not w else None
+        if got:
+            return got
+    return None
 
 
 def series_of(text: str) -> str | None:
@@ -247,11 +241,10 @@ def read(name: str | None, attributes: str | None, brands: Brands, memo: dict) -
                     out[group] = got
     if name:
         text = " ".join(chars.plain(name).split())
-        coded = q.without_codes(text)
-        digits = any(c.isdigit() for c in coded)
+        coded = q.without_codes(text).lower()
         if out["size"] is None and (m := _SIZE_NAME.search(coded)):
-            out["size"] = (m[1] or m[2]).lower().replace(",", ".")
-        if digits:
+            out["size"] = (m[1] or m[2]).replace(",", ".")
+        if q._DIGIT.search(coded):
             if out["pack"] is None and (m := _PACK_NAME.search(coded)):
                 out["pack"] = int(m[1] or m[2] or m[3])
             coded = q.without_counts(coded)

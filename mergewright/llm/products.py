@@ -108,9 +108,9 @@ def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 
     own = listings.select("id", *WHO, *[kept(f) for f in FEATURES])
     text = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
-    keyed = scratch.save(own.withColumns({"k1": F.xxhash64(text, F.lit(1)), "k2": F.xxhash64(text, F.lit(2))}), "signed")
-    reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in FIELDS])
-    return keyed.select("id", "k1", "k2"), scratch.save(reps, "reps")
+    keys = {"k1": F.xxhash64(text, F.lit(1)), "k2": F.xxhash64(text, F.lit(2))}
+    reps = own.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys)
+    return own.withColumns(keys).select("id", "k1", "k2"), scratch.save(reps, "reps")
 
 
 def _amount(f: str):
@@ -169,20 +169,24 @@ def _slip_in_long_word(x: str, y: str) -> bool:
     return len(a) == len(b) and len(other) == 1 and min(map(len, other[0])) > 5
 
 
-def _compare(last: deque, rep: int, tokens: list, out: list) -> None:
-    for other, toks in last:
+def _compare(last: deque, rep: int, n: int, tokens: list, out: list) -> None:
+    for other, m, toks in last:
         if (s := agree(toks, tokens)) >= LEAST_SCORE:
-            out.append((min(rep, other), max(rep, other), s))
-    last.append((rep, tokens))
+            out.append((rep, other, s, n, m) if rep < other else (other, rep, s, m, n))
+    last.append((rep, n, tokens))
 
 
-def _edges(out: list, *more: pa.Array) -> list[pa.Array]:
-    u, v, s = zip(*out) if out else ((), (), ())
-    return [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())]
+_EDGE = ["u", "v", "score", "nu", "nv"]
+_EDGE_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+_EDGE_SHAPE = "u long, v long, score double, nu long, nv long"
+
+
+def _edges(out: list) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, _EDGE_TYPES)]
 
 
 def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
-    """Edges (u, v, score) between rows at most WINDOW places apart in the order
+    """Edges (u, v, score, members of either) between rows at most WINDOW places apart in the order
     of the key that agree.
 
     The order is cut into range partitions, which are read as streams. Their
@@ -190,7 +194,7 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
     in one small step: 2 x WINDOW rows per partition, whatever the data's size.
     """
     n = parallelism(reps.sparkSession)
-    ordered = reps.select("rep", *FIELDS, key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
+    ordered = reps.select("rep", "n", *FIELDS, key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
     kinds = [pa.int64() if f in KINDS or f == "pack" else pa.string() for f in FIELDS]
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,47 +203,49 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
         head: list = []
         for b in batches:
             out: list = []
-            for rep, *tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns)):
                 if place < WINDOW:
-                    head.append((place, rep, tokens))
-                _compare(last, rep, tokens, out)
+                    head.append((place, rep, n_, tokens))
+                _compare(last, rep, n_, tokens, out)
                 place += 1
             yield batch(_edges(out), [], part)
-        tail = [(place - len(last) + i, rep, tokens) for i, (rep, tokens) in enumerate(last)]
+        tail = [(place - len(last) + i, *row) for i, row in enumerate(last)]
         yield batch(_edges([]), [x for x in {x[0]: x for x in (*head, *tail)}.values()], part)
 
     def batch(edges: list[pa.Array], rows: list, part: int) -> pa.RecordBatch:
         m, k = len(edges[0]), len(rows)
         cols = [pa.concat_arrays([e, pa.nulls(k, e.type)]) for e in edges]
-        cols += [pa.array([None] * m + [part] * k, pa.int32()), pa.array([None] * m + [r[0] for r in rows], pa.int64()), pa.array([None] * m + [r[1] for r in rows], pa.int64())]
-        cols += [pa.array([None] * m + [r[2][i] for r in rows], t) for i, t in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(cols, ["u", "v", "score", "part", "place", "rep", *FIELDS])
+        cols += [pa.array([None] * m + [part] * k, pa.int32())]
+        cols += [pa.array([None] * m + [r[i] for r in rows], pa.int64()) for i in range(3)]
+        cols += [pa.array([None] * m + [r[3][i] for r in rows], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(cols, [*_EDGE, "part", "place", "rep", "n", *FIELDS])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: deque = deque(maxlen=WINDOW)
         for b in batches:
             out: list = []
-            for rep, *tokens in zip(*(c.to_pylist() for c in b.columns[2:])):
-                _compare(last, rep, tokens, out)
-            yield pa.RecordBatch.from_arrays(_edges(out), ["u", "v", "score"])
+            for rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns[2:])):
+                _compare(last, rep, n_, tokens, out)
+            yield pa.RecordBatch.from_arrays(_edges(out), _EDGE)
 
     fields = ", ".join(f"{f} {'long' if f in KINDS or f == 'pack' else 'string'}" for f in FIELDS)
-    slid = scratch.save(ordered.mapInArrow(slide, f"u long, v long, score double, part int, place long, rep long, {fields}"), "slid")
-    cuts = slid.where("rep is not null").select("part", "place", "rep", *FIELDS).repartition(1).sortWithinPartitions("part", "place")
-    return slid.where("u is not null").select("u", "v", "score").unionByName(cuts.mapInArrow(across, "u long, v long, score double"))
+    slid = scratch.save(ordered.mapInArrow(slide, f"{_EDGE_SHAPE}, part int, place long, rep long, n long, {fields}"), "slid")
+    cuts = slid.where("rep is not null").select("part", "place", "rep", "n", *FIELDS).repartition(1).sortWithinPartitions("part", "place")
+    return slid.where("u is not null").select(*_EDGE).unionByName(cuts.mapInArrow(across, _EDGE_SHAPE))
 
 
-def pivots(edges: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame:
+def pivots(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Correlation clustering: (rep, centre) of every end of an edge.
 
     A vertex that comes before all its undecided neighbours (more members, then
     by hash) is a pivot and takes those neighbours; a neighbour of several pivots
     goes to the one it agrees with best. Repeated until all are decided.
     """
-    rank = F.struct((-F.col("n")).alias("n"), F.xxhash64("rep").alias("h"), "rep")
-    ranked = weights.select("rep", rank.alias("rank"))
-    arcs = edges.select("u", "v", "score").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
-    arcs = arcs.join(ranked.select(F.col("rep").alias("u"), F.col("rank").alias("ru")), "u").join(ranked.select(F.col("rep").alias("v"), F.col("rank").alias("rv")), "v")
+    def rank(n: str, v: str):
+        return F.struct((-F.col(n)).alias("n"), F.xxhash64(v).alias("h"), F.col(v).alias("rep"))
+
+    both = edges.select("u", "v", "score", rank("nu", "u").alias("ru"), rank("nv", "v").alias("rv"))
+    arcs = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "score", F.col("rv").alias("ru"), F.col("ru").alias("rv")))
     left, done = scratch.save(arcs, "arcs"), []
     while not left.isEmpty():
         first = left.groupBy("u", "ru").agg(F.min("rv").alias("best")).where(F.col("ru") < F.col("best")).select(F.col("u").alias("pivot"))
@@ -258,43 +264,50 @@ def pivots(edges: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, product): listings of one product share a number, the least id of its
-    centre. A vertex left without undecided neighbours is a group of its own."""
+def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members, named): members are (id, k1, k2); named has (k1, k2, product, n,
+    total) of every representative. Listings of one product share a number, the
+    least id of its centre, and ``total`` is the number of its listings."""
     members, reps = signatures(scratch.save(read_listings(items, brands, units), "read"), scratch)
     # a listing that names nothing has nothing to be compared by
     known = reps.where(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in WHO]))
     found = [neighbours(known, k, scratch) for k in orders()]
-    edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score")), "edges")
-    centre = pivots(edges, reps.select("rep", "n"), scratch)
-    named = reps.join(centre, "rep", "left").select("k1", "k2", F.coalesce("centre", "rep").alias("product"), *[F.col(f).isNotNull().alias(f"has_{f}") for f in WHO])
-    return members.join(named, ["k1", "k2"]).select("id", "product", (F.col("has_series") & F.col("has_type")).alias("known"))
+    edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score"), F.max("nu").alias("nu"), F.max("nv").alias("nv")), "edges")
+    centre = pivots(edges, scratch)
+    sayable = F.col("series").isNotNull() & F.col("type").isNotNull()
+    named = reps.join(centre, "rep", "left").select("k1", "k2", "n", sayable.alias("known"), F.coalesce("centre", "rep").alias("product"))
+    totals = named.where("known").groupBy("product").agg(F.sum("n").alias("total"))
+    return members, scratch.save(named.join(totals, "product", "left"), "named")
+
+
+def grouped(members: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, product) of every listing."""
+    return members.join(named.select("k1", "k2", "product"), ["k1", "k2"]).select("id", "product")
 
 
-def pairs(grouped: DataFrame) -> DataFrame:
+def pairs(members: DataFrame, named: DataFrame) -> DataFrame:
     """(id1, id2), id1 < id2, of every pair within a group.
 
     Groups over BLOCK members are cut into blocks by hash; every two blocks of a
     group meet as one key, so no task holds a whole large group.
     """
-    of = grouped.where("known").select("id", "product")
-    sizes = of.groupBy("product").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("product", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    cut = of.join(sizes, "product").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    several = named.where("known and total > 1").select("k1", "k2", "product", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(several, ["k1", "k2"]).select("id", "product", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     # the keys (lesser block, greater block) that a member takes part in
     with_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("lo"), F.greatest(F.col("block"), j).alias("hi")))
     spread = cut.select("product", "id", "block", F.inline(with_))
     a = spread.where("block = lo").select("product", "lo", "hi", F.col("id").alias("x"))
     b = spread.where("block = hi").select("product", "lo", "hi", F.col("id").alias("y"))
-    met = a.join(b, ["product", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))).where("x <> y")
+    met = a.join(b, ["product", "lo", "hi"]).where("x <> y and (lo < hi or x < y)")
     return met.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"))
 
 
-def agreement(grouped: DataFrame, matches: DataFrame) -> DataFrame:
+def agreement(products: DataFrame, matches: DataFrame) -> DataFrame:
     """How the groups agree with the noisy labels: rows per label side and
     whether the two listings share a group, without repeated pairs."""
     known = matches.where("id1 is not null and id2 is not null and id1 <> id2 and target is not null")
     votes = known.groupBy(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).agg(F.avg("target").alias("target"))
-    a = grouped.select(F.col("id").alias("id1"), F.col("product").alias("p1"))
-    b = grouped.select(F.col("id").alias("id2"), F.col("product").alias("p2"))
+    a = products.select(F.col("id").alias("id1"), F.col("product").alias("p1"))
+    b = products.select(F.col("id").alias("id2"), F.col("product").alias("p2"))
     both = votes.join(a, "id1").join(b, "id2")
     return both.groupBy((F.col("target") >= 0.5).alias("labelled_same"), (F.col("p1") == F.col("p2")).alias("grouped_same")).agg(F.count(F.lit(1)).alias("n_pairs"))

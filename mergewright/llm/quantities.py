@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..functions.attrs import entries
+from .words import one_of
 
 MAX_NODES = 5_000
 Affine = tuple[float, float]
@@ -119,24 +120,29 @@ def conversions(units: DataFrame) -> list[tuple[str, str, str, float, float]]:
 
 
 _SPELLED = sorted({s for v in SPELLINGS.values() for s in v.split()} - {"лс", "floz", "flozs", "жидкунция", "жидкунции", "жидкунций", "мач", "ач", "fluidounce", "fluidounces"}, key=len, reverse=True)
-_UNIT = r"(?:л\.?\s?с|fl\.?\s?oz|жидк\.?\s?унци[ийя]|м?а[·*.\- ]?ч|fluid ounces?|" + "|".join(map(re.escape, _SPELLED)) + r")(?![^\W_]|[²³])"
+_UNIT = r"(?:л\.?\s?с|fl\.?\s?oz|жидк\.?\s?унци[ийя]|м?а[·*.\- ]?ч|fluid ounces?|" + one_of(_SPELLED) + r")(?![^\W_]|[²³])"
+_DIGIT = re.compile(r"\d")
+# The patterns below, but for codes, are for text in lower case.
 _NUMBER = r"(?:\d{1,3}(?: \d{3})+|\d+)(?:[.,]\d+)?"
-_IN_NAME = re.compile(r"(?<![\w.,])(" + _NUMBER + r")\s?-?\s?(" + _UNIT + ")", re.I)
-_WHOLE = re.compile(r"\s*(" + _NUMBER + r")\s?(" + _UNIT + r")\.?\s*", re.I)
+_IN_NAME = re.compile(r"(?<![\w.,])(" + _NUMBER + r")\s?-?\s?(" + _UNIT + ")")
+_WHOLE = re.compile(r"\s*(" + _NUMBER + r")\s?(" + _UNIT + r")\.?\s*")
 _BARE = re.compile(r"\s*(" + _NUMBER + r")\s*")
-_KEY_UNIT = re.compile(r".*[,(]\s*(" + _UNIT + r")[.)]*\s*:?\s*", re.I)
+_KEY_UNIT = re.compile(r".*[,(]\s*(" + _UNIT + r")[.)]*\s*:?\s*")
 # Article codes, packs and sizes are no quantities, whatever letter follows.
 _CODE = re.compile(r"(?:(?<![^\W_])(?:[A-Z]{2}|[a-z]{2})([-/ ]?)|(?<![^\W_])[A-Za-z]{2}([-/])|^\s*[A-Z][a-z]([-/ ]?))\d{3,5}[A-Za-z](?![^\W_])")
 _SUFFIXES = frozenset({"II", "IV", "GO", "ii", "iv", "go"})
-_PACK = re.compile(r"(?<![^\W_])(?:из|of)\s\d{1,3}(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?\d{1,3}(?!\d)|(?<![\w.,])\d{1,3}\s?(?:шт|pcs|pieces|пар)(?:ук[аи]?|\.)?(?![^\W_])", re.I)
-_SIZE = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?\d{1,3}(?:[.,]\d)?(?!\d)|(?<![\w.,])\d{1,3}(?:[.,]\d)? (?:размер|size)(?![^\W_])", re.I)
+_PACK = re.compile(r"(?<![^\W_])(?:из|of)\s\d{1,3}(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?\d{1,3}(?!\d)|(?<![\w.,])\d{1,3}\s?(?:шт|pcs|pieces|пар)(?:ук[аи]?|\.)?(?![^\W_])")
+_SIZE = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?\d{1,3}(?:[.,]\d)?(?!\d)|(?<![\w.,])\d{1,3}(?:[.,]\d)? (?:размер|size)(?![^\W_])")
 # A limit or another thing named right before the number.
-_LIMIT = re.compile(r"(?:(?<![^\W_])(?:до|от|свыше|более|менее|выше|ниже|под|to|from|over|under|above|below|least|most|than)|[её]мкост\w*|объ[её]мом|сет[ьи]|сетью|нагрузк\w*|loads?|mains|≤|≥|<|>)\s*:?\s*$", re.I)
-_NOT_OWN = re.compile(r"упаков|нагруз|габарит|площад|короб|комплект|описан|совмест|комнат|помещен|бонус|(?<![^\W_])год(?![^\W_])|(?<![^\W_])years?(?![^\W_])|артикул|партномер|код товара|температур|гарант|packag|packing|\bbox|dimension|\bload|\barea|\broom|compatib|\bsku|model|модел|серия|линейк|бренд|brand", re.I)
+_LIMIT = re.compile(r"(?:(?<![^\W_])(?:до|от|свыше|более|менее|выше|ниже|под|to|from|over|under|above|below|least|most|than)|[её]мкост\w*|объ[её]мом|сет[ьи]|сетью|нагрузк\w*|loads?|mains|≤|≥|<|>)\s*:?\s*$")
+_NOT_OWN = re.compile(r"упаков|нагруз|габарит|площад|короб|комплект|описан|совмест|комнат|помещен|бонус|(?<![^\W_])год(?![^\W_])|(?<![^\W_])years?(?![^\W_])|артикул|партномер|код товара|температур|гарант|packag|packing|\bbox|dimension|\bload|\barea|\broom|compatib|\bsku|model|модел|серия|линейк|бренд|brand")
+
+
+_SQUEEZE = {ord(c): None for c in " .·*-"}
 
 
 def _squeezed(unit: str) -> str:
-    return re.sub(r"[\s.·*\-]", "", unit.lower())
+    return unit.lower().translate(_SQUEEZE)
 
 
 def _value(number: str) -> float:
@@ -149,26 +155,24 @@ def without_codes(text: str) -> str:
 
 
 def without_counts(text: str) -> str:
-    """The text without packs and sizes."""
+    """Lower-case text without packs and sizes."""
     return _SIZE.sub(" ; ", _PACK.sub(" ; ", text))
 
 
 def without_amounts(text: str) -> str:
-    """The text without numbers with a unit."""
+    """Lower-case text without numbers with a unit."""
     return _IN_NAME.sub(" ; ", text)
 
 
 def mentions_of(text: str) -> list[tuple[float, str]]:
-    """(number, unit) of a cleaned text, but for limits and other things."""
+    """(number, unit) of a cleaned lower-case text, but for limits and other things."""
     return [(_value(m[1]), _squeezed(m[2])) for m in _IN_NAME.finditer(text) if not _LIMIT.search(text, max(0, m.start() - 40), m.start())]
 
 
 def name_mentions(name: str) -> list[tuple[float, str]]:
     """(number, unit) of quantities that the name states of the item."""
     text = " ".join(chars.plain(name).split())
-    if not any(c.isdigit() for c in text):
-        return []
-    return mentions_of(without_counts(without_codes(text)))
+    return mentions_of(without_counts(without_codes(text).lower())) if _DIGIT.search(text) else []
 
 
 def key_unit(key: str) -> tuple[bool, str | None]:
@@ -184,9 +188,9 @@ def value_mentions(value: object, own: tuple[bool, str | None]) -> list[tuple[fl
     """The quantity of an attribute's value, by what its key says."""
     if isinstance(value, str):
         # most values hold no digit at all
-        if not any(c.isdigit() for c in value):
+        if not _DIGIT.search(value):
             return []
-        s = " ".join(chars.plain(value).split())
+        s = " ".join(chars.plain(value).lower().split())
         if m := _WHOLE.fullmatch(s):
             return [(_value(m[1]), _squeezed(m[2]))]
         if own[1] and (m := _BARE.fullmatch(s)):

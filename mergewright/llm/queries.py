@@ -133,7 +133,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("doc_id", "text")
 
 
-def _products(spark: SparkSession, d: str) -> DataFrame:
+def _products(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
     return products.groups(items, table(spark, d, "brands", "brand", "brand_ru"), table(spark, d, "units"), Scratch(spark, "p1"))
 
@@ -141,16 +141,16 @@ def _products(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of listings of the same product: id1, id2."""
-    return products.pairs(_products(spark, d))
+    return products.pairs(*_products(spark, d))
 
 
 @query("p1_groups")
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Product of every listing: id, product."""
-    return _products(spark, d).select("id", "product")
+    return products.grouped(*_products(spark, d))
 
 
 @query("p1_agreement")
 def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The groups against the labels of matches."""
-    return products.agreement(_products(spark, d), table(spark, d, "matches", "id1", "id2", "target"))
+    return products.agreement(products.grouped(*_products(spark, d)), table(spark, d, "matches", "id1", "id2", "target"))
