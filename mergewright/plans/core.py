@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import eav
 from ..sources.tables import table
-from . import graphs, metrics, relational  # noqa: F401
+from . import graphs, metrics, relational, textual  # noqa: F401
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]

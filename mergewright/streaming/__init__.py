@@ -1,0 +1 @@
+"""Streams of pairs and events."""
