@@ -160,13 +160,15 @@ def listings(items: DataFrame) -> DataFrame:
 def same_listings(items: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, listing) of ids that are another id's listing; listing is the least id."""
     squeezed = F.replace("name", F.lit(" "))
-    keyed = listings(items).select("id", "name", F.xxhash64("seller", "attrs").alias("block"), "seller", "attrs", F.length(squeezed).alias("len"), F.md5(F.concat_ws("|", F.col("seller").cast("string"), "attrs", squeezed)).alias("key"))
+    keyed = listings(items).select("id", "name", "seller", "attrs", F.md5(F.concat_ws("|", F.col("seller").cast("string"), "attrs", squeezed)).alias("key"))
     keyed = scratch.save(keyed, "listings")
     # equal strings are one string, under its least id
     strings = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min(F.struct("seller", "attrs", "name")).alias("r"), F.count(F.lit(1)).alias("n")).select("key", "rep", "n", "r.*")
     strings = scratch.save(strings, "strings")
-    twice = strings.groupBy("seller", "attrs").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seller", "attrs")
-    busy = strings.join(twice, ["seller", "attrs"]).select("rep", "seller", "attrs", "name")
+    # blocks with more than one string; a clash of hashes only lets a single string through
+    blocked = strings.withColumn("block", F.xxhash64("seller", "attrs"))
+    twice = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("block")
+    busy = hot_split_join(blocked, twice, "block").select("rep", "seller", "attrs", "name")
 
     def cut(of) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-@query("p4_found")
+def _groups_sql(links: str) -> str:
+    """Least labels over links (u, v) by a keyed recursion."""
+    return f"""with recursive l as ({links}), e as (select u as a, v as b from l union select v, u from l),
+      r(id, label) using key (id) as (select id, min(label) from (select a as id, least(a, b) as label from e) group by id
+        union select e.b, min(r.label) from r join e on e.a = r.id join recurring.r c on c.id = e.b where r.label < c.label group by e.b)"""
+
+
+@query("p4_found", _groups_sql("select id1 as u, id2 as v from matches where target >= 0.5 and id1 is not null and id2 is not null and id1 <> id2") + " select id, label as group_id from r")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Group of every id in a link of matches: id, group_id."""
     pairs = table(spark, d, "matches", "id1", "id2", "target")
@@ -55,7 +62,12 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "matches", "pair_id", "id1", "id2", "category")
 
 
-@query("p6_found")
+@query(
+    "p6_found",
+    _groups_sql("select id1 as u, id2 as v from matches where pair_id is not null and id1 is not null and id2 is not null and id1 <> id2")
+    + """, p as (select distinct pair_id, coalesce(id1, id2) as id from matches where pair_id is not null)
+    select pair_id, coalesce(r.label, p.id) as bundle_id from p left join r on r.id = p.id""",
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Bundle of every record of matches: pair_id, bundle_id."""
     return splits.bundles(_matches(spark, d), Scratch(spark, "p6")).select("pair_id", "bundle_id")

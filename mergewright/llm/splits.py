@@ -23,7 +23,8 @@ Defined results: a null id links nothing; a row without any id is a bundle of
 its own with a null bundle_id; a pair of an id with itself is a bundle of that
 id; a record delivered again (same pair_id) counts once; a null pair_id is left
 out; null or empty categories form one stratum; shares that are null or not
-above 0 get no rows; empty tables give empty tables.
+above 0 get no rows, and without any target every split is null; empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -151,8 +152,10 @@ def assign(matches: DataFrame, targets: DataFrame, scratch: Scratch, seed: int =
     """(pair_id, bundle_id, category, split_name): one split per record."""
     spark = matches.sparkSession
     goal = targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share").alias("s")).orderBy(F.col("s").desc(), "split_name").limit(MAX_SPLITS + 1).collect()
-    if not goal or len(goal) > MAX_SPLITS:
-        raise ValueError(f"between 1 and {MAX_SPLITS} split targets are needed")
+    if len(goal) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
+    if not goal:
+        return bundles(matches, scratch).withColumn("split_name", F.lit(None).cast("string"))
     whole = sum(r["s"] for r in goal)
     shares = [(r["split_name"], r["s"] / whole) for r in goal]
 

@@ -133,8 +133,9 @@ def shared_lexicon(spark: SparkSession, data: bytes) -> Callable[[], Lexicon]:
     whose size ``LEXICON_WORDS`` bounds.
     """
     where = Scratch(spark, "lexicon").root
-    if "://" not in where or where.startswith(("file:///", "file:/")):
-        folder = "/" + where.split(":", 1)[-1].lstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(where)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        folder = at.toUri().getPath()
         os.makedirs(folder, exist_ok=True)
         path = f"{folder}/words.lex"
         with open(path, "wb") as f:
