@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from datetime import date, timedelta
+from math import isqrt
 
 ROUNDS = 8
 
@@ -25,9 +26,7 @@ def permute(value: int, size: int, key: bytes, tag: bytes = b"", inverse: bool =
         raise ValueError("value outside the domain")
     if size < 2:
         return value
-    side = 1
-    while side * side < size:
-        side += 1
+    side = isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, side)
         for i in range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS):

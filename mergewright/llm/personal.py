@@ -36,6 +36,8 @@ MAX_BRANDS = 20_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 Finding = tuple[str, int, int]  # kind, start, end
 
+_DIGIT = re.compile(r"\d")
+
 # --- e-mail -----------------------------------------------------------------
 _AT = r"(?:\s?[@＠]\s?|\s?[(\[]\s?(?:at|собака)\s?[)\]]\s?)"
 _DOT = r"(?:\.|\s?[(\[]\s?(?:dot|точка)\s?[)\]]\s?|\s(?:dot|точка)\s)"
@@ -157,7 +159,7 @@ _LATIN_NAMED = ("CIC", "CIS", "IC", "IS", "CI", "IF", "CF", "SC", "SS", "CC", "C
 def names(text: str, taken: list[tuple[int, int]]) -> list[Finding]:
     """Names of persons outside the spans that are taken by something else."""
     toks = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    latin = [bool(re.match(r"[A-Za-zÀ-ÿ]", t)) for t, _, _ in toks]
+    latin = [t[0] < "Ͱ" for t, _, _ in toks]
     tags = [_tag(t, x) for (t, _, _), x in zip(toks, latin)]
     out: list[Finding] = []
     i = 0
@@ -202,8 +204,7 @@ def find(text: str, brands: re.Pattern | None = None) -> list[Finding]:
     found: list[Finding] = []
     if "@" in text or "＠" in text or "at" in text.lower() or "собака" in text.lower():
         found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    digits = any(c.isdigit() for c in text)
-    if digits:
+    if _DIGIT.search(text):
         ids: list[Finding] = [("id_number", m.start(1), m.end(1)) for p in (_PASSPORT_RU, _PASSPORT_EN, _SSN) for m in p.finditer(text)]
         for m in _SNILS.finditer(text):
             d = re.sub(r"\D", "", m[1])
