@@ -67,7 +67,7 @@ def entries(text: str | None) -> list[Entry]:
             for part in s.split(";"):
                 k, colon, v = part.partition(":")
                 if colon:
-                    out.append((k, v.lstrip(": ")))
+                    out.append((k.strip(), v.lstrip(": ")))
             return out
         if not isinstance(node, str):
             break
