@@ -86,10 +86,13 @@ _CAP = r"[А-ЯЁ][А-ЯЁа-яё\-]*"
 _NAME_RU = rf"(?:\d{{1,2}}-(?:я|й|ая|ый|ой) )?(?:{_CAP}|\d{{1,2}} {_CAP})(?: (?:{_CAP}|и {_CAP})){{0,3}}"
 _ADJ = r"(?:\d{1,2}-(?:я|й|ая|ый|ой) )?(?:(?:Больш|Мал|Нижн|Верхн|Нов|Стар)[а-я]{2,3} )?[А-ЯЁ][А-ЯЁа-яё]*(?:ая|яя|ую|юю|ый|ий|ой|ое|ее|ого|его|ому|ему|ом|ем|ей|АЯ|ЯЯ|УЮ|ЫЙ|ИЙ|ОЙ|ОЕ|ОМ)"
 _HOUSE = r"(?:,? ?(?:д\.?|дом|вл\.?|стр\.?) ?|,? )(\d{1,4}(?: ?[/-] ?\d{1,4}(?! ?[/-]?\d))?(?:[А-Яа-я](?![А-Яа-яё]))?)"
-STREET_RU = re.compile(rf"(?<![\w\-])(?:(?i:{_TYPE})\s?{_NAME_RU}|{_ADJ} (?i:{_TYPE})(?![\w\-])){_HOUSE}(?!\d|[.,]\d)")
+# What follows a house number belongs to the value, not to its start.
+_WITHIN = r"(?:,? ?(?:корп|стр|лит)\.? ?\w{1,3}(?!\w))?(?:,? ?(?:кв|квартира|оф|офис)\.? ?\d{1,4}(?!\d)| - \d{1,4}(?!\d))?"
+_WITHIN_EN = r"(?:,? (?:Apt|Unit|Suite)\.? ?\d{1,4}(?!\d)|,? #\d{1,4}(?!\d))?"
+STREET_RU = re.compile(rf"(?<![\w\-])(?:(?i:{_TYPE})\s?{_NAME_RU}|{_ADJ} (?i:{_TYPE})(?![\w\-])){_HOUSE}(?!\d|[.,]\d){_WITHIN}")
 #: A street without regard to a number, to keep its name from being a person's.
 _STREET_ONLY = re.compile(rf"(?<![\w\-])(?:(?i:{_TYPE})\s?{_NAME_RU}|{_ADJ} (?i:{_TYPE})(?![\w\-]))")
-STREET_EN = re.compile(r"(?<![\w\-#№/.])\d{1,5}[A-Za-z]? (?:[A-Z][a-z'’]+ ){1,4}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Close|Crescent|Row|Hill)(?![\w\-])\.?")
+STREET_EN = re.compile(r"(?<![\w\-#№/.])\d{1,5}[A-Za-z]? (?:[A-Z][a-z'’]+ ){1,4}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Close|Crescent|Row|Hill)(?![\w\-])\.?" + _WITHIN_EN)
 STREET_DE = re.compile(r"(?<![\w\-])(?:[A-ZÄÖÜ][a-zäöüß\-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig|pfad|chaussee)|(?:[A-ZÄÖÜ][a-zäöüß\-]+[ \-]){1,3}(?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)|(?:Am|An der|Im|In der|Auf dem|Zum|Zur) [A-ZÄÖÜ][a-zäöüß\-]+) \d{1,4} ?(?:[a-z](?!\w))?(?!\d)")
 
 # --- names ----------------------------------------------------------------------
