@@ -64,9 +64,10 @@ def attribute_key(text: str | None) -> str:
     return hashlib.md5("\x1f".join(parts).encode("utf-8", "replace")).hexdigest()
 
 
-def within_one_slip(a: str, b: str) -> tuple[int, int] | None:
+def within_one_slip(a: str, b: str) -> tuple[int, int, int] | None:
     """Where two strings differ by one insertion, deletion, substitution or swap
-    of neighbours: positions in each; None if they differ otherwise or not.
+    of neighbours: the position and the characters of each; None if they differ
+    otherwise or not.
 
     Banded: only cells next to the diagonal are filled, and the band is a single
     cell wide as long as the strings agree from either end.
@@ -82,34 +83,27 @@ def within_one_slip(a: str, b: str) -> tuple[int, int] | None:
         j += 1
     x, y = a[i : n - j], b[i : m - j]
     if max(len(x), len(y)) <= 1 or (len(x) == len(y) == 2 and x == y[::-1]):
-        return i, i
+        return i, len(x), len(y)
     return None
 
 
-def _word_at(ends: list[int], at: int) -> int:
-    for k, e in enumerate(ends):
-        if at < e:
-            return k
-    return len(ends) - 1
-
-
 def one_slip(a: list[str], b: list[str]) -> bool:
-    """Whether two names (as words) differ by one slip in a long word of letters."""
+    """Whether two names (as words) differ by one slip in a long word of letters:
+    every character that differs is in such a word of its name."""
     where = within_one_slip("".join(a), "".join(b))
     if where is None:
         return False
-    for ws, at in ((a, where[0]), (b, where[1])):
-        if not ws:
-            return False
-        ends, n = [], 0
+    at, longest = where[0], 0
+    for ws, k in ((a, where[1]), (b, where[2])):
+        start = 0
         for w in ws:
-            n += len(w)
-            ends.append(n)
-        # a slip at the seam of two words may belong to either
-        near = {_word_at(ends, at), _word_at(ends, max(0, at - 1))}
-        if not any(len(ws[k]) >= LONG_WORD - 1 and ws[k].isalpha() for k in near):
-            return False
-    return max(len(w) for w in a if w.isalpha()) >= LONG_WORD
+            if start <= at < start + len(w):
+                if k and (not w.isalpha() or len(w) < LONG_WORD - 1 or at + k > start + len(w)):
+                    return False
+                longest = max(longest, len(w) if k else 0)
+                break
+            start += len(w)
+    return longest >= LONG_WORD
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
