@@ -7,9 +7,9 @@ from mergewright.functions.attrs import entries
 
 def test_plain():
     assert chars.plain("ａｂＣ１２") == "abC12"
-    assert chars.plain("до​м­а﻿") == "дома"
-    assert chars.plain("йод") == "йод"
-    assert chars.plain("a b c　d") == "a b c d"
+    assert chars.plain("до\u200bм\u00adа\ufeff") == "дома"
+    assert chars.plain("и\u0306од e\u0301") == "йод \u00e9"
+    assert chars.plain("a\u00a0b\u2009c\u3000d") == "a b c d"
     assert chars.plain("флoy Moдeль SЕNМАR") == "флоу Модель SENMAR"
 
 
