@@ -141,6 +141,9 @@ _TOKEN = re.compile(r"(?:[А-ЯЁ]\.\s?[А-ЯЁ]\.|[А-ЯЁ]\.|[A-Z]\.)|[А-ЯЁ
 _NAMED = re.compile(r"(?<!\w)(?:зовут|получатель:?|покупатель\w*|уважением,?|контакт:?|на имя|возврата:|клиент\w*:?|отправитель:?|regards,?|sincerely,?|gru(?:ß|ss),?|grüßen,?|name:?|name is|this is|mr\.?|mrs\.?|ms\.?|herr|frau|dear)\s+$", re.I)
 
 
+_CONTACT = re.compile(r",? (?:[\d(+#]|паспорт|[Уу]л)")
+
+
 def _tag(tok: str, latin: bool) -> str:
     """F first name, P patronymic, S surname by shape, I initials, C capital word."""
     if tok[-1] == ".":
@@ -185,7 +188,9 @@ def names(text: str, taken: list[tuple[int, int]]) -> list[Finding]:
         shapes = (_LATIN_SHAPES if latin[i] else _RU_SHAPES) + ((_LATIN_NAMED if latin[i] else _RU_NAMED) if named else ())
         hit = max((len(s) for s in shapes if run.startswith(s)), default=0)
         end = toks[i + hit - 1][2] if hit else start
-        if not hit and named and latin[i] and n == 1 and text[toks[i][2] : toks[i][2] + 2] == ", " and i + 1 < len(toks) and tags[i + 1] == "F" and toks[i + 1][1] == toks[i][2] + 2:
+        # surname, first name: where a name is expected or its address or number follows
+        after = toks[i + 1][2] if i + 1 < len(toks) else 0
+        if not hit and n == 1 and tags[i] in "CS" and i + 1 < len(toks) and tags[i + 1] == "F" and latin[i + 1] == latin[i] and text[toks[i][2] : toks[i + 1][1]] == ", " and (named or _CONTACT.match(text, after)):
             hit, end = 2, toks[i + 1][2]  # surname, first name
         if hit and not any(a < end and start < b for a, b in taken):
             out.append(("name", start, end))

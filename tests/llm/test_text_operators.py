@@ -117,6 +117,8 @@ def test_unit_graph():
         ("Меня зовут Егор Дымковин, жду.", [("name", "Егор Дымковин")]),
         ("на имя Дарьи Полынцовой. Р.С. Иванов", [("name", "Дарьи Полынцовой"), ("name", "Р.С. Иванов")]),
         ("Regards, Ashwick, Edith", [("name", "Ashwick, Edith")]),
+        ("ok. Wexmoor, Tobias, 179 Old Tannery Road, Apt 2", [("name", "Wexmoor, Tobias"), ("address", "179 Old Tannery Road, Apt 2")]),
+        ("Bought in Wexmoor, Tobias said so", []),
         ("До этого был Марк Лоэн. Пластилин Анна Вердина Go", []),
         ("Меня зовут Егор, цена 5 ₽ 12.05.2025", []),
         ("", []),
