@@ -45,6 +45,7 @@ def _tables() -> tuple[dict[int, str | None], str, str]:
 FOLD, INVISIBLE, SPACES = _tables()
 #: Escaped code units in JSON text, also in JSON text quoted once more.
 ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
+CONTROL = re.compile(r"\\+[nrtbf]")
 RUN = re.compile(r"[^\W\d_]+")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Two neighbouring letters of different alphabets; cheap test for a mixed run.
@@ -90,10 +91,13 @@ ODD = re.compile("[" + "".join(re.escape(chr(o)) for o in FOLD) + "̀-ͯ҃-҇᪰
 
 
 def unescape(text: str) -> str:
-    """Text with its JSON code unit escapes decoded."""
-    if "\\u" not in text:
+    """Text with its JSON code unit escapes decoded; in JSON text, escaped
+    control characters are spaces."""
+    if "\\" not in text:
         return text
     out = ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), text)
+    if out.lstrip()[:1] in ("{", "[", '"'):
+        out = CONTROL.sub(" ", out)
     return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in out) else out
 
 

@@ -24,6 +24,12 @@ def test_plain_is_stable(t):
     assert chars.plain(once) == once
 
 
+def test_unescape():
+    assert chars.unescape('{"\\u0430": "\\u0431\\nв"}') == '{"а": "б в"}'
+    assert chars.unescape('"{\\"\\\\u0430\\""') == '"{\\"а\\""' and chars.unescape("C:\\new") == "C:\\new"
+    assert chars.unescape("\\ud83d\\udd25") == "🔥"
+
+
 def test_skeleton_ignores_alphabet_case_and_space():
     assert chars.skeleton("Страна  производства") == chars.skeleton("СТPAHA пpoизвoдcтва")
     assert chars.skeleton("год") != chars.skeleton("год.")
