@@ -155,7 +155,7 @@ def scan(items: DataFrame, fields: tuple[str, ...], disguised: dict[str, str]) -
                 for i, s, t in zip(ids, stamps, column.to_pylist()):
                     if not t:
                         continue
-                    if "\\u" in t:
+                    if "\\" in t:
                         t = chars.unescape(t)
                     strange = odd(t) is not None
                     folded = tidy(t) if strange else t
