@@ -28,8 +28,8 @@ from ..operators.skew import hot_keys, hot_split_join
 from ..session import Scratch
 
 #: Rounds of growth per level, and the rate of the exponential shifts.
-ROUNDS = 2
-BETA = 0.8
+ROUNDS = 5
+BETA = 0.35
 MAX_LEVELS = 64
 
 
@@ -48,22 +48,30 @@ def _start(vertex: Column, level: int) -> Column:
     return F.lit(float(ROUNDS)) - F.least(F.lit(float(ROUNDS)), -F.log(draw) / F.lit(BETA))
 
 
-def decompose(edges: DataFrame, level: int, hot: list) -> DataFrame:
+def decompose(edges: DataFrame, level: int, hot: list, scratch: Scratch | None = None) -> DataFrame:
     """Cluster of every end of the edges: (vertex, cluster).
 
-    The state of a vertex is the earliest (arrival, centre) that reached it.
-    Before round r only arrivals earlier than r are settled.
+    The state of a vertex is the earliest (arrival, centre) that reached it. In
+    round r those that arrived within [r - 1, r) are settled and reach out to
+    their neighbours. Every vertex has an arc to itself that carries its own
+    state, so a round reads the state once: one join on the arcs' start, one
+    minimum by their end. Where hot vertices split the join, the state is written
+    between rounds.
     """
-    arcs = edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-    vertices = edges.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
-    own = F.struct(_start(F.col("vertex"), level).alias("at"), F.col("vertex").alias("centre"))
-    state = vertices.select("vertex", own.alias("got"))
-    for r in range(1, ROUNDS + 1):
-        # settled in this round's frontier: arrival within [r - 1, r)
-        frontier = state.where((F.col("got.at") >= r - 1) & (F.col("got.at") < r)).select(F.col("vertex").alias("src"), F.col("got").alias("from"))
-        reach = hot_split_join(arcs, frontier, "src", "inner", hot)
-        offers = reach.select(F.col("dst").alias("vertex"), F.struct((F.col("from.at") + 1.0).alias("at"), F.col("from.centre").alias("centre")).alias("got"))
-        state = state.unionByName(offers).groupBy("vertex").agg(F.min("got").alias("got"))
+    both = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    ends = edges.select(F.explode(F.array("u", "v")).alias("src")).distinct()
+    arcs = edges.select(F.inline(both)).unionByName(ends.withColumn("dst", F.col("src")))
+
+    def reach(met: DataFrame, r: int) -> DataFrame:
+        onward = F.when((F.col("got.at") >= r - 1) & (F.col("got.at") < r), F.struct((F.col("got.at") + 1.0).alias("at"), F.col("got.centre").alias("centre")))
+        got = F.when(F.col("src") == F.col("dst"), F.col("got")).otherwise(onward)
+        return met.select(F.col("dst").alias("vertex"), got.alias("got")).where("got is not null").groupBy("vertex").agg(F.min("got").alias("got"))
+
+    state = reach(arcs.withColumn("got", F.struct(_start(F.col("src"), level).alias("at"), F.col("src").alias("centre"))), 1)
+    for r in range(2, ROUNDS + 1):
+        if hot and scratch:
+            state = scratch.save(state, f"round{r}")
+        state = reach(hot_split_join(arcs, state.withColumnRenamed("vertex", "src"), "src", "inner", hot), r)
     return state.select("vertex", F.col("got.centre").alias("cluster"))
 
 
@@ -75,7 +83,7 @@ def connected_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         arcs = current.select(F.explode(F.array("u", "v")).alias("src"))
         hot = hot_keys(arcs, "src")
-        assigned = scratch.save(decompose(current, level, hot), f"level{level}")
+        assigned = scratch.save(decompose(current, level, hot, scratch), f"level{level}")
         levels.append(assigned)
         a = assigned.select(F.col("vertex").alias("u"), F.col("cluster").alias("cu"))
         b = assigned.select(F.col("vertex").alias("v"), F.col("cluster").alias("cv"))
