@@ -227,3 +227,9 @@ def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windowed counts with a watermark (the same plan runs on a stream)."""
     return streams.windowed_counts(table(spark, d, "events", "ts", "event_type"), "ts", "1 hour", "1 hour", "event_type")
+
+
+@query("ordered_listing")
+def ordered_listing(spark: SparkSession, d: str) -> DataFrame:
+    """K4: the folder's tables in order, then two extra names."""
+    return io.ordered_listing(spark, d, "*.parquet", ("last", "last_ema"))

@@ -97,3 +97,15 @@ def command_table(spark: SparkSession, text: str, columns: str) -> DataFrame:
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files below a folder: path, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+
+
+def ordered_listing(spark: SparkSession, path: str, glob: str, extras: tuple[str, ...] = ()) -> DataFrame:
+    """K4: names of matching files in order, then extra names, with positions.
+
+    A folder's listing is metadata; names are sorted by the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
+    found = p.getFileSystem(conf).globStatus(p) or []
+    names = sorted(s.getPath().getName() for s in found)
+    return spark.createDataFrame(list(enumerate([*names, *extras])), "position int, name string")
