@@ -242,10 +242,10 @@ def read(name: str | None, attributes: str | None, brands: Brands, memo: dict) -
     if name:
         text = " ".join(chars.plain(name).split())
         coded = q.without_codes(text).lower()
-        if out["size"] is None and (m := _SIZE_NAME.search(coded)):
+        if out["size"] is None and q.speaks_of_size(coded) and (m := _SIZE_NAME.search(coded)):
             out["size"] = (m[1] or m[2]).replace(",", ".")
         if q._DIGIT.search(coded):
-            if out["pack"] is None and (m := _PACK_NAME.search(coded)):
+            if out["pack"] is None and q.speaks_of_pack(coded) and (m := _PACK_NAME.search(coded)):
                 out["pack"] = int(m[1] or m[2] or m[3])
             coded = q.without_counts(coded)
             out["amounts"] += q.mentions_of(coded)

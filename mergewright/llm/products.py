@@ -107,8 +107,9 @@ def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
         return F.when(F.col("type").isin(which[f]) | F.col("type").isNull(), value).alias(f)
 
     own = listings.select("id", *WHO, *[kept(f) for f in FEATURES])
-    text = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
-    keys = {"k1": F.xxhash64(text, F.lit(1)), "k2": F.xxhash64(text, F.lit(2))}
+    # two hashes of all fields; nulls are values, or they would be skipped
+    filled = [F.coalesce(f, F.lit(-1).cast("long") if f in KINDS or f == "pack" else F.lit("")) for f in FIELDS]
+    keys = {"k1": F.xxhash64(F.lit(1), *filled), "k2": F.xxhash64(F.lit(2), *filled)}
     reps = own.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys)
     return own.withColumns(keys).select("id", "k1", "k2"), scratch.save(reps, "reps")
 

@@ -154,9 +154,24 @@ def without_codes(text: str) -> str:
     return _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
 
 
+def speaks_of_size(text: str) -> bool:
+    """Cheap test for what every size pattern holds."""
+    return "р." in text or "р-р" in text or "размер" in text or "size" in text
+
+
+_TIMES = re.compile(r"[xх]\s?\d")
+
+
+def speaks_of_pack(text: str) -> bool:
+    """Cheap test for what every pack pattern holds."""
+    return "шт" in text or "из " in text or "pcs" in text or "pieces" in text or "of " in text or "пар" in text or "набор " in text or "упаковка " in text or "set " in text or "pack " in text or _TIMES.search(text) is not None
+
+
 def without_counts(text: str) -> str:
-    """Lower-case text without packs and sizes."""
-    return _SIZE.sub(" ; ", _PACK.sub(" ; ", text))
+    """Lower-case text, with single spaces, without packs and sizes."""
+    if speaks_of_pack(text):
+        text = _PACK.sub(" ; ", text)
+    return _SIZE.sub(" ; ", text) if speaks_of_size(text) else text
 
 
 def without_amounts(text: str) -> str:
