@@ -31,6 +31,11 @@ def human(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("id").agg(F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("attributes", F.lit("")).alias("attributes"), "category")).alias("r")).select("id", "r.*")
 
 
+def whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all current items as texts; a null name is an empty one."""
+    return current(spark, d).select("id", F.coalesce("name", F.lit("")).alias("text"))
+
+
 def thinned_texts(spark: SparkSession, d: str) -> DataFrame:
     """Names as texts, without some items and with some empty ones."""
     t = current(spark, d).where(F.col("id") % 50 != 0)
@@ -38,7 +43,14 @@ def thinned_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 TEXTS_SQL = f"(select id, case when id % 51 = 0 then '' else coalesce(name, '') end as text from {CURRENT_SQL} where id % 50 <> 0)"
-JOINED_SQL = f"select p.*, coalesce(a.text, '') as text1, coalesce(b.text, '') as text2, a.id is not null as has1, b.id is not null as has2 from ({X}) p left join {TEXTS_SQL} a on p.id1 = a.id left join {TEXTS_SQL} b on p.id2 = b.id"
+WHOLE_TEXTS_SQL = f"(select id, coalesce(name, '') as text from {CURRENT_SQL})"
+
+
+def joined_sql(texts: str) -> str:
+    return f"select p.*, coalesce(a.text, '') as text1, coalesce(b.text, '') as text2, a.id is not null as has1, b.id is not null as has2 from ({X}) p left join {texts} a on p.id1 = a.id left join {texts} b on p.id2 = b.id"
+
+
+JOINED_SQL, WHOLE_JOINED_SQL = joined_sql(TEXTS_SQL), joined_sql(WHOLE_TEXTS_SQL)
 
 
 @query("band_confident", f"select pair_id, target, (target >= 0.5)::int as y from ({X}) where target <= 0.2 or target >= 0.8")
@@ -104,18 +116,36 @@ def pair_text_preserve(spark: SparkSession, d: str) -> DataFrame:
     return J.pair_texts(pairs(spark, d), thinned_texts(spark, d), "preserve").select("pair_id", "text1", "text2")
 
 
+@query("pair_text_preserve_whole", f"select pair_id, text1, text2 from ({WHOLE_JOINED_SQL})")
+def pair_text_preserve_whole(spark: SparkSession, d: str) -> DataFrame:
+    """J1 with the whole catalogue."""
+    return J.pair_texts(pairs(spark, d), whole_texts(spark, d), "preserve").select("pair_id", "text1", "text2")
+
+
 @query("pair_text_drop", f"select pair_id, text1, text2 from ({JOINED_SQL}) where text1 <> '' and text2 <> ''")
 def pair_text_drop(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with a missing or empty text are dropped."""
     return J.pair_texts(pairs(spark, d), thinned_texts(spark, d), "drop").select("pair_id", "text1", "text2")
 
 
+@query("pair_text_drop_whole", f"select pair_id, text1, text2 from ({WHOLE_JOINED_SQL}) where text1 <> '' and text2 <> ''")
+def pair_text_drop_whole(spark: SparkSession, d: str) -> DataFrame:
+    """J1 with the whole catalogue."""
+    return J.pair_texts(pairs(spark, d), whole_texts(spark, d), "drop").select("pair_id", "text1", "text2")
+
+
 @query("missing_counts", f"select count(*) as n_pairs, sum((not has1)::int + (not has2)::int)::bigint as missing_items, sum((has1 and text1 = '')::int + (has2 and text2 = '')::int)::bigint as empty_texts from ({JOINED_SQL})")
 def missing_counts(spark: SparkSession, d: str) -> DataFrame:
     """A12."""
     return J.missing_counts(J.pair_texts(pairs(spark, d), thinned_texts(spark, d)))
 
 
+@query("missing_counts_whole", f"select count(*) as n_pairs, sum((not has1)::int + (not has2)::int)::bigint as missing_items, sum((has1 and text1 = '')::int + (has2 and text2 = '')::int)::bigint as empty_texts from ({WHOLE_JOINED_SQL})")
+def missing_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A12 with the whole catalogue."""
+    return J.missing_counts(J.pair_texts(pairs(spark, d), whole_texts(spark, d)))
+
+
 @query("category_default", f"select p.pair_id, coalesce(c.category, 'unknown') as category from ({X}) p left join (select id, {CATEGORY_SQL} as category from {CURRENT_SQL}) c on p.id1 = c.id")
 def category_default(spark: SparkSession, d: str) -> DataFrame:
     """Category of id1 with a default."""
@@ -273,11 +303,21 @@ def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
     return P.sharded(b, 4).select("pair_id", "position", "batch", "shard")
 
 
+def _by_length(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
+    j = J.pair_texts(pairs(spark, d), texts)
+    return P.length_buckets(j, 8, "text1", "text2").select("pair_id", (F.length("text1") + F.length("text2")).cast("long").alias("len"))
+
+
 @query("length_sorted", f"select pair_id, length(text1) + length(text2) as len from ({JOINED_SQL})")
 def length_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Pairs in length buckets; the pair's key restores the order."""
-    j = J.pair_texts(pairs(spark, d), thinned_texts(spark, d))
-    return P.length_buckets(j, 8, "text1", "text2").select("pair_id", (F.length("text1") + F.length("text2")).cast("long").alias("len"))
+    return _by_length(spark, d, thinned_texts(spark, d))
+
+
+@query("length_sorted_whole", f"select pair_id, length(text1) + length(text2) as len from ({WHOLE_JOINED_SQL})")
+def length_sorted_whole(spark: SparkSession, d: str) -> DataFrame:
+    """K2, X14 with the whole catalogue."""
+    return _by_length(spark, d, whole_texts(spark, d))
 
 
 @query("log_tail", "select event_id, event_type from (select * from events where event_type = 'click' order by ts desc, event_id desc limit 20)")

@@ -16,7 +16,7 @@ from ..sources.tables import current_rows, table
 from ..streaming import pairs as streams
 from .fixtures import pairs, pairs_sql
 from .registry import query
-from .relational import CURRENT_SQL, JOINED_SQL, thinned_texts
+from .relational import CURRENT_SQL, JOINED_SQL, WHOLE_JOINED_SQL, thinned_texts, whole_texts
 
 #: White space by its Unicode property, and the separators Python adds, for RE2.
 WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -118,19 +118,33 @@ def key_priority(spark: SparkSession, d: str) -> DataFrame:
 _TOK = f"list_filter(list_distinct(string_split(lower(regexp_replace(@, '{WS}+', ' ', 'g')), ' ')), lambda t: t <> '')"
 
 
-@query("symmetric_score", f"""with j as (select pair_id, {_TOK.replace('@', 'text1')} as a, {_TOK.replace('@', 'text2')} as b from ({JOINED_SQL}))
-  select pair_id, round(case when len(list_distinct(a || b)) > 0 then len(list_intersect(a, b))::double / len(list_distinct(a || b)) else 0.0 end, 6) as predict from j""")
-def symmetric_score(spark: SparkSession, d: str) -> DataFrame:
-    """M1, M2, X21 natively: the token scorer in both directions."""
-    j = J.pair_texts(pairs(spark, d), thinned_texts(spark, d))
+def _symmetric_sql(joined: str) -> str:
+    return f"""with j as (select pair_id, {_TOK.replace('@', 'text1')} as a, {_TOK.replace('@', 'text2')} as b from ({joined}))
+  select pair_id, round(case when len(list_distinct(a || b)) > 0 then len(list_intersect(a, b))::double / len(list_distinct(a || b)) else 0.0 end, 6) as predict from j"""
+
+
+def _symmetric(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
+    j = J.pair_texts(pairs(spark, d), texts)
     one, two = M.token_jaccard(F.col("text1"), F.col("text2")), M.token_jaccard(F.col("text2"), F.col("text1"))
     return j.select("pair_id", F.round((one + two) * 0.5, 6).alias("predict"))
 
 
+@query("symmetric_score", _symmetric_sql(JOINED_SQL))
+def symmetric_score(spark: SparkSession, d: str) -> DataFrame:
+    """M1, M2, X21 natively: the token scorer in both directions."""
+    return _symmetric(spark, d, thinned_texts(spark, d))
+
+
+@query("symmetric_score_whole", _symmetric_sql(WHOLE_JOINED_SQL))
+def symmetric_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """M1, M2, X21 natively with the whole catalogue."""
+    return _symmetric(spark, d, whole_texts(spark, d))
+
+
 @query("plugged_scorer")
 def plugged_scorer(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2, K2: a scorer made once per task, in length buckets."""
-    j = J.pair_texts(pairs(spark, d).select("pair_id", "id1", "id2"), thinned_texts(spark, d)).drop("has1", "has2")
+    j = J.pair_texts(pairs(spark, d).select("pair_id", "id1", "id2"), whole_texts(spark, d)).drop("has1", "has2")
     return M.score_pairs(j, M.TokenJaccard, both_ways=True, buckets=8).select("pair_id", F.round("predict", 6).alias("predict"))
 
 
@@ -211,18 +225,32 @@ def registry_check(spark: SparkSession, d: str) -> DataFrame:
     return V.registry_problems(c, s)
 
 
-@query("stream_pairs", f"select count(*) as n, sum((text1 <> '')::int)::bigint as n_text1, round(sum(target), 4) as total from ({JOINED_SQL})")
-def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """S3, J1 as a stream: pairs arrive as files and meet the catalogue."""
+def _stream_sql(joined: str) -> str:
+    return f"select count(*) as n, sum((text1 <> '')::int)::bigint as n_text1, round(sum(target), 4) as total from ({joined})"
+
+
+def _streamed(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "stream")
     src = scratch.save(pairs(spark, d), "pairs")
-    stream = streams.with_texts(streams.pair_stream(spark, src._scratch_path, src.schema), thinned_texts(spark, d))
+    stream = streams.with_texts(streams.pair_stream(spark, src._scratch_path, src.schema), texts)
     out = scratch.path("out")
     streams.run_available(stream.select("pair_id", "target", "text1", "text2"), out, scratch.path("offsets"))
     got = spark.read.parquet(out)
     return got.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("text1") != "", 1)).alias("n_text1"), F.round(F.sum("target"), 4).alias("total"))
 
 
+@query("stream_pairs", _stream_sql(JOINED_SQL))
+def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """S3, J1 as a stream: pairs arrive as files and meet the catalogue."""
+    return _streamed(spark, d, thinned_texts(spark, d))
+
+
+@query("stream_pairs_whole", _stream_sql(WHOLE_JOINED_SQL))
+def stream_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """S3, J1 as a stream with the whole catalogue."""
+    return _streamed(spark, d, whole_texts(spark, d))
+
+
 @query("event_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windowed counts with a watermark (the same plan runs on a stream)."""
