@@ -12,6 +12,8 @@ from ..sources.tables import table
 PROBLEM = ("Обувь", "Одежда", "Галантерея и аксессуары", "Ювелирные изделия")
 PROBLEM_SQL = ", ".join(f"'{c}'" for c in PROBLEM)
 OVERSAMPLED = "Обувь"
+#: The reference's rows per category: P1, K1, P3.
+POOL, HARD, ANCHOR = 12_000, 8_000, 3_000
 
 
 def named_category(c: str = "category"):

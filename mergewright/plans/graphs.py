@@ -12,7 +12,7 @@ from ..operators import sampling as P
 from ..operators import soup as M
 from ..operators.joins import oversampled
 from ..operators.metrics import argmax
-from .fixtures import OVERSAMPLED, PROBLEM, hash_sql, pairs, pairs_sql, scored, scored_sql, unit_sql
+from .fixtures import ANCHOR, HARD, OVERSAMPLED, POOL, PROBLEM, hash_sql, pairs, pairs_sql, scored, scored_sql, unit_sql
 from .registry import query
 
 LINKS_SQL = f"(select id1, id2 from ({pairs_sql('matches_llm')}) where target >= 0.8)"
@@ -80,13 +80,13 @@ def _teacher(df: DataFrame) -> DataFrame:
     return df.withColumn("teacher", unit_hash("t", F.col("pair_id")))
 
 
-def training_frame(spark: SparkSession, d: str) -> DataFrame:
+def training_frame(spark: SparkSession, d: str, pool_cap: int = POOL, hard: int = HARD, anchor: int = ANCHOR) -> DataFrame:
     """people's pairs with one category twice, replay and grey pairs."""
     human = _teacher(oversampled(pairs(spark, d).where("split_name = 'train'"), F.col("category") == OVERSAMPLED))
     llm = _teacher(pairs(spark, d, "matches_llm").where("split_name = 'train'"))
-    pool = P.sample_per_group(llm.where(P.confident(F.col("target"))), ["category"], 200, 31, "pair_id")
+    pool = P.sample_per_group(llm.where(P.confident(F.col("target"))), ["category"], pool_cap, 31, "pair_id")
     pool = pool.withColumn("err", F.abs(F.col("teacher") - F.col("target")))
-    replay = P.hard_and_anchor(pool.drop("source"), ["category"], "err", 100, 40, 32, ["id1", "id2"], "pair_id")
+    replay = P.hard_and_anchor(pool.drop("source"), ["category"], "err", hard, anchor, 32, ["id1", "id2"], "pair_id")
     grey = llm.where(P.grey(F.col("target")))
     return R.train_frame(R.human_rows(human), R.replay_rows(replay), R.grey_rows(grey))
 
@@ -95,23 +95,33 @@ _LLM = f"(select *, {unit_sql(repr('t'), 'pair_id')} as teacher from ({pairs_sql
 _HUMAN = f"(select *, {unit_sql(repr('t'), 'pair_id')} as teacher from ({pairs_sql()}) where split_name = 'train')"
 
 
-@query(
-    "train_frame",
-    f"""with human as (select * from {_HUMAN} union all select * from {_HUMAN} where category = '{OVERSAMPLED}'), llm as {_LLM},
-  pool as (select *, abs(teacher - target) as err from (select *, row_number() over (partition by category order by {hash_sql(repr('31'), 'pair_id')}, pair_id) as n from llm where target <= 0.2 or target >= 0.8) where n <= 200),
-  hard as (select * from (select * exclude (n), row_number() over (partition by category order by err desc, pair_id) as n from pool) where n <= 100),
+def _frame_sql(pool_cap: int, hard: int, anchor: int) -> str:
+    return f"""with human as (select * from {_HUMAN} union all select * from {_HUMAN} where category = '{OVERSAMPLED}'), llm as {_LLM},
+  pool as (select *, abs(teacher - target) as err from (select *, row_number() over (partition by category order by {hash_sql(repr('31'), 'pair_id')}, pair_id) as n from llm where target <= 0.2 or target >= 0.8) where n <= {pool_cap}),
+  hard as (select * from (select * exclude (n), row_number() over (partition by category order by err desc, pair_id) as n from pool) where n <= {hard}),
   rest as (select * exclude (n) from pool p where not exists (select 1 from hard h where h.category = p.category and h.id1 = p.id1 and h.id2 = p.id2)),
-  anchor as (select * from (select *, row_number() over (partition by category order by {hash_sql(repr('32'), 'pair_id')}, pair_id) as n from rest) where n <= 40),
+  anchor as (select * from (select *, row_number() over (partition by category order by {hash_sql(repr('32'), 'pair_id')}, pair_id) as n from rest) where n <= {anchor}),
   f as (select 'human' as source, category, target, greatest(0.001::double, least(0.999::double, teacher)) as tp, 3.5 + 2.0 * abs(greatest(0.001::double, least(0.999::double, teacher)) - target) as lw, 0.02::double as dw, 0.0::double as gd from human
    union all select 'llm_hard', category, target, greatest(0.001::double, least(0.999::double, teacher)), 1.5, 0.08, 0.0 from hard
    union all select 'llm_anchor', category, target, greatest(0.001::double, least(0.999::double, teacher)), 0.8, 1.0, 0.0 from anchor
    union all select 'gray', category, target, greatest(0.001::double, least(0.999::double, teacher)), 0.25, 0.05, 1.0 from llm where target > 0.2 and target < 0.8)
-  select source, category, count(*) as n, round(avg(lw), 4) as label_weight, round(avg(tp), 4) as teacher_prob, round(avg(dw), 4) as distill_weight, round(avg(gd), 4) as gray_distill_weight from f group by source, category""",
-)
+  select source, category, count(*) as n, round(avg(lw), 4) as label_weight, round(avg(tp), 4) as teacher_prob, round(avg(dw), 4) as distill_weight, round(avg(gd), 4) as gray_distill_weight from f group by source, category"""
+
+
+def _summed(f: DataFrame) -> DataFrame:
+    return f.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in ("label_weight", "teacher_prob", "distill_weight", "gray_distill_weight")])
+
+
+@query("train_frame", _frame_sql(200, 100, 40))
 def train_frame(spark: SparkSession, d: str) -> DataFrame:
     """The frame, summed up per source and category."""
-    f = training_frame(spark, d)
-    return f.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in ("label_weight", "teacher_prob", "distill_weight", "gray_distill_weight")])
+    return _summed(training_frame(spark, d, 200, 100, 40))
+
+
+@query("train_frame_whole", _frame_sql(POOL, HARD, ANCHOR))
+def train_frame_whole(spark: SparkSession, d: str) -> DataFrame:
+    """R1 to R4, R6, U4 at the reference's limits."""
+    return _summed(training_frame(spark, d))
 
 
 @query("train_frame_rows")

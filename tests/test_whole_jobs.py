@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mergewright.plans import core, relational
-from mergewright.plans.fixtures import pairs
+from mergewright.plans.fixtures import ANCHOR, HARD, POOL, pairs
 
 from .conftest import SF
 
@@ -23,3 +23,12 @@ def test_whole_texts_have_all_current_items(spark):
     touched = pairs(spark, SF).where("id1 % 50 = 0 or id1 % 51 = 0").join(relational.current(spark, SF).where("name <> ''").select(F.col("id").alias("id1")), "id1", "left_semi")
     texts = core.QUERIES["pair_text_preserve_whole"](spark, SF)
     assert not touched.isEmpty() and touched.join(texts.where("text1 = ''"), "pair_id", "left_semi").isEmpty()
+
+
+def test_training_frame_keeps_the_reference_limits(spark):
+    """No category of the small tables reaches a limit, so every confident pair is a hard one."""
+    llm = pairs(spark, SF, "matches_llm").where("split_name = 'train' and (target <= 0.2 or target >= 0.8)")
+    assert llm.groupBy("category").count().where("count > 8000").isEmpty()
+    hard = core.QUERIES["train_frame_rows"](spark, SF).where("source = 'llm_hard'")
+    assert hard.count() == llm.count()
+    assert (POOL, HARD, ANCHOR) == (12_000, 8_000, 3_000)
