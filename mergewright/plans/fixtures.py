@@ -12,8 +12,9 @@ from ..sources.tables import table
 PROBLEM = ("Обувь", "Одежда", "Галантерея и аксессуары", "Ювелирные изделия")
 PROBLEM_SQL = ", ".join(f"'{c}'" for c in PROBLEM)
 OVERSAMPLED = "Обувь"
-#: The reference's rows per category: P1, K1, P3.
+#: The reference's rows per category: P1, K1, P3; P2 for problems and others; W3.
 POOL, HARD, ANCHOR = 12_000, 8_000, 3_000
+GREY_PROBLEM, GREY_OTHER, FAST_VAL = 2_000, 500, 3_000
 
 
 def named_category(c: str = "category"):

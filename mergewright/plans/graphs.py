@@ -12,7 +12,7 @@ from ..operators import sampling as P
 from ..operators import soup as M
 from ..operators.joins import oversampled
 from ..operators.metrics import argmax
-from .fixtures import ANCHOR, HARD, OVERSAMPLED, POOL, PROBLEM, hash_sql, pairs, pairs_sql, scored, scored_sql, unit_sql
+from .fixtures import ANCHOR, FAST_VAL, HARD, OVERSAMPLED, POOL, PROBLEM, hash_sql, pairs, pairs_sql, scored, scored_sql, unit_sql
 from .registry import query
 
 LINKS_SQL = f"(select id1, id2 from ({pairs_sql('matches_llm')}) where target >= 0.8)"
@@ -130,19 +130,33 @@ def train_frame_rows(spark: SparkSession, d: str) -> DataFrame:
     return training_frame(spark, d)
 
 
-@query("stage_frames", COMPONENTS_SQL + f""", m as (select *, {unit_sql(repr('13'), 'component')} < 0.3 as held from {ROWS_SQL}),
+def _stage_sql(fast: int) -> str:
+    return COMPONENTS_SQL + f""", m as (select *, {unit_sql(repr('13'), 'component')} < 0.3 as held from {ROWS_SQL}),
  v as (select *, row_number() over (partition by category order by {hash_sql(repr('0'), 'pair_id')}, pair_id) as n from m where held and (target <= 0.2 or target >= 0.8))
- select 'train' as part, count(*) as n from m where not held union all select 'holdout', count(*) from v union all select 'fast_val', count(*) from v where n <= 20""")
-def stage_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Training, hold-out and a capped validation frame from components."""
+ select 'train' as part, count(*) as n from m where not held union all select 'holdout', count(*) from v union all select 'fast_val', count(*) from v where n <= {fast}"""
+
+
+def _stages(spark: SparkSession, d: str, fast: int) -> DataFrame:
     rows = G.with_component(pairs(spark, d, "matches_llm"), G.components(_links(spark, d)))
     held = G.held_out(F.col("component"), 0.3, 13)
     hold = rows.where(held & P.confident(F.col("target")))
-    parts = [(rows.where(~held), "train"), (hold, "holdout"), (P.sample_per_group(hold, ["category"], 20, 0, "pair_id"), "fast_val")]
+    parts = [(rows.where(~held), "train"), (hold, "holdout"), (P.sample_per_group(hold, ["category"], fast, 0, "pair_id"), "fast_val")]
     out = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for df, n in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("stage_frames", _stage_sql(20))
+def stage_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Training, hold-out and a capped validation frame from components."""
+    return _stages(spark, d, 20)
+
+
+@query("stage_frames_whole", _stage_sql(FAST_VAL))
+def stage_frames_whole(spark: SparkSession, d: str) -> DataFrame:
+    """R5 with the reference's limit of the validation frame."""
+    return _stages(spark, d, FAST_VAL)
+
+
 @query("eval_frames", f"select split_name, category, count(*) as n, count(*) filter (target > 0.2 and target < 0.8) as n_grey from ({pairs_sql()}) where split_name in ('tune', 'eval') group by split_name, category")
 def eval_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames for selection, by category."""

@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..operators import sampling as P
 from ..operators.metrics import observed
 from ..sources.tables import current_rows, table
-from .fixtures import OVERSAMPLED, PROBLEM, PROBLEM_SQL, hash_sql, named_category, pairs, pairs_sql, scored, scored_sql, unit_sql
+from .fixtures import ANCHOR, FAST_VAL, GREY_OTHER, GREY_PROBLEM, HARD, OVERSAMPLED, POOL, PROBLEM, PROBLEM_SQL, hash_sql, named_category, pairs, pairs_sql, scored, scored_sql, unit_sql
 from .registry import query
 
 X, S = pairs_sql(), scored_sql()
@@ -251,6 +251,12 @@ def pool_per_category(spark: SparkSession, d: str) -> DataFrame:
     return P.sample_per_group(scored(spark, d), ["category"], 120, 1, "pair_id").select("pair_id", "category")
 
 
+@query("pool_per_category_whole", _per_group_sql(str(POOL), "1"))
+def pool_per_category_whole(spark: SparkSession, d: str) -> DataFrame:
+    """P1 at the reference's limit."""
+    return P.sample_per_group(scored(spark, d), ["category"], POOL, 1, "pair_id").select("pair_id", "category")
+
+
 @query("grey_caps", _per_group_sql(f"case when category in ({PROBLEM_SQL}) then 40 else 10 end", "2", "target > 0.2 and target < 0.8"))
 def grey_caps(spark: SparkSession, d: str) -> DataFrame:
     """Caps by category."""
@@ -258,12 +264,25 @@ def grey_caps(spark: SparkSession, d: str) -> DataFrame:
     return P.sample_per_group(scored(spark, d).where(P.grey(F.col("target"))), ["category"], cap, 2, "pair_id").select("pair_id", "category")
 
 
+@query("grey_caps_whole", _per_group_sql(f"case when category in ({PROBLEM_SQL}) then {GREY_PROBLEM} else {GREY_OTHER} end", "2", "target > 0.2 and target < 0.8"))
+def grey_caps_whole(spark: SparkSession, d: str) -> DataFrame:
+    """P2 at the reference's limits."""
+    cap = F.when(F.col("category").isin(*PROBLEM), GREY_PROBLEM).otherwise(GREY_OTHER)
+    return P.sample_per_group(scored(spark, d).where(P.grey(F.col("target"))), ["category"], cap, 2, "pair_id").select("pair_id", "category")
+
+
 @query("fast_val_head", _per_group_sql("30", "3", "split_name = 'eval'"))
 def fast_val_head(spark: SparkSession, d: str) -> DataFrame:
     """Head of a keyed shuffle per category."""
     return P.sample_per_group(scored(spark, d).where("split_name = 'eval'"), ["category"], 30, 3, "pair_id").select("pair_id", "category")
 
 
+@query("fast_val_head_whole", _per_group_sql(str(FAST_VAL), "3", "split_name = 'eval'"))
+def fast_val_head_whole(spark: SparkSession, d: str) -> DataFrame:
+    """W3, P5 at the reference's limit."""
+    return P.sample_per_group(scored(spark, d).where("split_name = 'eval'"), ["category"], FAST_VAL, 3, "pair_id").select("pair_id", "category")
+
+
 HARD_SQL = f"(select *, row_number() over (partition by category order by abs(p - target) desc, pair_id) as n from ({S}))"
 
 
@@ -274,16 +293,34 @@ def hard_topk(spark: SparkSession, d: str) -> DataFrame:
     return P.top_k(x, ["category"], 80, F.col("err").desc(), F.col("pair_id")).select("pair_id", "category", F.round("err", 6).alias("err"))
 
 
-@query(
-    "hard_plus_anchor",
-    f"""with h as (select * from {HARD_SQL} where n <= 80), r as (select x.* from ({S}) x where not exists (select 1 from h where h.category = x.category and h.id1 = x.id1 and h.id2 = x.id2)),
-    a as (select * from (select *, row_number() over (partition by category order by {hash_sql(repr('4'), 'pair_id')}, pair_id) as n from r) where n <= 30)
-    select pair_id, 'llm_hard' as source from h union all select pair_id, 'llm_anchor' from a""",
-)
+@query("hard_topk_whole", f"select pair_id, category, round(abs(p - target), 6) as err from {HARD_SQL} where n <= {HARD}")
+def hard_topk_whole(spark: SparkSession, d: str) -> DataFrame:
+    """K1 at the reference's limit."""
+    x = scored(spark, d).withColumn("err", F.abs(F.col("p") - F.col("target")))
+    return P.top_k(x, ["category"], HARD, F.col("err").desc(), F.col("pair_id")).select("pair_id", "category", F.round("err", 6).alias("err"))
+
+
+def _hard_plus_anchor_sql(hard: int, anchor: int) -> str:
+    return f"""with h as (select * from {HARD_SQL} where n <= {hard}), r as (select x.* from ({S}) x where not exists (select 1 from h where h.category = x.category and h.id1 = x.id1 and h.id2 = x.id2)),
+    a as (select * from (select *, row_number() over (partition by category order by {hash_sql(repr('4'), 'pair_id')}, pair_id) as n from r) where n <= {anchor})
+    select pair_id, 'llm_hard' as source from h union all select pair_id, 'llm_anchor' from a"""
+
+
+def _hard_plus_anchor(spark: SparkSession, d: str, hard: int, anchor: int) -> DataFrame:
+    x = scored(spark, d).withColumn("err", F.abs(F.col("p") - F.col("target")))
+    return P.hard_and_anchor(x, ["category"], "err", hard, anchor, 4, ["id1", "id2"], "pair_id").select("pair_id", "source")
+
+
+@query("hard_plus_anchor", _hard_plus_anchor_sql(80, 30))
 def hard_plus_anchor(spark: SparkSession, d: str) -> DataFrame:
     """K1, J7, P3, P4."""
-    x = scored(spark, d).withColumn("err", F.abs(F.col("p") - F.col("target")))
-    return P.hard_and_anchor(x, ["category"], "err", 80, 30, 4, ["id1", "id2"], "pair_id").select("pair_id", "source")
+    return _hard_plus_anchor(spark, d, 80, 30)
+
+
+@query("hard_plus_anchor_whole", _hard_plus_anchor_sql(HARD, ANCHOR))
+def hard_plus_anchor_whole(spark: SparkSession, d: str) -> DataFrame:
+    """K1, J7, P3, P4 at the reference's limits."""
+    return _hard_plus_anchor(spark, d, HARD, ANCHOR)
 
 
 @query(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mergewright.plans import core, relational
-from mergewright.plans.fixtures import ANCHOR, HARD, POOL, pairs
+from mergewright.plans.fixtures import ANCHOR, HARD, POOL, PROBLEM, pairs
 
 from .conftest import SF
 
@@ -32,3 +32,23 @@ def test_training_frame_keeps_the_reference_limits(spark):
     hard = core.QUERIES["train_frame_rows"](spark, SF).where("source = 'llm_hard'")
     assert hard.count() == llm.count()
     assert (POOL, HARD, ANCHOR) == (12_000, 8_000, 3_000)
+
+
+def test_samples_reach_the_reference_limits(spark):
+    """The whole forms take min(limit, rows) of each category."""
+    x = pairs(spark, SF)
+    n = {r["category"]: r["count"] for r in x.groupBy("category").count().collect()}
+    grey = {r["category"]: r["count"] for r in x.where("target > 0.2 and target < 0.8").groupBy("category").count().collect()}
+    held = {r["category"]: r["count"] for r in x.where("split_name = 'eval'").groupBy("category").count().collect()}
+    assert max(n.values()) > 80
+    want = {
+        "pool_per_category": sum(min(k, 12_000) for k in n.values()),
+        "hard_topk": sum(min(k, 8_000) for k in n.values()),
+        "hard_plus_anchor": sum(min(k, 11_000) for k in n.values()),
+        "grey_caps": sum(min(k, 2_000 if c in PROBLEM else 500) for c, k in grey.items()),
+        "fast_val_head": sum(min(k, 3_000) for k in held.values()),
+    }
+    got = {q: core.QUERIES[f"{q}_whole"](spark, SF).count() for q in want}
+    assert got == want
+    parts = {r["part"]: r["n"] for r in core.QUERIES["stage_frames_whole"](spark, SF).collect()}
+    assert parts["fast_val"] == parts["holdout"]
