@@ -33,21 +33,23 @@ def _entry_of(pairs: _Pairs) -> Entry | None:
     return None
 
 
-def _walk(key: str | None, node: object, out: list[Entry], depth: int) -> None:
-    if depth > 20:
-        return
-    if isinstance(node, _Pairs):
-        if key is None and (e := _entry_of(node)):
-            _walk(e[0], e[1], out, depth + 1)
-        else:
-            for k, v in node:
-                _walk(k, v, out, depth + 1)
-    elif isinstance(node, list):
-        for x in node:
+def _walk(root: object) -> list[Entry]:
+    """Entries below a node in text order, at any depth."""
+    out: list[Entry] = []
+    todo: list[tuple[str | None, object]] = [(None, root)]
+    while todo:
+        key, node = todo.pop()
+        if isinstance(node, _Pairs):
+            if key is None and (e := _entry_of(node)):
+                todo.append(e)
+            else:
+                todo += reversed(node)
+        elif isinstance(node, list):
             # the objects of a list may be entries themselves
-            _walk(None if isinstance(x, _Pairs) else key, x, out, depth + 1)
-    elif key is not None:
-        out.append((key, node))
+            todo += [(None if isinstance(x, _Pairs) else key, x) for x in reversed(node)]
+        elif key is not None:
+            out.append((key, node))
+    return out
 
 
 def entries(text: str | None) -> list[Entry]:
@@ -75,6 +77,4 @@ def entries(text: str | None) -> list[Entry]:
             return []
     else:
         return []
-    out: list[Entry] = []
-    _walk(None, node, out, 0)
-    return out
+    return _walk(node)

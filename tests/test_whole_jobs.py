@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mergewright.functions import attrs
 from mergewright.plans import core, relational
 from mergewright.plans.fixtures import ANCHOR, HARD, POOL, PROBLEM, pairs
 
@@ -52,3 +53,10 @@ def test_samples_reach_the_reference_limits(spark):
     assert got == want
     parts = {r["part"]: r["n"] for r in core.QUERIES["stage_frames_whole"](spark, SF).collect()}
     assert parts["fast_val"] == parts["holdout"]
+
+
+def test_entries_below_many_groups_are_read():
+    for depth in (3, 21, 200):
+        text = '{"g": ' * depth + '{"a": "1", "b": ["2", "3"]}' + "}" * depth
+        assert attrs.entries(text) == [("a", "1"), ("b", "2"), ("b", "3")]
+        assert attrs.entries("[" * depth + '{"name": "a", "value": "1"}' + "]" * depth) == [("a", "1")]
