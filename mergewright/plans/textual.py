@@ -194,6 +194,16 @@ def partial_cache(spark: SparkSession, d: str) -> DataFrame:
     return io.cached_parts(spark, where, "source", parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("partial_cache_whole", f"select source, count(*) as n from ({pairs_sql()}) group by source")
+def partial_cache_whole(spark: SparkSession, d: str) -> DataFrame:
+    """S13 over every source of the table."""
+    where, x = Scratch(spark, "cache").path("parts"), pairs(spark, d)
+    io.cached_parts(spark, where, "source", {"human": lambda: x.where("source = 'human'").drop("source")})
+    sources = sorted(r["source"] for r in x.select("source").distinct().collect())
+    parts = {s: (lambda s=s: x.where(F.col("source") == s).drop("source")) for s in sources}
+    return io.cached_parts(spark, where, "source", parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("command_rows", "select * from (values (0, 81559), (1, 40960)) t(gpu, free_mb)")
 def command_rows(spark: SparkSession, d: str) -> DataFrame:
     """A command's output as rows."""

@@ -60,3 +60,8 @@ def test_entries_below_many_groups_are_read():
         text = '{"g": ' * depth + '{"a": "1", "b": ["2", "3"]}' + "}" * depth
         assert attrs.entries(text) == [("a", "1"), ("b", "2"), ("b", "3")]
         assert attrs.entries("[" * depth + '{"name": "a", "value": "1"}' + "]" * depth) == [("a", "1")]
+
+
+def test_cache_holds_every_source(spark):
+    got = {r["source"]: r["n"] for r in core.QUERIES["partial_cache_whole"](spark, SF).collect()}
+    assert sum(got.values()) == pairs(spark, SF).count() and {"complaint", "unknown"} <= set(got)
