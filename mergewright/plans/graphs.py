@@ -81,7 +81,8 @@ def _teacher(df: DataFrame) -> DataFrame:
 
 
 def training_frame(spark: SparkSession, d: str, pool_cap: int = POOL, hard: int = HARD, anchor: int = ANCHOR) -> DataFrame:
-    """people's pairs with one category twice, replay and grey pairs."""
+    """People's pairs with one category twice, replay and grey pairs, by the stored
+    split. It isn't R6: no components are held out, so splits may share items."""
     human = _teacher(oversampled(pairs(spark, d).where("split_name = 'train'"), F.col("category") == OVERSAMPLED))
     llm = _teacher(pairs(spark, d, "matches_llm").where("split_name = 'train'"))
     pool = P.sample_per_group(llm.where(P.confident(F.col("target"))), ["category"], pool_cap, 31, "pair_id")
@@ -114,13 +115,13 @@ def _summed(f: DataFrame) -> DataFrame:
 
 @query("train_frame", _frame_sql(200, 100, 40))
 def train_frame(spark: SparkSession, d: str) -> DataFrame:
-    """The frame, summed up per source and category."""
+    """The frame, summed up per source and category."""
     return _summed(training_frame(spark, d, 200, 100, 40))
 
 
 @query("train_frame_whole", _frame_sql(POOL, HARD, ANCHOR))
 def train_frame_whole(spark: SparkSession, d: str) -> DataFrame:
-    """R1 to R4, R6, U4 at the reference's limits."""
+    """R1 to R4, U4 at the reference's limits."""
     return _summed(training_frame(spark, d))
 
 
