@@ -20,8 +20,9 @@ with large groups cut into blocks.
 
 Defined results: the current row of an id counts, ties on ``updated_at`` are
 merged; a null id is left out; null, blank and unreadable fields say nothing; a
-listing without brand, series or type joins others only where all that it says
-agrees and at least ``LEAST_SCORE`` is said; no pack stated means one piece; an
+listing without brand, series or type is grouped with others only where all that it
+says agrees and at least ``LEAST_SCORE`` is said, and without series or type it is in
+no pair; no pack stated means one piece; an
 id without another listing gives no pair; empty tables give an empty one.
 """
 
