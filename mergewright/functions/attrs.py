@@ -59,7 +59,7 @@ def entries(text: str | None) -> list[Entry]:
     """
     if not text or not (s := text.strip()):
         return []
-    for _ in range(3):
+    while True:
         try:
             node = _decoder.decode(s)
         except (ValueError, RecursionError):
@@ -72,9 +72,7 @@ def entries(text: str | None) -> list[Entry]:
                     out.append((k.strip(), v.lstrip(": ")))
             return out
         if not isinstance(node, str):
-            break
+            return _walk(node)
+        # a text within a string, quoted any number of times: every decoding is shorter
         if not (s := node.strip()):
             return []
-    else:
-        return []
-    return _walk(node)

@@ -50,7 +50,7 @@ def read_int(value: object) -> int | None:
         out = int(value) if value == value and abs(value) < 2**62 and value == int(value) else None
     else:
         m = _INT.fullmatch(plain(str(value)).strip())
-        out = int(m[2]) * (-1 if m[1] in ("-", "−", "–") and m[1] else 1) if m and len(m[2]) < 19 else None
+        out = int(m[2]) * (-1 if m[1] in ("-", "−", "–") and m[1] else 1) if m else None
     return out if out is not None and -(2**63) <= out < 2**63 else None
 
 

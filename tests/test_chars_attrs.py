@@ -59,3 +59,16 @@ def test_entries_of_unreadable_text():
 def test_entries_never_fails(t):
     entries(t)
     entries('{"' + t)
+
+
+def test_entries_at_any_depth_and_quoting():
+    import json
+
+    deep = {"b": "x"}
+    for _ in range(60):
+        deep = {"group": deep}
+    assert entries(json.dumps(deep)) == [("b", "x")]
+    text = '{"a": "1"}'
+    for _ in range(6):
+        text = json.dumps(text)
+    assert entries(text) == [("a", "1")]

@@ -30,9 +30,11 @@ def test_values(spark):
         (7, None, None),
         (8, '{"Гoд выпycка": "−7"}', None),
         (9, '{"Год выпуска": "12.5"}', None),
+        (10, '{"Год выпуска": "1234567890123456789"}', None),
+        (11, '{"Год выпуска": "9999999999999999999"}', None),
     ]
     _, got = cells(spark, rows)
-    assert got == [(1, "country", "китай"), (1, "kids", "true"), (1, "year", "2019"), (2, "kids", "false"), (2, "year", "-5"), (3, "country", "россия"), (4, "year", "2002"), (5, "kids", "false"), (5, "year", "1999"), (8, "year", "-7")]
+    assert got == [(1, "country", "китай"), (1, "kids", "true"), (1, "year", "2019"), (2, "kids", "false"), (2, "year", "-5"), (3, "country", "россия"), (4, "year", "2002"), (5, "kids", "false"), (5, "year", "1999"), (8, "year", "-7"), (10, "year", "1234567890123456789")]
 
 
 def test_versions_and_nulls(spark):
