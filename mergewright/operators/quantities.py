@@ -11,8 +11,8 @@ spoils nothing else: the shortest composition, first in order, counts.
 Mentions of quantities are read from the text in one pass and converted by an
 equi-join on their unit.
 
-Scale: one narrow pass over the items; what is shuffled is a short list of
-mentions per item. The spellings are metadata (``MAX_NODES``, checked) that the
+Scale: one narrow pass over the current rows (``current_narrow``); what is
+shuffled is the short list of converted mentions. The spellings are metadata (``MAX_NODES``, checked) that the
 reading pattern is built from; their join is left to the optimizer's own check
 of the size.
 
@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from ..functions import chars
 from ..functions.attrs import entries
 from ..functions.words import one_of
+from ..session import Scratch
+from ..sources.tables import current_narrow
 
 #: Conversions and units that one table may hold; both are metadata.
 MAX_NODES = 100_000
@@ -303,10 +305,10 @@ def limited(text: str, at: int) -> bool:
     return _LIMIT.search(text, start, at) is not None
 
 
-def mentions(items: DataFrame, spellings: tuple[str, ...]) -> DataFrame:
+def mentions(items: DataFrame, spellings: tuple[str, ...], scratch: Scratch) -> DataFrame:
     """(id, said: array of (number, unit)) of the current row of every item."""
-    stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
-    rows = items.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), stamp, F.col("name").cast("string"), F.col("attributes").cast("string"))
+    texts = items.select("id", "updated_at", F.col("name").cast("string"), F.col("attributes").cast("string"))
+    rows = current_narrow(texts, scratch, "name", "attributes")
     kind = pa.list_(pa.struct([("number", pa.float64()), ("unit", pa.string())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,21 +316,20 @@ def mentions(items: DataFrame, spellings: tuple[str, ...]) -> DataFrame:
         p = patterns(spellings)
         for b in batches:
             said = []
-            for name, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for name, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got = p.name_mentions(name) if name else []
                 if text:
                     got += p.attribute_mentions(text, keys)
                 said.append([{"number": n, "unit": u} for n, u in dict.fromkeys(got)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, kind)], ["id", "stamp", "said"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, kind)], ["id", "said"])
 
-    read_ = rows.mapInArrow(read, "id long, stamp long, said array<struct<number: double, unit: string>>")
-    return read_.groupBy("id").agg(F.max_by("said", "stamp").alias("said"))
+    return rows.mapInArrow(read, "id long, said array<struct<number: double, unit: string>>")
 
 
 def quantities(items: DataFrame, units: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(id, kind, amount): each quantity of each item in the kind's base unit."""
     ways = conversions(units, edges)
     table = items.sparkSession.createDataFrame(ways, "unit string, kind string, base string, a double, b double")
-    said = mentions(items, tuple(w[0] for w in ways)).select("id", F.inline("said"))
+    said = mentions(items, tuple(w[0] for w in ways), Scratch(items.sparkSession, "p7")).select("id", F.inline("said"))
     found = said.join(table.select("unit", "kind", "a", "b"), "unit")
     return found.select("id", "kind", F.round(F.col("number") * F.col("a") + F.col("b")).cast("long").alias("amount")).distinct()
