@@ -185,9 +185,16 @@ class Patterns:
         """(number, unit) of a cleaned lower-case text, but for limits and other things."""
         return [(_value(m[1]), _squeezed(m[2])) for m in self.in_name.finditer(text) if not limited(text, m.start())]
 
-    def without_amounts(self, text: str) -> str:
-        """Lower-case text without numbers with a unit."""
-        return self.in_name.sub(" ; ", text)
+    def taken_from(self, text: str) -> tuple[list[tuple[float, str]], str]:
+        """The same mentions, and the text without any number with a unit."""
+        said: list[tuple[float, str]] = []
+
+        def take(m: re.Match) -> str:
+            if not limited(text, m.start()):
+                said.append((_value(m[1]), _squeezed(m[2])))
+            return " ; "
+
+        return said, self.in_name.sub(take, text)
 
     def name_mentions(self, name: str) -> list[tuple[float, str]]:
         """(number, unit) of quantities that the name states of the item."""
