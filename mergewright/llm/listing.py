@@ -1,8 +1,10 @@
-"""What a listing says of its product: brand, series, type and varying features.
+"""What a listing says of its product: brand, series, varying features and words.
 
-Readers turn name and attributes into typed tokens in one consistent form. The
-tables below are fixed values of the catalogue's domain; brands come from the
-table of brands.
+Readers turn name and attributes into typed tokens in one consistent form. What
+kinds of products and which series there are is in no table: a listing states its
+series under a key, or ``products`` learns it from the words of all listings,
+which come out here. The tables below hold general words only (colours, and the
+names that catalogues give to these keys); brands come from the table of brands.
 """
 
 from __future__ import annotations
@@ -10,50 +12,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 from ..functions import chars
 from ..functions.attrs import entries
-from . import quantities as q
+from ..operators import quantities as q
+from ..operators.eav import read_string
 from .overlap import within_one_slip
-from .words import one_of
-
-# Kinds of products with their usual names, one kind a line.
-_TYPES = """
-пижама | домашняя пижама | pyjamas | pajamas
-футболка | футболка хлопковая | t-shirt
-куртка | куртка с капюшоном | jacket
-цепочка | цепочка на шею | chain
-кольцо | кольцо женское | ring
-стиральный порошок | порошок для стирки | washing powder
-гель для посуды | средство для мытья посуды | dish soap
-автокомпрессор | компрессор автомобильный | car compressor
-моторное масло | масло моторное | engine oil
-ремень | ремень поясной | belt
-рюкзак | рюкзак городской | backpack
-зонт | зонт складной | umbrella
-кроссовки | кроссовки спортивные | sneakers
-сандалии | сандалии открытые | sandals
-ботинки | ботинки на шнуровке | boots
-крем для рук | крем увлажняющий для рук | hand cream
-шампунь | шампунь для волос | shampoo
-мыло | туалетное мыло | soap bar
-оливковое масло | масло оливковое | olive oil
-чай листовой | листовой чай | leaf tea
-кофе молотый | молотый кофе | ground coffee
-фен | фен для волос | hair dryer
-пылесос | пылесос для дома | vacuum cleaner
-чайник электрический | электрочайник | электрический чайник | electric kettle
-накопитель | флеш-накопитель | flash drive
-внешний аккумулятор | повербанк | power bank
-смартфон | мобильный телефон | smartphone
-usb-кабель | кабель зарядный | зарядный кабель | charging cable
-ночник детский | детский ночник | night lamp
-пластилин | набор пластилина | modelling clay
-рулетка | рулетка измерительная | tape measure
-дрель | дрель ударная | drill
-клей монтажный | монтажный клей | mounting glue
-"""
+
 # Colours by the beginnings of their names.
 _COLOURS = """
 white: бел white
@@ -72,13 +37,9 @@ beige: беж beige
 # Keys of attributes, in lower case without closing colon.
 _BRAND_KEYS = "бренд | brand | торговая марка | производитель | марка | manufacturer"
 _SERIES_KEYS = "серия | линейка | модель | название модели | model | series"
-_TYPE_KEYS = "тип | тип товара | type"
 _COLOUR_KEYS = "цвет | цвет товара | color | colour"
 _SIZE_KEYS = "размер | размер товара | российский размер | size"
 _PACK_KEYS = "количество в упаковке | кол-во в упаковке | штук в упаковке | pack quantity"
-# Latin words of names that belong to no series.
-_NO_SERIES = frozenset("new best price size usb no d x xs s m l xl xxl xxxl pcs pieces of pack set for the fits loads up to and with hit sale top".split())
-_SUFFIXES = frozenset("city iv pro air nord duo iii lite neo start zen eco sport uno mini max ii plus one loft ultra home prime go".split())
 
 
 def _keys(text: str) -> frozenset[str]:
@@ -94,152 +55,167 @@ def bare(text: str) -> str:
     return _ACCENTED.sub(lambda m: unicodedata.normalize("NFD", m.group(0))[0], low) if _ACCENTED.search(low) else low
 
 
-TYPES: dict[str, str] = {}
-for _line in _TYPES.strip().splitlines():
-    _all = [bare(x.strip()) for x in _line.split("|")]
-    TYPES |= {x: _all[0] for x in _all}
-_TYPE = re.compile(r"(?<![^\W_])" + one_of(TYPES) + r"(?![^\W_])")
-_TYPE_WORDS = sorted({w for t in TYPES for w in re.findall(r"[^\W\d_]+", t) if len(w) > 3})
-_TYPE_WORD_SET = frozenset(_TYPE_WORDS)
 _COLOUR_OF = [(p, c) for c, ps in (x.split(":") for x in _COLOURS.strip().splitlines()) for p in ps.split()]
-_COLOUR = re.compile(r"(?<![^\W_])(?:" + "|".join(p + (r"(?:ен|ов|ев|нев)?(?:ый|ий|ая|яя|ое|ее|ые|ие)?" if p[0] > "z" else "") for p, _ in _COLOUR_OF) + r")(?![^\W_])")
+_COLOUR = re.compile(r"(?:" + "|".join(p + (r"(?:ен|ов|ев|нев)?(?:ый|ий|ая|яя|ое|ее|ые|ие)?" if p[0] > "z" else "") for p, _ in _COLOUR_OF) + ")")
 # Full names of the colours.
 _COLOUR_WORDS = "белый черный красный синий зеленый желтый оранжевый розовый фиолетовый серый коричневый бежевый white black green yellow orange purple brown beige".split()
 _SIZE_NAME = re.compile(r"(?<![^\W_])(?:р\.|р-р|размер|size)\s?(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)(?![^\W_])|(?<![\w.,])(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m) (?:размер|size)(?![^\W_])")
 _SIZE_VALUE = re.compile(r"(\d{2}(?:[.,]\d)?|x{0,3}[sl]|m)", re.I)
 _PACK_NAME = re.compile(r"(?<![^\W_])(?:из|of|набор|упаковка|set|pack)\s(\d{1,3})(?!\d|[.,]\d)|(?<![^\W_])[xх]\s?(\d{1,3})(?!\d)|(?<![\w.,])(\d{1,3})\s?(?:шт|pcs|pieces)(?:ук[аи]?|\.)?(?![^\W_])")
 _COUNT = re.compile(r"(\d{1,4})(?:[.,]0+)?(?:шт\.?|штук[аи]?|pcs|pieces)?", re.I)
-_WORD = re.compile(r"[^\W\d_]+")
-_LATIN = re.compile(r"[a-z]+")
-_KEY_GROUPS = {k: g for g, keys in (("brand", _BRAND_KEYS), ("series", _SERIES_KEYS), ("type", _TYPE_KEYS), ("colour", _COLOUR_KEYS), ("size", _SIZE_KEYS), ("pack", _PACK_KEYS)) for k in _keys(keys)}
+_WORD = re.compile(r"[^\W_]+")
+#: Words, and what parts them more than a space does.
+_PIECE = re.compile(r"[^\W_]+|[,;/|()]| [-–—] ")
+_KEY_GROUPS = {k: g for g, keys in (("brand", _BRAND_KEYS), ("series", _SERIES_KEYS), ("colour", _COLOUR_KEYS), ("size", _SIZE_KEYS), ("pack", _PACK_KEYS)) for k in _keys(keys)}
 
 
 @dataclass(frozen=True)
 class Brands:
-    """Spellings of brands, in bare form, to the standard one."""
+    """Spellings of brands as words, by their first word, to the standard one.
+
+    Looking a brand up costs the same however many there are.
+    """
 
     known: dict[str, str]
-    pattern: re.Pattern | None
+    starts: dict[str, list[tuple[str, ...]]]
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]]) -> Brands:
         from .lookalike import disguised_brands
 
         known: dict[str, str] = {}
-        for brand, other in rows:
-            if brand and brand.strip():
+        for brand, other in sorted(rows, key=lambda r: (r[0] or "", r[1] or "")):
+            if brand and words_of(brand):
                 for s in (brand, other):
-                    if s and s.strip():
-                        known.setdefault(" ".join(bare(s).split()), bare(brand))
+                    if s and words_of(s):
+                        known.setdefault(" ".join(words_of(s)), " ".join(words_of(brand)))
         for spelled, brand in disguised_brands([b for b, _ in rows if b]).items():
-            known.setdefault(bare(spelled), bare(brand))
-        return cls(known, re.compile(r"(?<![^\W_])" + one_of(known) + r"(?![^\W_])") if known else None)
-
-
-def colour_of(text: str) -> str | None:
-    m = _COLOUR.search(text)
-    return next((c for p, c in _COLOUR_OF if m.group(0).startswith(p)), None) if m else None
-
-
-@lru_cache(maxsize=200_000)
-def _type_word(w: str) -> str:
-    """The word of the types that a word is one slip away from, or the word."""
-    if len(w) < 4 or w in _TYPE_WORD_SET:
-        return w
-    return next((t for t in _TYPE_WORDS if abs(len(t) - len(w)) < 2 and (t[0] == w[0] or t[-1] == w[-1]) and within_one_slip(t, w)), w)
-
-
-@lru_cache(maxsize=200_000)
-def _colour_word(w: str) -> str:
-    """The same of the colours."""
-    return next((c for c in _COLOUR_WORDS if abs(len(c) - len(w)) < 2 and within_one_slip(c, w)), w) if len(w) > 4 else w
-
-
-def _mended(text: str) -> str:
-    return _WORD.sub(lambda m: _type_word(m.group(0)), text)
-
-
-_SEEN_COLOURS: dict[str, str | None] = {}
-
-
-def _recoloured(text: str) -> str | None:
-    """A colour that a word of the text is one slip away from."""
-    for w in _WORD.findall(text):
-        got = _SEEN_COLOURS.get(w, "")
-        if got == "":
-            if len(_SEEN_COLOURS) > 200_000:
-                _SEEN_COLOURS.clear()
-            near = _colour_word(w)
-            got = _SEEN_COLOURS[w] = colour_of(near) if near is not w else None
-        if got:
-            return got
-    return None
-
-
-def series_of(text: str) -> str | None:
-    """Series among the Latin words of a text: a word and what may follow it."""
-    words = [w for w in _LATIN.findall(text) if w not in _NO_SERIES]
-    for i, w in enumerate(words):
-        if w in _SUFFIXES:
-            if i and words[i - 1] not in _SUFFIXES:
-                return f"{words[i - 1]} {w}"
-    rest = [w for w in words if w not in _SUFFIXES and len(w) > 2]
-    return max(rest, key=len) if rest else None
-
-
-def _entry(key: str, value: object, brands: Brands, keys: dict) -> tuple[str | None, object]:
-    """What an entry says: a group of keys and its reading, or (None, amounts)."""
-    known = keys.get(key)
-    if known is None:
-        known = keys[key] = (_KEY_GROUPS.get(chars.skeleton(key).rstrip(":")), q.key_unit(key))
-    group, own = known
-    if group is None:
-        return None, q.value_mentions(value, own) if own[0] else []
-    s = " ".join(bare(chars.plain(str(value))).split())
-    got: object = None
-    if group == "brand":
-        # an unknown brand is a brand, if no known one is named
-        got = (s in brands.known, brands.known.get(s, s)) if s else None
-    elif group == "series":
-        got = s if _LATIN.search(s) else None
-    elif group == "type":
-        m = _TYPE.search(s) or _TYPE.search(_mended(s))
-        got = TYPES[m.group(0)] if m else None
-    elif group == "colour":
-        got = colour_of(s) or _recoloured(s)
-    elif group == "size":
-        m = _SIZE_VALUE.fullmatch(s)
-        got = m[1].replace(",", ".") if m else None
-    elif m := _COUNT.fullmatch(s.replace(" ", "")):
-        got = int(m[1])
-    return group, got
-
-
-def read(name: str | None, attributes: str | None, brands: Brands, memo: dict) -> dict:
-    """Typed tokens of a listing: brand, series, type, colour, size, pack and
-    amounts, a list of (number, unit spelling). memo: remembers readings."""
-    out: dict = {"brand": None, "series": None, "type": None, "colour": None, "size": None, "pack": None, "amounts": []}
-    if attributes:
-        keys, seen = memo.setdefault("keys", {}), memo.setdefault("entries", {})
-        if len(seen) > 300_000 or len(keys) > 100_000:
-            seen.clear()
-            keys.clear()
-        for key, value in entries(attributes):
-            if value is None or isinstance(value, bool):
-                continue
-            said = seen.get((key, value))
-            if said is None:
-                said = seen[key, value] = _entry(key, value, brands, keys)
-            group, got = said
-            if group is None:
-                out["amounts"] += got
-            elif got is not None:
-                if group == "brand":
-                    if got[0] or out["brand"] is None:
-                        out["brand"] = got[1]
-                else:
-                    out[group] = got
-    if name:
+            known.setdefault(" ".join(words_of(spelled)), " ".join(words_of(brand)))
+        starts: dict[str, list[tuple[str, ...]]] = {}
+        for s in known:
+            starts.setdefault(s.split()[0], []).append(tuple(s.split()))
+        for forms in starts.values():
+            forms.sort(key=len, reverse=True)
+        return cls(known, starts)
+
+    def at(self, words: list[str], i: int) -> int:
+        """Words of the longest brand that starts at a place, 0 for none."""
+        for form in self.starts.get(words[i], ()):
+            if len(form) == 1 or tuple(words[i : i + len(form)]) == form:
+                return len(form)
+        return 0
+
+
+def words_of(text: str) -> list[str]:
+    """Words and numbers of a text in bare form."""
+    return _WORD.findall(bare(chars.plain(text)))
+
+
+def colour_of(word: str) -> str | None:
+    m = _COLOUR.fullmatch(word)
+    return next((c for p, c in _COLOUR_OF if word.startswith(p)), None) if m else None
+
+
+def _near_colour(word: str) -> str | None:
+    """A colour that the word is one slip away from."""
+    if len(word) < 5:
+        return None
+    return next((colour_of(c) for c in _COLOUR_WORDS if abs(len(c) - len(word)) < 2 and (c[0] == word[0] or c[-1] == word[-1]) and within_one_slip(c, word)), None)
+
+
+class Reader:
+    """Reads listings; remembers what words, keys and entries say."""
+
+    MOST = 200_000
+
+    def __init__(self, brands: Brands, patterns: q.Patterns):
+        self.brands, self.patterns = brands, patterns
+        self.keys: dict[str, tuple[str | None, tuple[bool, str | None]]] = {}
+        self.said: dict[tuple[str, object], tuple[str | None, object]] = {}
+        self.exact: dict[str, str | None] = {}
+        self.near: dict[str, str | None] = {}
+
+    def _remember(self, memo: dict, key: object, value: object) -> object:
+        if len(memo) >= self.MOST:
+            memo.clear()
+        memo[key] = value
+        return value
+
+    def _colour(self, words: list[str]) -> tuple[str | None, int]:
+        """The first colour among the words and its place; else one with a slip."""
+        exact = self.exact
+        for i, w in enumerate(words):
+            if w in exact:
+                c = exact[w]
+            else:
+                c = self._remember(exact, w, colour_of(w))
+            if c:
+                return c, i
+        near = self.near
+        for i, w in enumerate(words):
+            if w in near:
+                c = near[w]
+            else:
+                c = self._remember(near, w, _near_colour(w))
+            if c:
+                return c, i
+        return None, -1
+
+    def _entry(self, key: str, value: object) -> tuple[str | None, object]:
+        """What an entry says: a group of keys and its reading, or (None, amounts)."""
+        known = self.keys.get(key)
+        if known is None:
+            known = self._remember(self.keys, key, (_KEY_GROUPS.get(chars.skeleton(key).rstrip(":")), self.patterns.key_unit(key)))
+        group, own = known
+        if group is None:
+            return None, self.patterns.value_mentions(value, own) if own[0] else []
+        if read_string(value) is None:
+            return group, None
+        words = words_of(str(value))
+        if not words:
+            return group, None
+        s = " ".join(words)
+        if group == "brand":
+            # an unknown brand is a brand, if no known one is named
+            return group, (s in self.brands.known, self.brands.known.get(s, s))
+        if group == "series":
+            return group, s
+        if group == "colour":
+            # a colour outside the table is its own word
+            return group, self._colour(words)[0] or s
+        t = " ".join(bare(chars.plain(str(value))).split())
+        if group == "size":
+            m = _SIZE_VALUE.fullmatch(t)
+            return group, m[1].replace(",", ".") if m else None
+        m = _COUNT.fullmatch(t.replace(" ", ""))
+        return group, int(m[1]) if m else None
+
+    def read(self, name: str | None, attributes: str | None) -> dict:
+        """Typed tokens of a listing: brand, series (as stated), colour, size, pack,
+        amounts, a list of (number, unit spelling), and the words of the name that
+        are left, with an empty one where something stood between them."""
+        out: dict = {"brand": None, "series": None, "colour": None, "size": None, "pack": None, "amounts": [], "words": []}
+        if attributes:
+            for key, value in entries(attributes):
+                if value is None or isinstance(value, bool):
+                    continue
+                said = self.said.get((key, value))
+                if said is None:
+                    said = self._remember(self.said, (key, value), self._entry(key, value))
+                group, got = said
+                if group is None:
+                    out["amounts"] += got
+                elif got is not None:
+                    if group == "brand":
+                        if got[0] or out["brand"] is None:
+                            out["brand"] = got[1]
+                    else:
+                        out[group] = got
+        if name:
+            self._read_name(name, out)
+        return out
+
+    def _read_name(self, name: str, out: dict) -> None:
         text = " ".join(chars.plain(name).split())
         coded = q.without_codes(text).lower()
         if out["size"] is None and q.speaks_of_size(coded) and (m := _SIZE_NAME.search(coded)):
@@ -248,23 +224,20 @@ def read(name: str | None, attributes: str | None, brands: Brands, memo: dict) -
             if out["pack"] is None and q.speaks_of_pack(coded) and (m := _PACK_NAME.search(coded)):
                 out["pack"] = int(m[1] or m[2] or m[3])
             coded = q.without_counts(coded)
-            out["amounts"] += q.mentions_of(coded)
-        low = bare(coded)
-        if out["brand"] is None and brands.pattern and (m := brands.pattern.search(low)):
-            out["brand"] = brands.known[m.group(0)]
-        m = _TYPE.search(low)
-        if m is None and (m := _TYPE.search(mended := _mended(low))):
-            low = mended
-        if m:
-            out["type"] = TYPES[m.group(0)]
-            low = low[: m.start()] + " ; " + low[m.end() :]
+            said, coded = self.patterns.taken_from(coded)
+            out["amounts"] += said
+        words = ["" if w[0] in " ,;/|()" else w for w in _PIECE.findall(bare(coded))]
+        i, own = 0, None
+        while i < len(words):
+            n = self.brands.at(words, i) if words[i] else 0
+            if n:
+                own = own or self.brands.known[" ".join(words[i : i + n])]
+                words[i : i + n] = [""]
+            i += 1
+        if out["brand"] is None:
+            out["brand"] = own
         if out["colour"] is None:
-            out["colour"] = colour_of(low) or _recoloured(low)
-        if out["series"] is None:
-            low = bare(q.without_amounts(coded))
-            if m:
-                low = low.replace(m.group(0), " ; ")
-            if brands.pattern:
-                low = brands.pattern.sub(" ; ", low)
-            out["series"] = series_of(_COLOUR.sub(" ; ", low))
-    return out
+            c, i = self._colour(words)
+            if c:
+                out["colour"], words[i] = c, ""
+        out["words"] = words

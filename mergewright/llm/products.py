@@ -1,29 +1,43 @@
 """Listings of the same product, whoever sells them and however they put it.
 
-Listings are read into typed tokens (``listing``): brand, series, type and the
-features that vary within a type. Which features vary is a statistic of all
-listings: those that at least ``VARIES`` of a type's listings state. Listings
-with equal tokens are one representative, so copies never meet in pairs.
+Listings are read into typed tokens (``listing``): brand, series, type and
+varying features. The type is the listing's category. What the series is, is
+learned from the corpus, not from a table:
+
+* a series that listings state under a key is known for their brand, and is
+  looked for among the words of the brand's other names (longest first);
+* where none is found, the series starts at the word of the name that the fewest
+  brands use (at least ``OWN`` of its listings are of one brand; of such words the
+  most frequent, then the first one);
+* a series of one word takes in a next word that ends stated series of any brand.
+
+A listing without a category has that of its series, if all others agree. Every
+feature that two listings state must agree, but for the weight, which catalogues
+add to products that it doesn't tell apart: it counts within a series (and type)
+if more than ``MOST`` of its listings state it. Listings with equal tokens are
+one representative, so copies never meet in pairs.
 
 Method: multi-pass sorted neighbourhood. The representatives are sorted by
 several token orders; along each order every one is compared with its next
 ``WINDOW`` neighbours by soft token alignment (equal, one slip apart, or within
-the rounding of converted units). Agreements become edges, and correlation
-clustering by pivots turns edges into groups without chaining: a pivot takes its
-undecided neighbours, nothing more.
-
-Scale: one narrow pass reads the listings. A sorted order is cut into range
-partitions that are read as streams; the rows next to a cut are compared across
-it afterwards, so no neighbour is lost. Keys end in the representative's id, so a
-brand or product with most of the rows is cut like any other stretch. Pairs come out by an equi-join on group and block,
-with large groups cut into blocks.
-
-Defined results: the current row of an id counts, ties on ``updated_at`` are
-merged; a null id is left out; null, blank and unreadable fields say nothing; a
-listing without brand, series or type is grouped with others only where all that it
-says agrees and at least ``LEAST_SCORE`` is said, and without series or type it is in
-no pair; no pack stated means one piece; an
-id without another listing gives no pair; empty tables give an empty one.
+the rounding of converted units; what only one of them states costs a little).
+Agreements become edges, and correlation clustering by pivots turns edges into
+groups without chaining: a pivot takes its undecided neighbours, nothing more.
+
+Scale: one narrow pass reads the current rows (``current_narrow``). Words and
+series meet by equi-joins, whose hot keys adaptive execution splits. A sorted
+order is cut into range partitions that are read as streams; the rows next to a
+cut are compared across it afterwards, so every two rows at most ``WINDOW``
+places apart meet, however the order is cut. Keys end in the representative's id,
+so a brand or product with most of the rows is cut like any other stretch. Pairs
+come out by an equi-join on group and block, with large groups cut into blocks.
+
+Defined results: the current row of an id counts, of rows that tie on
+``updated_at`` the one with the greater text; a null id is left out; null, blank
+and unreadable fields say nothing; a listing without a series, or that says less
+than ``LEAST_SCORE``, is a group by itself in ``grouped`` and in no pair; no pack
+stated means one piece; an id without another listing gives no pair; empty tables
+give an empty one.
 """
 
 from __future__ import annotations
@@ -37,14 +51,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quantities
+from ..operators.skew import hot_keys
 from ..session import Scratch, parallelism
-from . import listing, quantities
+from ..sources.tables import current_narrow
+from . import listing
 from .overlap import within_one_slip
 
-MAX_BRANDS = 20_000
-#: Share of a type's listings from which a feature counts as varying.
-VARIES = 0.3
-WINDOW = 10
+#: Brands are looked up by their words, at a cost that doesn't grow with them; the
+#: table travels with the tasks, so its rows are checked.
+MAX_BRANDS = 1_000_000
+#: Share of a word's listings that are of one brand, for a word that names a series.
+OWN = 0.5
+#: Share of a series' listings above which the weight counts.
+MOST = 0.5
+WINDOW = 12
 #: Relative difference that the rounding of converted amounts explains.
 ROUNDING = 0.035
 LEAST_SCORE = 4.0
@@ -58,61 +79,103 @@ FIELDS = (*WHO, *FEATURES)
 WEIGHTS = {"brand": 1.0, "series": 2.0, "type": 1.0}
 
 
-def read_listings(items: DataFrame, brands: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, brand, series, type, colour, size, pack, a column per kind) of every
-    current row."""
+def read_listings(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, brand, series as stated, type, colour, size, pack, a column per kind,
+    words) of every current row."""
     rows = brands.select("brand", "brand_ru").where("brand is not null").distinct().limit(MAX_BRANDS + 1).collect()
     if len(rows) > MAX_BRANDS:
         raise ValueError(f"more than {MAX_BRANDS} brands")
     table = [(r[0], r[1]) for r in rows]
     ways = {s: (k, a, b) for s, k, _, a, b in quantities.conversions(units)}
-    stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
-    src = items.where("id is not null").select(F.col("id").cast("long"), stamp, F.col("name").cast("string"), F.col("attributes").cast("string"))
+    texts = items.select("id", "updated_at", *[F.col(c).cast("string") for c in ("name", "attributes", "category")])
+    src = current_narrow(texts, scratch, "name", "attributes", "category")
+    kinds = {f: pa.int64() if f in KINDS or f == "pack" else pa.string() for f in FIELDS}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = listing.Brands.of(table), {}
+        reader = listing.Reader(listing.Brands.of(table), quantities.patterns(tuple(ways)))
         for b in batches:
-            cols: dict[str, list] = {f: [] for f in FIELDS}
-            for name, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                got = listing.read(name, text, known, memo)
+            cols: dict[str, list] = {f: [] for f in (*FIELDS, "words")}
+            for name, text, category in zip(*(c.to_pylist() for c in b.columns[1:])):
+                got = reader.read(name, text)
+                got["type"] = (category or "").strip().lower() or None
                 amounts: dict[str, int] = {}
                 for n, u in got["amounts"]:
-                    if way := ways.get(u):
+                    if (way := ways.get(u)) and way[0] in KINDS:
                         amounts.setdefault(way[0], round(n * way[1] + way[2]))
-                for f in (*WHO, "colour", "size", "pack"):
+                for f in (*WHO, "colour", "size", "pack", "words"):
                     cols[f].append(got[f])
                 for k in KINDS:
                     cols[k].append(amounts.get(k))
-            kinds = {f: pa.int64() if f in KINDS or f == "pack" else pa.string() for f in FIELDS}
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(cols[f], kinds[f]) for f in FIELDS)], ["id", "stamp", *FIELDS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[f], kinds[f]) for f in FIELDS), pa.array(cols["words"], pa.list_(pa.string()))], ["id", *FIELDS, "words"])
 
     shape = ", ".join(f"{f} {'long' if f in KINDS or f == 'pack' else 'string'}" for f in FIELDS)
-    read_ = src.mapInArrow(read, f"id long, stamp long, {shape}")
-    return read_.groupBy("id").agg(F.max_by(F.struct(*FIELDS), "stamp").alias("r")).select("id", "r.*")
-
-
-def varying(listings: DataFrame) -> dict[str, list[str]]:
-    """Features to the types in which they vary; one row per type is collected,
-    and the types are a fixed table."""
-    shares = listings.where("type is not null").groupBy("type").agg(*[F.avg(F.col(f).isNotNull().cast("double")).alias(f) for f in FEATURES]).collect()
-    return {f: sorted(r["type"] for r in shares if r[f] >= VARIES) for f in FEATURES}
+    return src.mapInArrow(read, f"id long, {shape}, words array<string>")
+
+
+def learned_series(listings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, learned) of listings that state no series but name one."""
+    stated = scratch.save(listings.where("series is not null").select("brand", "series").distinct(), "stated")
+    open_ = scratch.save(listings.where("series is null and size(words) > 0").select("id", "brand", "words"), "open")
+    # the lengths of stated series in words: a few small numbers
+    lengths = sorted(r[0] for r in stated.select(F.size(F.split("series", " "))).distinct().collect())
+
+    def span(n: int):
+        said = F.when(F.col("at") + n <= F.size("words"), F.slice("words", F.col("at") + 1, F.lit(n)))
+        return F.struct(said.alias("s"), F.when(F.col("at") + n < F.size("words"), F.element_at("words", F.col("at") + n + 1)).alias("next"))
+
+    heads = None
+    if lengths:
+        spans = open_.select("id", "brand", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+        spans = spans.where(F.element_at("words", F.col("at") + 1) != "").select("id", "brand", "at", F.inline(F.array(*[span(n) for n in lengths])))
+        spans = spans.where("s is not null and not array_contains(s, '')").select("id", F.coalesce("brand", F.lit("")).alias("b"), F.array_join("s", " ").alias("series"), "next", (F.size("s").cast("long") * 2**32 - F.col("at")).alias("rank"))
+        known = stated.select(F.coalesce("brand", F.lit("")).alias("b"), "series")
+        met = spans.join(known, ["b", "series"]).groupBy("id").agg(F.max_by(F.struct(F.col("series").alias("head"), "next"), "rank").alias("b"))
+        heads = scratch.save(met.select("id", "b.*"), "found")
+        open_ = scratch.save(open_.join(heads.select("id"), "id", "left_anti"), "unnamed")
+
+    # what brands use a word, over all listings
+    uses = listings.select(F.coalesce("brand", F.lit("")).alias("brand"), F.explode(F.array_distinct("words")).alias("word")).groupBy("word", "brand").agg(F.count(F.lit(1)).alias("n"))
+    words = uses.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spread"), F.max("n").alias("top"))
+    letters = F.col("word").rlike(r"\p{L}") & (F.length("word") > 2)
+    places = open_.select("id", F.posexplode("words").alias("at", "word")).where(letters)
+    own = places.join(words.where(F.col("top") >= OWN * F.col("n")), "word")
+    best = own.groupBy("id").agg(F.min(F.struct("spread", (-F.col("n")).alias("n"), "at")).alias("b")).select("id", F.col("b.at").alias("at"))
+    rest = open_.join(best, "id").select("id", F.element_at("words", F.col("at") + 1).alias("head"), F.when(F.col("at") + 1 < F.size("words"), F.element_at("words", F.col("at") + 2)).alias("next"))
+    ends = stated.where("series like '% %'").select(F.substring_index("series", " ", -1).alias("next")).distinct().withColumn("ends", F.lit(True))
+    # a head of one word takes in a next word that ends series
+    more = F.when(F.col("ends") & ~F.col("head").contains(" "), F.col("next"))
+    both = rest if heads is None else heads.unionByName(rest)
+    return both.join(ends, "next", "left").select("id", F.concat_ws(" ", "head", more).alias("learned"))
+
+
+def keys(prefix: str = "") -> dict:
+    """Two hashes of all fields; nulls are values, or they would be skipped."""
+    filled = [F.coalesce(f, F.lit(-1).cast("long") if f in KINDS or f == "pack" else F.lit("")) for f in FIELDS]
+    return {f"{prefix}k1": F.xxhash64(F.lit(1), *filled), f"{prefix}k2": F.xxhash64(F.lit(2), *filled)}
 
 
-def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (id, k1, k2) and representatives (k1, k2, rep, n, fields)."""
-    which = varying(listings)
+def _family(*columns: str):
+    return F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
-    def kept(f: str):
-        value = F.coalesce("pack", F.lit(1)) if f == "pack" else F.col(f)
-        # of an unknown type every feature is kept
-        return F.when(F.col("type").isin(which[f]) | F.col("type").isNull(), value).alias(f)
 
-    own = listings.select("id", *WHO, *[kept(f) for f in FEATURES])
-    # two hashes of all fields; nulls are values, or they would be skipped
-    filled = [F.coalesce(f, F.lit(-1).cast("long") if f in KINDS or f == "pack" else F.lit("")) for f in FIELDS]
-    keys = {"k1": F.xxhash64(F.lit(1), *filled), "k2": F.xxhash64(F.lit(2), *filled)}
-    reps = own.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys)
-    return own.withColumns(keys).select("id", "k1", "k2"), scratch.save(reps, "reps")
+def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, k1, k2), wordings (k1, k2, r1, r2) and representatives
+    (r1, r2, rep, n, fields)."""
+    named = learned_series(listings, scratch)
+    own = listings.join(named, "id", "left").withColumns({"series": F.coalesce("series", "learned"), "pack": F.coalesce("pack", F.lit(1).cast("long"))}).select("id", *FIELDS)
+    own = scratch.save(own.withColumns(keys()), "named")
+    wordings = scratch.save(own.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys()), "wordings")
+    per = wordings.groupBy("brand", "series", "type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("weight").isNotNull(), F.col("n")).otherwise(0)).alias("nw"))
+    whole = per.groupBy("brand", "series").agg(F.count("type").alias("types"), F.max("type").alias("only"), F.sum("n").alias("all"), F.sum("nw").alias("all_w"))
+    whole = whole.select(_family("brand", "series").alias("family"), "types", "only", "all", "all_w")
+    weighs = F.when(F.col("types") > 1, F.col("nw") > F.col("n") * MOST).otherwise(F.col("all_w") > F.col("all") * MOST)
+    facts = per.withColumn("family", _family("brand", "series")).join(whole, "family")
+    facts = facts.select(_family("brand", "series", "type").alias("family"), weighs.alias("weighs"), F.when(F.col("types") == 1, F.col("only")).alias("only"))
+    both = wordings.withColumn("family", _family("brand", "series", "type")).join(facts, "family")
+    kept = both.withColumns({"weight": F.when(F.col("weighs"), F.col("weight")), "type": F.coalesce("type", "only")}).select("k1", "k2", "rep", "n", *FIELDS)
+    kept = scratch.save(kept.withColumns(keys("r")), "kept").withColumnsRenamed({"rk1": "r1", "rk2": "r2"})
+    reps = kept.groupBy("r1", "r2", *FIELDS).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"))
+    return own.select("id", "k1", "k2"), kept.select("k1", "k2", "r1", "r2"), scratch.save(reps, "reps")
 
 
 def _amount(f: str):
@@ -121,8 +184,8 @@ def _amount(f: str):
 
 def orders() -> list[object]:
     """Token orders of the passes, as one comparable text each: amounts last,
-    amounts turned round without regard to the brand, and colour last by the
-    series' last letters."""
+    amounts turned round without regard to the brand, colour last by the series'
+    last letters, and the series last."""
     p = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in (*WHO, "colour", "size", "pack")}
     amounts = [_amount(k) for k in KINDS]
 
@@ -131,8 +194,9 @@ def orders() -> list[object]:
 
     return [
         key(p["brand"], p["series"], p["type"], p["colour"], p["size"], p["pack"], *amounts),
-        key(p["type"], p["series"], p["colour"], p["size"], p["pack"], p["brand"], *reversed(amounts)),
-        key(p["type"], F.reverse(p["series"]), p["brand"], p["size"], p["pack"], *amounts, p["colour"]),
+        key(p["series"], p["colour"], p["size"], p["pack"], p["type"], p["brand"], *reversed(amounts)),
+        key(F.reverse(p["series"]), p["brand"], p["size"], p["pack"], *amounts, p["colour"], p["type"]),
+        key(p["brand"], p["colour"], p["size"], p["pack"], *amounts, p["series"], p["type"]),
     ]
 
 
@@ -172,8 +236,12 @@ def _slip_in_long_word(x: str, y: str) -> bool:
 
 
 def _compare(last: deque, rep: int, n: int, tokens: list, out: list) -> None:
+    """Compare a row with the last ones. Rows of another series that can't be a
+    slip of this one's (a letter more or less) are passed over at once."""
+    series = tokens[1]
+    near = len(series) - 1, len(series) + 1
     for other, m, toks in last:
-        if (s := agree(toks, tokens)) >= LEAST_SCORE:
+        if (toks[1] == series or len(toks[1]) in near) and (s := agree(toks, tokens)) >= LEAST_SCORE:
             out.append((rep, other, s, n, m) if rep < other else (other, rep, s, m, n))
     last.append((rep, n, tokens))
 
@@ -194,6 +262,8 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
     The order is cut into range partitions, which are read as streams. Their
     first and last WINDOW rows come out as well and are compared across the cuts
     in one small step: 2 x WINDOW rows per partition, whatever the data's size.
+    Where a partition's first and last rows aren't neighbours, the step starts
+    anew, so the edges are the same however the order is cut.
     """
     n = parallelism(reps.sparkSession)
     ordered = reps.select("rep", "n", *FIELDS, key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
@@ -224,9 +294,13 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: deque = deque(maxlen=WINDOW)
+        before = (-1, -1)
         for b in batches:
             out: list = []
-            for rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns[2:])):
+            for part, place, rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns)):
+                if part == before[0] and place != before[1] + 1:
+                    last.clear()
+                before = part, place
                 _compare(last, rep, n_, tokens, out)
             yield pa.RecordBatch.from_arrays(_edges(out), _EDGE)
 
@@ -267,24 +341,38 @@ def pivots(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(members, named): members are (id, k1, k2); named has (k1, k2, product, n,
-    total) of every representative. Listings of one product share a number, the
-    least id of its centre, and ``total`` is the number of its listings."""
-    members, reps = signatures(scratch.save(read_listings(items, brands, units), "read"), scratch)
-    # a listing that names nothing has nothing to be compared by
-    known = reps.where(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in WHO]))
+    """(members, named): members are (id, k1, k2); named has (k1, k2, told, product,
+    total) of every wording. Listings of one product share a number, the least id
+    of its centre, and ``total`` is the number of its listings; ``told`` is whether
+    a wording says enough to be compared."""
+    members, wordings, reps = signatures(scratch.save(read_listings(items, brands, units, scratch), "read"), scratch)
+    says = sum((F.when(F.col(f).isNotNull(), F.lit(WEIGHTS.get(f, 1.0))).otherwise(F.lit(0.0)) for f in FIELDS), F.lit(0.0))
+    told = F.col("series").isNotNull() & (says >= LEAST_SCORE)
+    known = reps.where(told)
     found = [neighbours(known, k, scratch) for k in orders()]
     edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score"), F.max("nu").alias("nu"), F.max("nv").alias("nv")), "edges")
     centre = pivots(edges, scratch)
-    sayable = F.col("series").isNotNull() & F.col("type").isNotNull()
-    named = reps.join(centre, "rep", "left").select("k1", "k2", "n", sayable.alias("known"), F.coalesce("centre", "rep").alias("product"))
-    totals = named.where("known").groupBy("product").agg(F.sum("n").alias("total"))
-    return members, scratch.save(named.join(totals, "product", "left"), "named")
+    named = reps.select("r1", "r2", "rep", "n", told.alias("told")).join(centre, "rep", "left").select("r1", "r2", "n", "told", F.coalesce("centre", "rep").alias("product"))
+    named = scratch.save(named, "products")
+    totals = named.where("told").groupBy("product").agg(F.sum("n").alias("total"))
+    per = wordings.join(named.join(totals, "product", "left"), ["r1", "r2"]).select("k1", "k2", "told", "product", F.coalesce("total", F.lit(1)).alias("total"))
+    return members, scratch.save(per, "wordings")
+
+
+def _placed(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Members with their wording's columns. Wordings that many listings share are
+    joined apart, on the spot: few, by ``hot_keys``' proven bound."""
+    hot = hot_keys(members, "k1")
+    if not hot:
+        return members.join(named, ["k1", "k2"])
+    is_hot = F.col("k1").isin(hot)
+    return members.where(~is_hot).join(named.where(~is_hot), ["k1", "k2"]).unionByName(members.where(is_hot).join(F.broadcast(named.where(is_hot)), ["k1", "k2"]))
 
 
 def grouped(members: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, product) of every listing."""
-    return members.join(named.select("k1", "k2", "product"), ["k1", "k2"]).select("id", "product")
+    """(id, product, n_listings) of every listing."""
+    n = F.when(F.col("told"), F.col("total")).otherwise(F.lit(1))
+    return _placed(members, named).select("id", F.when(F.col("told"), F.col("product")).otherwise(F.col("id")).alias("product"), n.cast("long").alias("n_listings"))
 
 
 def pairs(members: DataFrame, named: DataFrame) -> DataFrame:
@@ -293,8 +381,8 @@ def pairs(members: DataFrame, named: DataFrame) -> DataFrame:
     Groups over BLOCK members are cut into blocks by hash; every two blocks of a
     group meet as one key, so no task holds a whole large group.
     """
-    several = named.where("known and total > 1").select("k1", "k2", "product", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(several, ["k1", "k2"]).select("id", "product", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    several = named.where("told and total > 1").select("k1", "k2", "product", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    cut = _placed(members, several).select("id", "product", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     # the keys (lesser block, greater block) that a member takes part in
     with_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("lo"), F.greatest(F.col("block"), j).alias("hi")))
     spread = cut.select("product", "id", "block", F.inline(with_))

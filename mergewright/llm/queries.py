@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from ..sources.tables import table
-from . import components, lookalike, mixing, overlap, personal, products, quantities, splits, tokens
+from . import components, lookalike, mixing, overlap, personal, products, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,13 +102,6 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d)
 
 
-@query("p7_found")
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities of current items in base units: id, kind, amount."""
-    items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
-    return quantities.quantities(items, table(spark, d, "units"))
-
-
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "p2")
     pairs = [table(spark, d, t, "pair_id", "id1", "id2", "split_name", "source") for t in ("matches", "matches_llm")]
@@ -146,7 +139,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _products(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    items = table(spark, d, "items", "id", "name", "attributes", "updated_at")
+    items = table(spark, d, "items", "id", "name", "attributes", "category", "updated_at")
     return products.groups(items, table(spark, d, "brands", "brand", "brand_ru"), table(spark, d, "units"), Scratch(spark, "p1"))
 
 
@@ -158,7 +151,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_groups")
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Product of every listing: id, product."""
+    """Product of every listing, and how many it has: id, product, n_listings."""
     return products.grouped(*_products(spark, d))
 
 

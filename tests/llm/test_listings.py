@@ -1,18 +1,21 @@
+import json
 import random
 from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mergewright.llm import listing, overlap, products
+from mergewright.operators import quantities
 
-ITEMS = "id long, name string, attributes string, seller_id long, updated_at timestamp, attrs string, rep string"
+ITEMS = "id long, name string, attributes string, seller_id long, updated_at timestamp, category string, rep string"
 PAIRS = "pair_id long, id1 long, id2 long, split_name string, source string, train string"
 
 
 def item(i, name, attributes=None, seller=1, day=None):
-    return (i, name, attributes, seller, datetime(2025, 1, day) if day else None, "x", "y")
+    return (i, name, attributes, seller, datetime(2025, 1, day) if day else None, None, "y")
 
 
 # --- overlap ---------------------------------------------------------------------
@@ -99,51 +102,107 @@ UNITS = [("g", "weight", 1.0), ("kg", "weight", 1000.0), ("ml", "volume", 1.0),
 
 
 @pytest.mark.parametrize(
-    "name, attributes, want",
+    "name, attributes, want, words",
     [
-        ("Шампунь для волос Ремто Vavava Start - 0,5 л, комплект из 6, новинка 2025", None, ("remto", "vavava start", "шампунь", None, None, 6)),
-        ("ТЕКСОР дрель ударная / Novelfi ONE AB-1234X 0,3 КВТ", None, ("tekcop", "novelfi one", "дрель", None, None, None)),
-        ("футтболка хлопковая 🔥 р-р XL, чёрный матовый", '{"Торговая марка": "kohlmar", "Линейка": "Silpol II"}', ("kohlmar", "silpol ii", "футболка", "black", "xl", None)),
-        (None, '{"Тип": "кольцо женское", "Размер": "17,5", "Серия": "Ran One", "Бренд": "Gorka"}', ("gorka", "ran one", "кольцо", None, "17.5", None)),
-        (None, None, (None, None, None, None, None, None)),
-        ("", "x", (None, None, None, None, None, None)),
+        ("Шампунь для волос Ремто Vavava Start - 0,5 л, комплект из 6, новинка 2025", None, ("remto", None, None, None, 6), "шампунь для волос  vavava start   комплект  новинка 2025"),
+        ("ТЕКСОР дрель ударная / Novelfi ONE AB-1234X 0,3 КВТ", None, ("tekcop", None, None, None, None), " дрель ударная  novelfi one"),
+        ("футболка хлопковая 🔥 р-р XL, чёрный матовый", '{"Торговая марка": "kohlmar", "Линейка": "Silpol II"}', ("kohlmar", "silpol ii", "black", "xl", None), "футболка хлопковая р р xl матовый"),
+        (None, '{"Размер": "17,5", "Серия": "Ран Один", "Бренд": "Gorka", "Цвет": "бирюзовый"}', ("gorka", "ран один", "бирюзовый", "17.5", None), ""),
+        (None, '{"Серия": "не указано", "Цвет": null}', (None, None, None, None, None), ""),
+        (None, None, (None, None, None, None, None), ""),
+        ("", "x", (None, None, None, None, None), ""),
     ],
 )
-def test_listing(name, attributes, want):
-    got = listing.read(name, attributes, listing.Brands.of(BRANDS), {})
-    assert tuple(got[k] for k in ("brand", "series", "type", "colour", "size", "pack")) == want
+def test_listing(name, attributes, want, words):
+    got = listing.Reader(listing.Brands.of(BRANDS), quantities.patterns(("л", "квт", "вт"))).read(name, attributes)
+    assert tuple(got[k] for k in ("brand", "series", "colour", "size", "pack")) == want
+    assert " ".join(got["words"]).split() == words.split()
+
+
+def test_many_brands_cost_no_more():
+    many = listing.Brands.of([(f"Brand{i} Of {i}", None) for i in range(20_000)])
+    assert many.at(["brand7", "of", "7", "x"], 0) == 3 and many.at(["brand7", "of"], 0) == 0
 
 
 def pairs(spark, scratch, rows, **kw):
     b = spark.createDataFrame(BRANDS, "brand string, brand_ru string")
     u = spark.createDataFrame(UNITS, "unit string, kind string, factor double")
-    got = products.pairs(*products.groups(spark.createDataFrame(rows, ITEMS), b, u, scratch)).collect()
+    members, named = products.groups(spark.createDataFrame(rows, ITEMS), b, u, scratch)
+    got = products.pairs(members, named).collect()
     assert len(got) == len({(r["id1"], r["id2"]) for r in got})
+    together = {}
+    for r in products.grouped(members, named).collect():
+        together.setdefault(r["product"], []).append((r["id"], r["n_listings"]))
+    # the groups and the pairs say the same
+    assert {(a, b) for g in together.values() for a, _ in g for b, _ in g if a < b} == {(r["id1"], r["id2"]) for r in got}
+    assert all(n == len(g) for g in together.values() for _, n in g)
     return {(r["id1"], r["id2"]) for r in got}
 
 
 def test_products(spark, scratch):
     rows = [
-        item(1, "Дрель Gorka Novelfi One 150 Вт"), item(2, "дрель ударная novelfi one, best price", '{"Brand": "GORKA", "Power": "0.2 hp"}', 2), item(3, "Drill Gorka Novelfi One 0,15 кВт"),
-        item(4, "Дрель Gorka Novelfi Pro 150 Вт"), item(5, "Дрель Remto Novelfi One 150 Вт"), item(6, "Дрель Gorka Novelfi One 300 Вт"),
-        item(7, "Шампунь Gorka Tifetu 1 л, 2 шт"), item(8, "Шампунь Gorka Tifetu 1 л"), item(9, "Шампунь Gorka Tifetu 1000 мл, 1 шт"), item(10, "Шампунь Gorka Tifetu 1 л, x2"),
+        item(1, "Дрель Gorka Novelfi One 150 Вт"), item(2, "дрель ударная novelfi one, best price", '{"Brand": "GORKA", "Power": "0.2 hp"}', 2), item(3, "Drill Gorka 0,15 кВт", '{"Серия": "Novelfi One"}'),
+        item(4, "Дрель Gorka Novelfi Pro 150 Вт", '{"Серия": "Novelfi Pro"}'), item(5, "Дрель Remto Novelfi One 150 Вт", '{"Серия": "Novelfi One"}'), item(6, "Дрель Gorka Novelfi One 300 Вт"),
+        item(7, "Шампунь Gorka Tifetu 1 л, 2 шт", '{"Линейка": "TIFETU"}'), item(8, "Шампунь Gorka Tifetu 1 л"), item(9, "Шампунь Gorka Tifetu 1000 мл, 1 шт"), item(10, "Шампунь Gorka Tifetu 1 л, x2"),
         item(11, None), item(12, None), item(13, ""), item(14, "Дрель Gorka Novelfi One 150 Вт", day=1), item(14, "Дрель Gorka Novelfi Neo 150 Вт", day=2), item(1, "Дрель Gorka Novelfi One 150 Вт"),
-        (None, "Дрель Gorka Novelfi One 150 Вт", None, 1, None, "x", "y"),
+        (None, "Дрель Gorka Novelfi One 150 Вт", None, 1, None, None, "y"),
     ]
     assert pairs(spark, scratch, rows) == {(1, 2), (1, 3), (2, 3), (7, 10), (8, 9)}
     assert pairs(spark, scratch, []) == set()
 
 
+def test_kinds_that_no_table_names(spark, scratch):
+    """Listings of ten kinds of products, most with the series in the name only."""
+    rnd = random.Random(5)
+    kinds = [("холодильник", "fridge"), ("ноутбук", "laptop"), ("велосипед", "bicycle"), ("кресло", "armchair"), ("аквариум", "fish tank"), ("гитара", "guitar"), ("палатка", "tent"), ("микроскоп", "microscope"), ("самокат", "scooter"), ("наушники", "headphones")]
+    noise = ["хит", "новинка", "best price", "оригинал", "для дома", "топ качество", "доставка", ""]
+    ends = ["Frost", "Max", "Эко"]
+    rows, want, i = [], {}, 0
+    for k, words in enumerate(kinds):
+        for s in range(6):
+            brand, head = rnd.choice([b for b, _ in BRANDS]), f"{rnd.choice('бвгдлмнр')}{rnd.choice('аеиоу')}{chr(97 + k)}{chr(97 + s)}олин"
+            series = f"{head} {ends[s % 3]}"
+            for power in (100, 200):
+                for _ in range(4):
+                    i += 1
+                    name = [rnd.choice(words), brand if rnd.random() < 0.7 else "", rnd.choice(noise), rnd.choice(noise)]
+                    said = {"Бренд": brand}
+                    if rnd.random() < 0.4:
+                        said["Серия"] = series
+                    else:
+                        name.append(series)
+                    if rnd.random() < 0.2:
+                        said["Вес"] = f"{rnd.randint(1, 9)} кг"
+                    name.append(f"{power} Вт")
+                    rnd.shuffle(name)
+                    rows.append((i, " / ".join(x for x in name if x), json.dumps(said, ensure_ascii=False), i % 7, None, f"kind {k}" if rnd.random() < 0.8 else None, "x"))
+                    want.setdefault((k, s, power), []).append(i)
+    true = {(a, b) for g in want.values() for a in g for b in g if a < b}
+    got = pairs(spark, scratch, rows)
+    assert len(got & true) >= 0.9 * len(true) and len(got & true) >= 0.98 * len(got)
+
+
+def test_one_series_of_two_types(spark, scratch):
+    rows = [(i, "Gorka Tifetu Pro 80 см", None, i, None, c, "x") for i, c in enumerate(("cables", "belts", "cables", None, "belts"))]
+    assert pairs(spark, scratch, rows) == {(0, 2), (1, 4)}
+
+
 def test_large_group_is_cut_into_blocks(spark, scratch, monkeypatch):
     monkeypatch.setattr(products, "BLOCK", 7)
     got = pairs(spark, scratch, [item(i, "Дрель Gorka Novelfi One 150 Вт") for i in range(60)])
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60)}
 
 
-def test_windows_cross_partitions(spark, scratch):
-    rows = [item(1000 + 2 * i + j, f"Дрель Gorka Novelfi One {p} Вт") for i in range(200) for j, p in ((0, 100 * (i + 1) ** 2), (1, 100 * (i + 1) ** 2 + 1))]
-    got = pairs(spark, scratch, rows)
-    assert {(1000 + 2 * i, 1001 + 2 * i) for i in range(20)} <= got
+@pytest.mark.parametrize("rows, window", [(34, 12), (34, 3), (200, 12)])
+def test_windows_are_the_same_however_the_order_is_cut(spark, scratch, monkeypatch, rows, window):
+    monkeypatch.setattr(products, "WINDOW", window)
+    shape = "rep long, n long, " + ", ".join(f"{f} {'long' if f in products.KINDS or f == 'pack' else 'string'}" for f in products.FIELDS)
+    reps = spark.createDataFrame([(i, 1, "gorka", "novelfi one", "drill", None, None, 1, None, None, None, None, 1000, None) for i in range(rows)], shape)
+    want = {(i, j) for i in range(rows) for j in range(i + 1, min(rows, i + window + 1))}
+    for parts in (1, 2, 4, 17):
+        monkeypatch.setattr(products, "parallelism", lambda _, parts=parts: parts)
+        got = products.neighbours(reps, F.lpad(F.col("rep").cast("string"), 20, "0"), scratch).collect()
+        assert {(r["u"], r["v"]) for r in got} == want, parts
 
 
 def test_pivots_do_not_chain(spark, scratch):
