@@ -35,6 +35,8 @@ def _entry_of(pairs: _Pairs) -> Entry | None:
 
 def _walk(root: object) -> list[Entry]:
     """Entries below a node in text order, at any depth."""
+    if isinstance(root, _Pairs) and len(root) != 2 and not any(isinstance(v, list) for _, v in root):
+        return root
     out: list[Entry] = []
     todo: list[tuple[str | None, object]] = [(None, root)]
     while todo:

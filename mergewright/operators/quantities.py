@@ -279,7 +279,7 @@ def _value(number: str) -> float:
 
 def without_codes(text: str) -> str:
     """The text without article codes."""
-    return _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
+    return text if not _DIGIT.search(text) else _CODE.sub(lambda m: m.group(0) if not (m[1] or m[2] or m[3] or "").strip() and m.group(0)[:2] in _SUFFIXES else " ; ", text)
 
 
 def speaks_of_size(text: str) -> bool:
