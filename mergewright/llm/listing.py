@@ -227,13 +227,14 @@ class Reader:
             said, coded = self.patterns.taken_from(coded)
             out["amounts"] += said
         words = ["" if w[0] in " ,;/|()" else w for w in _PIECE.findall(bare(coded))]
-        i, own = 0, None
-        while i < len(words):
-            n = self.brands.at(words, i) if words[i] else 0
-            if n:
-                own = own or self.brands.known[" ".join(words[i : i + n])]
-                words[i : i + n] = [""]
-            i += 1
+        own, starts = None, self.brands.starts
+        if not starts.keys().isdisjoint(words):
+            i = 0
+            while i < len(words):
+                if words[i] in starts and (n := self.brands.at(words, i)):
+                    own = own or self.brands.known[" ".join(words[i : i + n])]
+                    words[i : i + n] = [""]
+                i += 1
         if out["brand"] is None:
             out["brand"] = own
         if out["colour"] is None:

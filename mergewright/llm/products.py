@@ -115,23 +115,27 @@ def read_listings(items: DataFrame, brands: DataFrame, units: DataFrame, scratch
 def learned_series(listings: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, learned) of listings that state no series but name one."""
     stated = scratch.save(listings.where("series is not null").select("brand", "series").distinct(), "stated")
-    open_ = scratch.save(listings.where("series is null and size(words) > 0").select("id", "brand", "words"), "open")
+    open_ = listings.where("series is null and size(words) > 0").select("id", "brand", "words")
     # the lengths of stated series in words: a few small numbers
     lengths = sorted(r[0] for r in stated.select(F.size(F.split("series", " "))).distinct().collect())
+    b = F.coalesce("brand", F.lit(""))
 
     def span(n: int):
-        said = F.when(F.col("at") + n <= F.size("words"), F.slice("words", F.col("at") + 1, F.lit(n)))
-        return F.struct(said.alias("s"), F.when(F.col("at") + n < F.size("words"), F.element_at("words", F.col("at") + n + 1)).alias("next"))
-
-    heads = None
-    if lengths:
-        spans = open_.select("id", "brand", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-        spans = spans.where(F.element_at("words", F.col("at") + 1) != "").select("id", "brand", "at", F.inline(F.array(*[span(n) for n in lengths])))
-        spans = spans.where("s is not null and not array_contains(s, '')").select("id", F.coalesce("brand", F.lit("")).alias("b"), F.array_join("s", " ").alias("series"), "next", (F.size("s").cast("long") * 2**32 - F.col("at")).alias("rank"))
-        known = stated.select(F.coalesce("brand", F.lit("")).alias("b"), "series")
-        met = spans.join(known, ["b", "series"]).groupBy("id").agg(F.max_by(F.struct(F.col("series").alias("head"), "next"), "rank").alias("b"))
-        heads = scratch.save(met.select("id", "b.*"), "found")
-        open_ = scratch.save(open_.join(heads.select("id"), "id", "left_anti"), "unnamed")
+        hashed = F.when(F.col("at") + n <= F.size("words"), F.xxhash64(b, F.slice("words", F.col("at") + 1, F.lit(n))))
+        return F.struct(hashed.alias("h"), (F.lit(n).cast("long") * 2**32 - F.col("at")).alias("rank"))
+
+    # spans of words are hashes here; the longest that is a stated series, and of these the first
+    spans = open_.select("id", "brand", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).where(F.element_at("words", F.col("at") + 1) != "")
+    spans = spans.select("id", F.inline(F.array(*[span(n) for n in lengths or [1]]))).where("h is not null")
+    known = stated.select(F.xxhash64(b, F.split("series", " ")).alias("h")).distinct()
+    best = spans.join(known, "h", "left_semi").groupBy("id").agg(F.max("rank").alias("rank"))
+    length = F.ceil(F.col("rank") / 2**32).cast("int")
+    at = (length.cast("long") * 2**32 - F.col("rank")).cast("int")
+    head, after = F.array_join(F.slice("words", at + 1, length), " "), at + length + 1
+    next_ = F.when(after <= F.size("words"), F.element_at("words", after))
+    open_ = scratch.save(open_.join(best, "id", "left").select("id", "words", F.when(F.col("rank").isNotNull(), head).alias("head"), F.when(F.col("rank").isNotNull(), next_).alias("next")), "open")
+    heads = open_.where("head is not null").select("id", "head", "next")
+    open_ = open_.where("head is null").select("id", "words")
 
     # what brands use a word, over all listings
     uses = listings.select(F.coalesce("brand", F.lit("")).alias("brand"), F.explode(F.array_distinct("words")).alias("word")).groupBy("word", "brand").agg(F.count(F.lit(1)).alias("n"))
@@ -144,38 +148,36 @@ def learned_series(listings: DataFrame, scratch: Scratch) -> DataFrame:
     ends = stated.where("series like '% %'").select(F.substring_index("series", " ", -1).alias("next")).distinct().withColumn("ends", F.lit(True))
     # a head of one word takes in a next word that ends series
     more = F.when(F.col("ends") & ~F.col("head").contains(" "), F.col("next"))
-    both = rest if heads is None else heads.unionByName(rest)
-    return both.join(ends, "next", "left").select("id", F.concat_ws(" ", "head", more).alias("learned"))
+    return heads.unionByName(rest).join(ends, "next", "left").select("id", F.concat_ws(" ", "head", more).alias("learned"))
 
 
-def keys(prefix: str = "") -> dict:
+def keys() -> dict:
     """Two hashes of all fields; nulls are values, or they would be skipped."""
     filled = [F.coalesce(f, F.lit(-1).cast("long") if f in KINDS or f == "pack" else F.lit("")) for f in FIELDS]
-    return {f"{prefix}k1": F.xxhash64(F.lit(1), *filled), f"{prefix}k2": F.xxhash64(F.lit(2), *filled)}
+    return {"k1": F.xxhash64(F.lit(1), *filled), "k2": F.xxhash64(F.lit(2), *filled)}
 
 
 def _family(*columns: str):
     return F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
-def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, k1, k2), wordings (k1, k2, r1, r2) and representatives
-    (r1, r2, rep, n, fields)."""
+def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (id, k1, k2) and representatives (k1, k2, rep, n, fields)."""
     named = learned_series(listings, scratch)
     own = listings.join(named, "id", "left").withColumns({"series": F.coalesce("series", "learned"), "pack": F.coalesce("pack", F.lit(1).cast("long"))}).select("id", *FIELDS)
-    own = scratch.save(own.withColumns(keys()), "named")
-    wordings = scratch.save(own.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys()), "wordings")
-    per = wordings.groupBy("brand", "series", "type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("weight").isNotNull(), F.col("n")).otherwise(0)).alias("nw"))
+    own = scratch.save(own, "named")
+    per = own.groupBy("brand", "series", "type").agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("nw"))
+    per = scratch.save(per, "families")
     whole = per.groupBy("brand", "series").agg(F.count("type").alias("types"), F.max("type").alias("only"), F.sum("n").alias("all"), F.sum("nw").alias("all_w"))
     whole = whole.select(_family("brand", "series").alias("family"), "types", "only", "all", "all_w")
     weighs = F.when(F.col("types") > 1, F.col("nw") > F.col("n") * MOST).otherwise(F.col("all_w") > F.col("all") * MOST)
     facts = per.withColumn("family", _family("brand", "series")).join(whole, "family")
     facts = facts.select(_family("brand", "series", "type").alias("family"), weighs.alias("weighs"), F.when(F.col("types") == 1, F.col("only")).alias("only"))
-    both = wordings.withColumn("family", _family("brand", "series", "type")).join(facts, "family")
-    kept = both.withColumns({"weight": F.when(F.col("weighs"), F.col("weight")), "type": F.coalesce("type", "only")}).select("k1", "k2", "rep", "n", *FIELDS)
-    kept = scratch.save(kept.withColumns(keys("r")), "kept").withColumnsRenamed({"rk1": "r1", "rk2": "r2"})
-    reps = kept.groupBy("r1", "r2", *FIELDS).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"))
-    return own.select("id", "k1", "k2"), kept.select("k1", "k2", "r1", "r2"), scratch.save(reps, "reps")
+    both = own.withColumn("family", _family("brand", "series", "type")).join(facts, "family")
+    kept = both.withColumns({"weight": F.when(F.col("weighs"), F.col("weight")), "type": F.coalesce("type", "only")}).select("id", *FIELDS)
+    kept = scratch.save(kept.withColumns(keys()), "kept")
+    reps = kept.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys())
+    return kept.select("id", "k1", "k2"), scratch.save(reps, "reps")
 
 
 def _amount(f: str):
@@ -200,19 +202,20 @@ def orders() -> list[object]:
     ]
 
 
-def agree(a: list, b: list) -> float:
-    """Soft alignment of two token lists (in the order of FIELDS): a score, or
-    less than 0 on any conflict."""
+def agree(a: list[str], b: list[str]) -> float:
+    """Soft alignment of two token lists (texts in the order of FIELDS, empty where
+    nothing is said): a score, or less than 0 on any conflict."""
     score = 0.0
     for i, x, y, w in zip(_INDEX, a, b, _WEIGHT):
         if x == y:
-            if x is not None:
+            if x:
                 score += w
-        elif x is None or y is None:
+        elif not x or not y:
             score -= 0.5
         elif i >= _FIRST_KIND:
             # weight, length and the like come rounded from other units
-            if abs(x - y) > ROUNDING * max(abs(x), abs(y)) + 1:
+            p, q = int(x), int(y)
+            if abs(p - q) > ROUNDING * max(abs(p), abs(q)) + 1:
                 return -1.0
             score += 1.0
         elif i < 2 and len(x) > 5 and len(y) > 5 and _slip_in_long_word(x, y):
@@ -223,6 +226,12 @@ def agree(a: list, b: list) -> float:
 
 
 _INDEX, _WEIGHT, _FIRST_KIND = range(len(FIELDS)), [WEIGHTS.get(f, 1.0) for f in FIELDS], FIELDS.index(KINDS[0])
+_SEPARATOR = "\x1f"
+
+
+def tokens() -> object:
+    """All fields as one text, which ``agree`` takes apart."""
+    return F.concat_ws(_SEPARATOR, *[F.coalesce(F.translate(F.col(f).cast("string"), _SEPARATOR, " "), F.lit("")) for f in FIELDS])
 
 
 def _slip_in_long_word(x: str, y: str) -> bool:
@@ -266,8 +275,7 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
     anew, so the edges are the same however the order is cut.
     """
     n = parallelism(reps.sparkSession)
-    ordered = reps.select("rep", "n", *FIELDS, key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
-    kinds = [pa.int64() if f in KINDS or f == "pack" else pa.string() for f in FIELDS]
+    ordered = reps.select("rep", "n", tokens().alias("t"), key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
@@ -275,38 +283,36 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
         head: list = []
         for b in batches:
             out: list = []
-            for rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for rep, n_, t in zip(*(c.to_pylist() for c in b.columns)):
                 if place < WINDOW:
-                    head.append((place, rep, n_, tokens))
-                _compare(last, rep, n_, tokens, out)
+                    head.append((place, rep, n_, t))
+                _compare(last, rep, n_, t.split(_SEPARATOR), out)
                 place += 1
             yield batch(_edges(out), [], part)
-        tail = [(place - len(last) + i, *row) for i, row in enumerate(last)]
-        yield batch(_edges([]), [x for x in {x[0]: x for x in (*head, *tail)}.values()], part)
+        tail = [(place - len(last) + i, rep, n_, _SEPARATOR.join(t)) for i, (rep, n_, t) in enumerate(last)]
+        yield batch(_edges([]), list({x[0]: x for x in (*head, *tail)}.values()), part)
 
     def batch(edges: list[pa.Array], rows: list, part: int) -> pa.RecordBatch:
         m, k = len(edges[0]), len(rows)
         cols = [pa.concat_arrays([e, pa.nulls(k, e.type)]) for e in edges]
-        cols += [pa.array([None] * m + [part] * k, pa.int32())]
-        cols += [pa.array([None] * m + [r[i] for r in rows], pa.int64()) for i in range(3)]
-        cols += [pa.array([None] * m + [r[3][i] for r in rows], t) for i, t in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(cols, [*_EDGE, "part", "place", "rep", "n", *FIELDS])
+        cols.append(pa.array([None] * m + [part] * k, pa.int32()))
+        cols += [pa.array([None] * m + [r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, [*_EDGE, "part", "place", "rep", "n", "t"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: deque = deque(maxlen=WINDOW)
         before = (-1, -1)
         for b in batches:
             out: list = []
-            for part, place, rep, n_, *tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for part, place, rep, n_, t in zip(*(c.to_pylist() for c in b.columns)):
                 if part == before[0] and place != before[1] + 1:
                     last.clear()
                 before = part, place
-                _compare(last, rep, n_, tokens, out)
+                _compare(last, rep, n_, t.split(_SEPARATOR), out)
             yield pa.RecordBatch.from_arrays(_edges(out), _EDGE)
 
-    fields = ", ".join(f"{f} {'long' if f in KINDS or f == 'pack' else 'string'}" for f in FIELDS)
-    slid = scratch.save(ordered.mapInArrow(slide, f"{_EDGE_SHAPE}, part int, place long, rep long, n long, {fields}"), "slid")
-    cuts = slid.where("rep is not null").select("part", "place", "rep", "n", *FIELDS).repartition(1).sortWithinPartitions("part", "place")
+    slid = scratch.save(ordered.mapInArrow(slide, f"{_EDGE_SHAPE}, part int, place long, rep long, n long, t string"), "slid")
+    cuts = slid.where("rep is not null").select("part", "place", "rep", "n", "t").repartition(1).sortWithinPartitions("part", "place")
     return slid.where("u is not null").select(*_EDGE).unionByName(cuts.mapInArrow(across, _EDGE_SHAPE))
 
 
@@ -342,21 +348,20 @@ def pivots(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(members, named): members are (id, k1, k2); named has (k1, k2, told, product,
-    total) of every wording. Listings of one product share a number, the least id
+    total) of every wording (tokens that listings share). Listings of one product share a number, the least id
     of its centre, and ``total`` is the number of its listings; ``told`` is whether
     a wording says enough to be compared."""
-    members, wordings, reps = signatures(scratch.save(read_listings(items, brands, units, scratch), "read"), scratch)
+    members, reps = signatures(scratch.save(read_listings(items, brands, units, scratch), "read"), scratch)
     says = sum((F.when(F.col(f).isNotNull(), F.lit(WEIGHTS.get(f, 1.0))).otherwise(F.lit(0.0)) for f in FIELDS), F.lit(0.0))
     told = F.col("series").isNotNull() & (says >= LEAST_SCORE)
     known = reps.where(told)
     found = [neighbours(known, k, scratch) for k in orders()]
     edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score"), F.max("nu").alias("nu"), F.max("nv").alias("nv")), "edges")
     centre = pivots(edges, scratch)
-    named = reps.select("r1", "r2", "rep", "n", told.alias("told")).join(centre, "rep", "left").select("r1", "r2", "n", "told", F.coalesce("centre", "rep").alias("product"))
+    named = reps.select("k1", "k2", "rep", "n", told.alias("told")).join(centre, "rep", "left").select("k1", "k2", "n", "told", F.coalesce("centre", "rep").alias("product"))
     named = scratch.save(named, "products")
     totals = named.where("told").groupBy("product").agg(F.sum("n").alias("total"))
-    per = wordings.join(named.join(totals, "product", "left"), ["r1", "r2"]).select("k1", "k2", "told", "product", F.coalesce("total", F.lit(1)).alias("total"))
-    return members, scratch.save(per, "wordings")
+    return members, scratch.save(named.join(totals, "product", "left").withColumn("total", F.coalesce("total", F.lit(1))), "totals")
 
 
 def _placed(members: DataFrame, named: DataFrame) -> DataFrame:

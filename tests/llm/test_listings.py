@@ -215,7 +215,7 @@ def test_pivots_do_not_chain(spark, scratch):
 
 def test_agreement_of_tokens():
     def t(**k):
-        return [k.get(f) for f in products.FIELDS]
+        return [str(k.get(f, "")) for f in products.FIELDS]
 
     a = t(brand="gorka", series="novelfi one", type="дрель", power=150)
     assert products.agree(a, t(brand="gorka", series="novelfi one", type="дрель", power=147)) >= products.LEAST_SCORE
