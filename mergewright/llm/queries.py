@@ -122,8 +122,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(*_overlaps(spark, d))
 
 
-def _personal(spark: SparkSession, d: str) -> DataFrame:
-    return personal.scan(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "brands", "brand"))
+def _personal(spark: SparkSession, d: str, **options) -> DataFrame:
+    return personal.scan(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "brands", "brand"), **options)
 
 
 @query("p10_found")
@@ -138,6 +138,12 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("doc_id", "text")
 
 
+@query("p10_dates")
+def p10_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The same with dates permuted as well."""
+    return _personal(spark, d, dates=True).select("doc_id", "text")
+
+
 def _products(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "items", "id", "name", "attributes", "category", "updated_at")
     return products.groups(items, table(spark, d, "brands", "brand", "brand_ru"), table(spark, d, "units"), Scratch(spark, "p1"))
