@@ -43,3 +43,22 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inne
     cold = left.where(~is_hot).join(right.where(~is_hot), key, how)
     warm = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return cold.unionByName(warm)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of two sides that may both hold many rows of a key.
+
+    The rows of the left's hot keys (see ``hot_keys``) are dealt to as many salts as
+    they fill with ``rows`` rows each; the right's rows of those keys are repeated
+    once per salt. So a task gets at most a salt's share of a hot key.
+    """
+    hot = hot_keys(left, key, least=rows)
+    if not hot:
+        return left.join(right, key)
+    counts = {r[0]: r[1] for r in left.where(F.col(key).isin(hot)).groupBy(key).agg(F.count(F.lit(1))).collect()}  # at most 1 / HOT_SHARE
+    salts = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(-(-n // rows)))])
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    cold = left.where(~is_hot).join(right.where(~is_hot), key)
+    dealt = left.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.element_at(salts, F.col(key))).cast("int"))
+    spread = right.where(is_hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col(key)).cast("int") - 1)))
+    return cold.unionByName(dealt.join(spread, [key, "_salt"]).drop("_salt"))

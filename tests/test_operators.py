@@ -229,3 +229,14 @@ def test_scratch_lives_below_the_shared_folder(spark):
     df = s.save(spark.range(3), "r")
     assert s.root.startswith(spark.conf.get("spark.checkpoint.dir")) and df.count() == 3
     s.drop(df)
+
+
+def test_salted_join_is_a_join(spark):
+    from mergewright.operators.skew import salted_join
+
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 7), (None, 8), (3, 9)], "k long, x long")
+    right = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 1), (2, 2), (None, 3)], "k long, y long")
+    want = {tuple(r) for r in left.join(right, "k").collect()}
+    got = salted_join(left, right, "k", rows=100).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert salted_join(left.limit(0), right, "k").count() == 0
