@@ -237,7 +237,7 @@ def tokens() -> object:
 def _slip_in_long_word(x: str, y: str) -> bool:
     """Whether two names differ by a missing or doubled letter in one word of
     over five letters; sisters of a series differ by whole or short words."""
-    if abs(len(x) - len(y)) != 1 or within_one_slip(x, y) is None:
+    if abs(len(x) - len(y)) != 1 or not within_one_slip(x, y):
         return False
     a, b = x.split(), y.split()
     other = [(u, v) for u, v in zip(a, b) if u != v]

@@ -106,8 +106,8 @@ def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "p2")
     pairs = [table(spark, d, t, "pair_id", "id1", "id2", "split_name", "source") for t in ("matches", "matches_llm")]
     items = table(spark, d, "items", "id", "name", "attributes", "seller_id", "updated_at")
-    rows = overlap.records(*pairs)
-    return rows, overlap.overlaps(rows, overlap.same_listings(items, scratch), scratch)
+    rows = scratch.save(overlap.records(*pairs), "records")
+    return rows, overlap.overlaps(rows, *overlap.same_listings(items, rows, scratch), scratch)
 
 
 @query("p2_found")

@@ -30,23 +30,53 @@ def slips(a, b):
     return d[-1][-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
-def test_one_slip_is_distance_one(a, b):
-    assert (overlap.within_one_slip(a, b) is not None) == (slips(a, b) == 1)
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcd", min_size=3, max_size=14), st.integers(0, 3), st.integers(0, 13), st.sampled_from("abcd"))
-def test_segments_meet_probes(s, kind, at, c):
-    at %= len(s)
-    t = (s[:at] + s[at + 1 :], s[:at] + c + s[at:], s[:at] + c + s[at + 1 :], s[:at] + s[at : at + 2][::-1] + s[at + 2 :])[kind]
-    if t:
-        assert set(overlap.segments(s)) & set(overlap.probes(t))
-
-
-def same(spark, scratch, rows):
-    return {r["id"]: r["listing"] for r in overlap.same_listings(spark.createDataFrame(rows, ITEMS), scratch).collect()}
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(1, 3))
+def test_banded_programme_is_the_whole_one(a, b, most):
+    whole, got = slips(a, b), overlap.edits(a, b, most)
+    assert (got is not None) == (whole <= most)
+    if got is not None:
+        assert len(got) == whole
+        # the edits lead from the one string to the other
+        out, at = "", 0
+        for p, k, q, n in got:
+            out += a[at:p] + b[q : q + n]
+            at = p + k
+        assert out + a[at:] == b
+    assert overlap.within_one_slip(a, b) == (whole == 1)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcd", max_size=16), st.integers(1, 3), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 15), st.sampled_from("abcd")), max_size=3))
+def test_segments_meet_probes(s, most, changes):
+    t = s
+    for kind, at, c in changes[:most]:
+        at %= len(t) + 1
+        t = (t[:at] + t[at + 1 :], t[:at] + c + t[at:], t[:at] + c + t[at + 1 :], t[:at] + t[at : at + 2][::-1] + t[at + 2 :])[kind]
+    if slips(s, t) <= most:
+        assert set(overlap.segments(s, most)) & set(overlap.probes(t, most))
+
+
+def naive_links(rows, train, other, most=1):
+    """Pairs of listings that are the same, by the definition, all with all."""
+    by = {r[0]: (None if r[3] is None else (r[3], overlap.attribute_key(r[2])), overlap.words(r[1] or "")) for r in rows}
+    near = {x: {x} for x in {*by, *train, *other}}
+    for x, (block, p) in by.items():
+        for y, (block2, q) in by.items():
+            if x < y and block and block == block2 and p and q and (p == q or "".join(p) == "".join(q) or overlap.same_name(p, q, most)):
+                near[x].add(y)
+                near[y].add(x)
+    return {(o, t) for o in other for z in near[o] for t in near[z] & set(train)}
+
+
+def links(spark, scratch, rows, train, other, most=1):
+    """The same by the operator: every id is in a record with itself."""
+    recs = [(i, x, x, "train", "s", "x") for i, x in enumerate(train)] + [(10_000 + i, x, x, "eval", "s", "x") for i, x in enumerate(other)]
+    r = overlap.records(spark.createDataFrame(recs, PAIRS))
+    items = spark.createDataFrame(rows, ITEMS)
+    found = overlap.overlaps(r, *overlap.same_listings(items, r, scratch, most), scratch).collect()
+    assert len(found) == len({(x["pair_id1"], x["pair_id2"]) for x in found})
+    return {(other[x["other_id"] - 10_000], train[x["train_id"]]) for x in found}
 
 
 def test_same_listings(spark, scratch):
@@ -57,43 +87,59 @@ def test_same_listings(spark, scratch):
         item(9, None, a), item(10, None, a), item(11, "!!!", a), item(12, "???", a), item(13, "Шампунь для волос Gorka 5 л", a, seller=None),
         item(14, "Шампунь для волос Gorka 5 л", a, day=1), item(14, "Другое", a, day=2), item(15, "чай II 5", a), item(16, "чай III 5", a),
     ]
-    assert same(spark, scratch, rows) == {2: 1, 3: 1, 8: 7}
-    assert same(spark, scratch, []) == {}
+    ids = [*range(1, 17), 99]
+    same = {(x, x) for x in ids} | {(x, y) for x in (1, 2, 3) for y in (1, 2, 3)} | {(7, 8), (8, 7)}
+    assert links(spark, scratch, rows, ids, ids) == same
+    assert links(spark, scratch, rows, [1, 5, 8], [2, 3, 4, 7]) == {(2, 1), (3, 1), (7, 8)}
+    assert links(spark, scratch, [], [1], [1, 2]) == {(1, 1)}
 
 
-def test_same_listings_against_all_pairs(spark, scratch):
-    rnd = random.Random(3)
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_same_listings_against_all_pairs(spark, scratch, most):
+    rnd = random.Random(most)
     base = ["флешнакопитель белый сувенир", "кроссовки спортивные новые", "стиральный порошок лимон"]
     rows = []
-    for i in range(60):
+    for i in range(50):
         w = list(rnd.choice(base))
-        for _ in range(rnd.randint(0, 2)):
+        for _ in range(rnd.randint(0, most + 1)):
             k = rnd.randrange(len(w))
             if w[k] != " ":
                 w[k : k + 1] = rnd.choice(["", w[k] * 2, "ж"])
         rows.append(item(i, "".join(w), rnd.choice([None, '{"a": 1}']), rnd.randint(1, 2)))
-    link = []
-    for x in rows:
-        for y in rows:
-            if x[0] < y[0] and x[3] == y[3] and x[2] == y[2]:
-                p, q = overlap.words(x[1]), overlap.words(y[1])
-                if "".join(p) == "".join(q) or overlap.one_slip(p, q):
-                    link.append((x[0], y[0]))
-    from .conftest import union_find
+    train, other = list(range(0, 50, 2)), list(range(0, 50, 3))
+    assert links(spark, scratch, rows, train, other, most) == naive_links(rows, train, other, most)
+
+
+def test_no_chains(spark, scratch):
+    """Every wording is a slip from the next one; the first reaches two steps far."""
+    w = ["абвгдежзик" + "".join("ямуфхцчшщэ"[:i]) + "лмнопрст" for i in range(6)]
+    got = links(spark, scratch, [item(i, x) for i, x in enumerate(w)], list(range(6)), [0])
+    assert got == {(0, 0), (0, 1), (0, 2)}
+
+
+def test_a_seller_with_many_listings_of_one_beginning(spark, scratch, monkeypatch):
+    from mergewright.operators import skew
 
-    assert same(spark, scratch, rows) == {k: v for k, v in union_find(link).items() if k != v}
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew.salted_join, "__defaults__", (50,))
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (0.002, 50))
+    rows = [item(i, f"шампунь для волос обыкновенный {chr(1072 + i % 32)}{chr(1072 + i // 32 % 32)}{chr(1072 + i * 7 % 32)}номер") for i in range(300)]
+    train, other = list(range(0, 300, 2)), list(range(1, 300, 2))
+    got = links(spark, scratch, rows, train, other[:40])
+    assert got == naive_links(rows, train, other[:40])
 
 
 def test_overlaps(spark, scratch):
-    rows = [(1, 10, 20, "train", "h", "x"), (2, 20, 10, "eval", None, "x"), (3, 10, 21, "tune", "h", "x"), (4, 10, None, "eval", "h", "x"), (5, 30, 30, "train", "h", "x"), (6, 30, 30, "holdout", "h", "x"), (7, 10, 20, None, "h", "x"), (8, 10, 20, "train", "h", "x"), (2, 20, 10, "eval", None, "x"), (9, 99, 98, "eval", "h", "x")]
+    rows = [(1, 10, 20, "train", "h", "x"), (2, 20, 10, "eval", None, "x"), (3, 10, 21, "tune", "h", "x"), (4, 10, None, "eval", "h", "x"), (5, 30, 30, "train", "h", "x"), (6, 30, 30, "holdout", "h", "x"), (7, 10, 20, None, "h", "x"), (8, 10, 20, "train", "h", "x"), (2, 20, 10, "eval", None, "x"), (9, 99, 98, "eval", "h", "x"), (10, 40, 22, "eval", "h", "x")]
     renamed = spark.createDataFrame([(21, 20)], "id long, listing long")
+    near = spark.createDataFrame([(40, [10, 41]), (22, [10, 20])], "listing long, others array<long>")
     r = overlap.records(spark.createDataFrame(rows[:5], PAIRS), spark.createDataFrame(rows[5:], PAIRS))
-    found = overlap.overlaps(r, renamed, scratch)
-    assert sorted((x["pair_id1"], x["pair_id2"]) for x in found.collect()) == [(1, 2), (1, 3), (2, 8), (3, 8), (5, 6)]
+    found = overlap.overlaps(r, renamed, near, scratch)
+    assert sorted((x["pair_id1"], x["pair_id2"]) for x in found.collect()) == [(1, 2), (1, 3), (1, 10), (2, 8), (3, 8), (5, 6), (8, 10)]
     rep = {(x["split_name"], x["source"]): (x["n_records"], x["n_overlapping"]) for x in overlap.report(r, found).collect()}
-    assert rep == {("eval", None): (1, 1), ("tune", "h"): (1, 1), ("holdout", "h"): (1, 1), ("eval", "h"): (1, 0)}
+    assert rep == {("eval", None): (1, 1), ("tune", "h"): (1, 1), ("holdout", "h"): (1, 1), ("eval", "h"): (2, 1)}
     none = overlap.records(spark.createDataFrame([], PAIRS))
-    assert overlap.overlaps(none, renamed, scratch).count() == 0
+    assert overlap.overlaps(none, renamed, near, scratch).count() == 0
 
 
 # --- products ----------------------------------------------------------------------
