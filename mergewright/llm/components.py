@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, hot_split_join
+from ..operators.skew import HOT_ROWS, hot_keys, hot_split_join
 from ..session import Scratch
 
 #: Rounds of growth per level, and the rate of the exponential shifts.
@@ -42,49 +42,61 @@ def links(matches: DataFrame, threshold: float | None = 0.5) -> DataFrame:
     return matches.where(keep).select(u, v).distinct()
 
 
+#: A unit of time on the scale of the arrivals, which are whole numbers.
+TICK = 2**56
+
+
 def _start(vertex: Column, level: int) -> Column:
-    """Shifted start time in [0, ROUNDS]: ROUNDS less a capped exponential draw."""
+    """Shifted start time in [0, ROUNDS] ticks: ROUNDS less a capped exponential draw."""
     draw = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(2**40)).cast("double") + 1.0) / float(2**40 + 1)
-    return F.lit(float(ROUNDS)) - F.least(F.lit(float(ROUNDS)), -F.log(draw) / F.lit(BETA))
+    return ((F.lit(float(ROUNDS)) - F.least(F.lit(float(ROUNDS)), -F.log(draw) / F.lit(BETA))) * float(TICK)).cast("long")
+
+
+def _hot(df: DataFrame, key: str, rows: int) -> list:
+    """Hot keys of a table of which the number of rows is known; small ones have none."""
+    return hot_keys(df, key) if rows > HOT_ROWS else []
 
 
-def decompose(edges: DataFrame, level: int, hot: list, scratch: Scratch | None = None) -> DataFrame:
+def decompose(edges: DataFrame, level: int, hot: list, scratch: Scratch) -> DataFrame:
     """Cluster of every end of the edges: (vertex, cluster).
 
-    The state of a vertex is the earliest (arrival, centre) that reached it. In
-    round r those that arrived within [r - 1, r) are settled and reach out to
-    their neighbours. Every vertex has an arc to itself that carries its own
-    state, so a round reads the state once: one join on the arcs' start, one
-    minimum by their end. Where hot vertices split the join, the state is written
-    between rounds.
+    The state of a vertex is the earliest arrival that reached it, and its centre,
+    as two numbers, so minima are taken by hashing. In round r those that arrived
+    within [r - 1, r) are settled and reach out to their neighbours. Every vertex
+    has an arc to itself that carries its own state, so a round reads the state
+    once: one join on the arcs' start, one minimum by their end. Where hot vertices
+    split the join, the state is written between rounds.
     """
     both = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
     ends = edges.select(F.explode(F.array("u", "v")).alias("src")).distinct()
-    arcs = edges.select(F.inline(both)).unionByName(ends.withColumn("dst", F.col("src")))
+    arcs = scratch.save(edges.select(F.inline(both)).unionByName(ends.withColumn("dst", F.col("src"))), f"arcs{level}")
 
     def reach(met: DataFrame, r: int) -> DataFrame:
-        onward = F.when((F.col("got.at") >= r - 1) & (F.col("got.at") < r), F.struct((F.col("got.at") + 1.0).alias("at"), F.col("got.centre").alias("centre")))
-        got = F.when(F.col("src") == F.col("dst"), F.col("got")).otherwise(onward)
-        return met.select(F.col("dst").alias("vertex"), got.alias("got")).where("got is not null").groupBy("vertex").agg(F.min("got").alias("got"))
+        settled = (F.col("at") >= (r - 1) * TICK) & (F.col("at") < r * TICK)
+        at = F.when(F.col("src") == F.col("dst"), F.col("at")).otherwise(F.when(settled, F.col("at") + TICK))
+        out = met.select(F.col("dst").alias("vertex"), at.alias("at"), "centre").where("at is not null").groupBy("vertex")
+        return out.agg(F.min("at").alias("at"), F.min_by("centre", "at").alias("centre"))
 
-    state = reach(arcs.withColumn("got", F.struct(_start(F.col("src"), level).alias("at"), F.col("src").alias("centre"))), 1)
+    state = reach(arcs.withColumns({"at": _start(F.col("src"), level), "centre": F.col("src")}), 1)
     for r in range(2, ROUNDS + 1):
-        if hot and scratch:
+        if hot:
             state = scratch.save(state, f"round{r}")
         state = reach(hot_split_join(arcs, state.withColumnRenamed("vertex", "src"), "src", "inner", hot), r)
-    return state.select("vertex", F.col("got.centre").alias("cluster"))
+    out = scratch.save(state.select("vertex", F.col("centre").alias("cluster")), f"level{level}")
+    scratch.drop(arcs)
+    return out
 
 
 def connected_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, group_id) of every end of the links; group_id is the least id."""
     current, levels = scratch.save(edges, "edges"), []
     for level in range(MAX_LEVELS):
-        if current.isEmpty():
+        n = current.count()  # from the footers
+        if not n:
             break
-        arcs = current.select(F.explode(F.array("u", "v")).alias("src"))
-        hot = hot_keys(arcs, "src")
-        assigned = scratch.save(decompose(current, level, hot, scratch), f"level{level}")
-        levels.append(assigned)
+        hot = _hot(current.select(F.explode(F.array("u", "v")).alias("src")), "src", 2 * n)
+        assigned = decompose(current, level, hot, scratch)
+        levels.append((assigned, 2 * n))
         a = assigned.select(F.col("vertex").alias("u"), F.col("cluster").alias("cu"))
         b = assigned.select(F.col("vertex").alias("v"), F.col("cluster").alias("cv"))
         both = hot_split_join(hot_split_join(current, a, "u", "inner", hot), b, "v", "inner", hot)
@@ -96,31 +108,12 @@ def connected_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
         raise RuntimeError(f"not contracted after {MAX_LEVELS} levels")
     if not levels:
         return current.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    final = levels[-1]
-    for assigned in reversed(levels[:-1]):
+    final, rows = levels[-1]
+    for assigned, rows in reversed(levels[:-1]):
         up = final.select(F.col("vertex").alias("cluster"), F.col("cluster").alias("top"))
-        joined = hot_split_join(assigned, up, "cluster", "left")
+        joined = hot_split_join(assigned, up, "cluster", "left", _hot(assigned, "cluster", rows))
         composed = scratch.save(joined.select("vertex", F.coalesce("top", "cluster").alias("cluster")), "composed")
         scratch.drop(assigned, final)
         final = composed
     least = final.groupBy("cluster").agg(F.min("vertex").alias("group_id"))
-    return hot_split_join(final, least, "cluster", "inner").select(F.col("vertex").alias("id"), "group_id")
-
-
-def short_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, group_id) like ``connected_groups``, for groups of short diameter.
-
-    Least labels spread to neighbours until nothing changes: as many rounds as
-    the longest shortest path from a group's least id, one narrow join each.
-    """
-    arcs = scratch.save(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "arcs")
-    state = scratch.save(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        heard = arcs.join(state, "u").groupBy(F.col("v").alias("u")).agg(F.min("label").alias("new"))
-        merged = state.join(heard, "u").select("u", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved"))
-        nxt = scratch.save(merged, "labels")
-        scratch.drop(state)
-        state = nxt.select("u", "label")
-        state._scratch_path = nxt._scratch_path
-        if nxt.where("moved").isEmpty():
-            return state.select(F.col("u").alias("id"), F.col("label").alias("group_id"))
+    return hot_split_join(final, least, "cluster", "inner", _hot(final, "cluster", rows)).select(F.col("vertex").alias("id"), "group_id")

@@ -70,7 +70,14 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 )
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Bundle of every record of matches: pair_id, bundle_id."""
-    return splits.bundles(_matches(spark, d), Scratch(spark, "p6")).select("pair_id", "bundle_id")
+    return splits.bundles(table(spark, d, "matches", "pair_id", "id1", "id2"), Scratch(spark, "p6")).select("pair_id", "bundle_id")
+
+
+@query("p6_forest")
+def p6_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest behind the bundles: level, u, v."""
+    pairs = table(spark, d, "matches", "pair_id", "id1", "id2").where("pair_id is not null")
+    return splits.spanning_forest(components.links(pairs, None), Scratch(spark, "p6")).edges
 
 
 @query("p6_splits")
@@ -79,6 +86,19 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(_matches(spark, d), table(spark, d, "split_targets"), Scratch(spark, "p6"))
 
 
+@query(
+    "p6_torn",
+    _groups_sql("select id1 as u, id2 as v from matches where pair_id is not null and id1 is not null and id2 is not null and id1 <> id2")
+    + """, p as (select distinct pair_id, coalesce(id1, id2) as id from matches where pair_id is not null)
+    select count(*) as n_records, count(distinct coalesce(r.label, p.id)) as n_bundles, 0::bigint as n_torn, 0::bigint as n_without from p left join r on r.id = p.id""",
+)
+def p6_torn(spark: SparkSession, d: str) -> DataFrame:
+    """Records and bundles of p6_splits, bundles in several splits, and records without one."""
+    per = p6_splits(spark, d).groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split_name").alias("k"), F.sum(F.col("split_name").isNull().cast("long")).alias("none"))
+    torn = F.when(F.col("bundle_id").isNotNull() & (F.col("k") > 1), 1)
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"), F.count("bundle_id").alias("n_bundles"), F.count(torn).alias("n_torn"), F.coalesce(F.sum("none"), F.lit(0)).alias("n_without"))
+
+
 @query("p6_shares")
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     """Actual and target shares of the splits, overall and per category."""

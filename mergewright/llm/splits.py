@@ -9,15 +9,16 @@ roots become the vertices of the next level. The picked edges are written as a
 spanning forest (``Forest.edges``) and the roots of all levels are composed to
 one bundle per id, named by its least id.
 
-Dealing: bundles are stratified by category and size band. The few large ones
-(fewer than 1 / LARGE_SHARE, a proven bound) are placed greedily; the others are
-dealt systematically, band by band from large to small, along a distributed
-prefix sum of their sizes within each stratum, by the shares that remain for
-their category.
+Dealing: bundles are stratified by category and size band, and within a stratum
+put on a line of their sizes in hashed order, by a distributed prefix sum. The
+line is cut by the shares, and a bundle goes where its middle lies, whatever its
+size. Where few bundles make up a stratum, it can't meet the shares; the band of
+the smallest bundles is dealt last, by what each category still wants.
 
-Scale: minima are combined on the map side; joins on a root that holds a large
-share of vertices are split; no group is ever collected into one task, the
-prefix sum included (range partitions and their totals).
+Scale: minima are of plain numbers, combined on the map side by hashing; joins on
+a root that holds a large share of vertices are split; no group is ever collected
+into one task, the prefix sum included (range partitions and their totals). Only
+the targets reach the driver.
 
 Defined results: a null id links nothing; a row without any id is a bundle of
 its own with a null bundle_id; a pair of an id with itself is a bundle of that
@@ -31,17 +32,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, hot_split_join
 from ..session import Scratch, parallelism
-from .components import links
+from .components import _hot, links
 
 MAX_LEVELS = 64
+#: Doublings of pointers per level; each makes the longest chain four times shorter.
+MAX_DOUBLINGS = 40
 MAX_SPLITS = 100
-#: A bundle with at least this share of all rows is placed by itself.
-LARGE_SHARE = 0.002
 
 
 @dataclass
@@ -52,9 +53,9 @@ class Forest:
     roots: DataFrame
 
 
-def _double(parents: DataFrame) -> DataFrame:
+def _double(parents: DataFrame, hot: list) -> DataFrame:
     up = parents.select(F.col("vertex").alias("parent"), F.col("parent").alias("grand"))
-    return hot_split_join(parents, up, "parent", "inner").select("vertex", F.col("grand").alias("parent"))
+    return hot_split_join(parents, up, "parent", "inner", hot).select("vertex", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
 
 
 def spanning_forest(edges: DataFrame, scratch: Scratch) -> Forest:
@@ -63,36 +64,41 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> Forest:
     current = scratch.save(edges.select("u", "v", F.col("u").alias("ou"), F.col("v").alias("ov")), "edges")
     picks, levels = [], []
     for level in range(MAX_LEVELS):
-        if current.isEmpty():
+        n = current.count()  # from the footers
+        if not n:
             break
-        # the lesser end comes first, so both ends see the same edge as the same struct
-        edge = F.struct(F.xxhash64("u", "v", F.lit(level)).alias("w"), "u", "v", "ou", "ov")
-        arcs = current.select(F.inline(F.array(F.struct(F.col("u").alias("vertex"), edge.alias("e")), F.struct(F.col("v").alias("vertex"), edge.alias("e")))))
-        best = scratch.save(arcs.groupBy("vertex").agg(F.min("e").alias("e")), "picked")
-        other = F.when(F.col("vertex") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u"))
-        pointer = best.select("vertex", other.alias("parent"), "e.ou", "e.ov", F.struct("e.w", "e.u", "e.v").alias("k"))
-        theirs = pointer.select(F.col("vertex").alias("parent"), F.col("k").alias("pk"))
-        met = hot_split_join(pointer, theirs, "parent", "inner")
+        # the ends of an edge see it under one weight; all parts of the least edge are
+        # taken by the same comparisons, so they belong together
+        way = [F.xxhash64("u", "v", F.lit(level)).alias("w"), "ou", "ov"]
+        arcs = current.select(F.inline(F.array(F.struct(F.col("u").alias("vertex"), F.col("v").alias("other"), *way), F.struct(F.col("v").alias("vertex"), F.col("u").alias("other"), *way))))
+        best = scratch.save(arcs.groupBy("vertex").agg(*[F.min_by(c, "w").alias(c) for c in ("other", "ou", "ov")]), "picked")
+        pointer = best.withColumnRenamed("other", "parent")
+        theirs = best.select(F.col("vertex").alias("parent"), F.col("other").alias("back"))
+        met = hot_split_join(pointer, theirs, "parent", "inner", _hot(pointer, "parent", 2 * n))
         # two vertices that picked the same edge: the lesser one is the root
-        is_root = (F.col("k") == F.col("pk")) & (F.col("vertex") < F.col("parent"))
+        is_root = (F.col("back") == F.col("vertex")) & (F.col("vertex") < F.col("parent"))
         met = scratch.save(met.select("vertex", F.when(is_root, F.col("vertex")).otherwise(F.col("parent")).alias("parent"), "ou", "ov"), "met")
         scratch.drop(best)
         picks.append(met.where("vertex <> parent").select(F.lit(level).alias("level"), F.col("ou").alias("u"), F.col("ov").alias("v")))
         parents = met.select("vertex", "parent")
-        while True:
-            doubled = scratch.save(_double(_double(parents)), "doubled")
-            settled = doubled.join(parents.withColumnRenamed("parent", "before"), "vertex").where("parent <> before").isEmpty()
+        for _ in range(MAX_DOUBLINGS):
+            hot = _hot(parents, "parent", 2 * n)
+            doubled = scratch.save(_double(_double(parents, hot).drop("moved"), hot), "doubled")
+            settled = doubled.where("moved").isEmpty()
             if parents is not met:
                 scratch.drop(parents)
             parents = doubled
             if settled:
                 break
+        else:
+            raise RuntimeError(f"pointers not settled after {MAX_DOUBLINGS} doublings")
         levels.append(parents)
         a = parents.select(F.col("vertex").alias("u"), F.col("parent").alias("ru"))
         b = parents.select(F.col("vertex").alias("v"), F.col("parent").alias("rv"))
-        both = hot_split_join(hot_split_join(current, a, "u"), b, "v").where("ru <> rv")
-        least = F.min(F.struct("ou", "ov")).alias("o")
-        merged = both.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(least).select("u", "v", "o.ou", "o.ov")
+        hot = _hot(current.select(F.explode(F.array("u", "v")).alias("u")), "u", 2 * n)
+        both = hot_split_join(hot_split_join(current, a, "u", "inner", hot), b, "v", "inner", hot).where("ru <> rv")
+        order = F.xxhash64("ou", "ov")
+        merged = both.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min_by("ou", order).alias("ou"), F.min_by("ov", order).alias("ov"))
         nxt = scratch.save(merged, "edges")
         scratch.drop(current)
         current = nxt
@@ -115,7 +121,10 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> Forest:
 
 
 def records(matches: DataFrame) -> DataFrame:
-    """One row per pair_id: pair_id, id1, id2, category."""
+    """One row per pair_id: pair_id, id1, id2 and, where there is one, category."""
+    if "category" not in matches.columns:
+        order = F.xxhash64("id1", "id2")
+        return matches.where("pair_id is not null").groupBy("pair_id").agg(F.min_by("id1", order).alias("id1"), F.min_by("id2", order).alias("id2")).withColumn("category", F.lit(None).cast("string"))
     one = F.min(F.struct("id1", "id2", "category")).alias("r")
     return matches.where("pair_id is not null").groupBy("pair_id").agg(one).select("pair_id", "r.*")
 
@@ -165,58 +174,39 @@ def assign(matches: DataFrame, targets: DataFrame, scratch: Scratch, seed: int =
     rows = scratch.save(rows.withColumn("unit", unit).withColumn("cat", F.coalesce("category", F.lit(""))), "rows")
     per_cat = scratch.save(rows.groupBy("unit", "cat").agg(F.count(F.lit(1)).alias("n")), "per_cat")
     most = F.max(F.struct("n", "cat"))
-    size = scratch.save(per_cat.groupBy("unit").agg(F.sum("n").alias("size"), most.alias("m")).select("unit", "size", F.col("m.cat").alias("cat")), "units")
-    total = size.agg(F.sum("size")).first()[0] or 0
-    least = max(2.0, LARGE_SHARE * total)
-
-    # large bundles: fewer than 1 / LARGE_SHARE, each put where it overshoots its categories least
-    large = size.where(F.col("size") >= least)
-    big = {r["unit"]: {} for r in large.select("unit").collect()}
-    for r in per_cat.join(F.broadcast(large.select("unit")), "unit").collect() if big else []:
-        big[r["unit"]][r["cat"]] = r["n"]
-    want = {(s, r["cat"]): f * r["n"] for r in rows.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).collect() for s, f in shares}
-    room = {s: f * total for s, f in shares}
-    placed = []
-    for unit_, cats in sorted(big.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        n = sum(cats.values())
-        s = min(room, key=lambda s: (sum(max(0.0, k - want[s, c]) for c, k in cats.items()), -room[s], s))
-        placed.append((unit_, s))
-        room[s] -= n
-        for c, k in cats.items():
-            want[s, c] -= k
-
-    def deal(part: DataFrame, period) -> DataFrame:
-        """Systematic dealing: the middle of a bundle on a line of sizes, cut by
-        what each category still wants, over and over again."""
-        cuts = []
-        for c in sorted({c for _, c in want}):
-            left = [max(0.0, want[s, c]) for s, _ in shares]
-            left = left if sum(left) > 0 else [f for _, f in shares]
-            at = 0.0
-            for (s, _), x in zip(shares, left):
-                cuts.append((c, s, at / sum(left), (at + x) / sum(left)))
-                at += x
+    size = per_cat.groupBy("unit").agg(F.sum("n").alias("size"), most.alias("m")).select("unit", "size", F.col("m.cat").alias("cat"))
+    band = F.floor(F.log2("size")).cast("int").alias("band")
+    order = F.concat(F.hex(F.xxhash64("unit", F.lit(seed))), F.lit("-"), "unit").alias("o")
+    size = scratch.save(size.select("unit", "size", "cat", band, order), "units")
+
+    def deal(part: DataFrame, cuts: Column, name: str) -> DataFrame:
+        """Where the middle of each bundle lies on its stratum's line of sizes."""
         run = _prefix_sums(part, ["cat", "band"], "o", "size", scratch)
-        where = (F.col("before") + F.col("size") / 2.0) / period
-        cut = spark.createDataFrame(cuts, "cat string, split_name string, lo double, hi double")
-        per = cut.groupBy("cat").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "split_name"))).alias("cuts"))  # MAX_SPLITS per category
-        hit = F.filter("cuts", lambda x: (x["lo"] <= F.col("spot")) & (x["hi"] > x["lo"]))
-        spotted = run.withColumn("spot", where - F.floor(where)).join(per, "cat")
-        return scratch.save(spotted.select("unit", F.element_at(hit, -1)["split_name"].alias("split_name")), "dealt")
-
-    small = size.where(F.col("size") < least)
-    band = F.greatest(F.lit(1), F.floor(F.log2("size")).cast("int")).alias("band")
-    strata = small.select("unit", "size", "cat", band, F.concat(F.hex(F.xxhash64("unit", F.lit(seed))), F.lit("-"), "unit").alias("o"))
-    # bands from large to small: a band is one stretch per category, and makes up for what the larger ones left
-    parts = []
-    for (b,) in small.select(band).distinct().orderBy(F.col("band").desc()).collect():
-        part = deal(strata.where(F.col("band") == b), F.col("all").cast("double"))
-        for r in per_cat.join(part, "unit").groupBy("cat", "split_name").agg(F.sum("n").alias("n")).collect():
-            want[r["split_name"], r["cat"]] -= r["n"]
-        parts.append(part)
-    dealt = spark.createDataFrame(placed, "unit string, split_name string")
-    for part in parts:
-        dealt = dealt.unionByName(part)
+        spot = (F.col("before") + F.col("size") / 2.0) / F.col("all")
+        hit = F.filter(cuts, lambda x: (x["lo"] <= F.col("spot")) & (x["hi"] > x["lo"]))
+        return scratch.save(run.withColumn("spot", spot).select("unit", F.element_at(hit, -1)["split_name"].alias("split_name")), name)
+
+    at, fixed = 0.0, []
+    for s, f in shares:
+        fixed.append(F.struct(F.lit(at).alias("lo"), F.lit(at + f).alias("hi"), F.lit(s).alias("split_name")))
+        at += f
+    first = deal(size.where("band > 0"), F.array(*fixed), "larger")
+    # what each category still wants of each split
+    got = per_cat.join(first, "unit").groupBy("cat", "split_name").agg(F.sum("n").alias("got"))
+    goals = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("split_name"), F.lit(f).alias("share")) for i, (s, f) in enumerate(shares)])
+    want = rows.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).select("cat", "n", F.inline(goals)).join(got, ["cat", "split_name"], "left")
+    left = F.greatest(F.lit(0.0), F.col("n") * F.col("share") - F.coalesce("got", F.lit(0)))
+    lists = want.groupBy("cat").agg(F.array_sort(F.collect_list(F.struct("i", "split_name", "share", left.alias("left")))).alias("g"))  # MAX_SPLITS each
+    total = F.aggregate("g", F.lit(0.0), lambda acc, x: acc + x["left"])
+    sure = F.transform("g", lambda x: F.struct(x["split_name"].alias("split_name"), F.when(F.col("total") > 0, x["left"] / F.col("total")).otherwise(x["share"]).alias("part")))
+
+    def cut(x, i):
+        lo = F.aggregate(F.slice("sure", F.lit(1), i), F.lit(0.0), lambda acc, y: acc + y["part"])
+        return F.struct(lo.alias("lo"), (lo + x["part"]).alias("hi"), x["split_name"].alias("split_name"))
+
+    cuts = lists.withColumn("total", total).select("cat", sure.alias("sure")).select("cat", F.transform("sure", cut).alias("cuts"))
+    smallest = hot_split_join(size.where("band = 0"), scratch.save(cuts, "cuts"), "cat")
+    dealt = first.unionByName(deal(smallest, F.col("cuts"), "smallest"))
     return hot_split_join(rows, dealt, "unit", "inner").select("pair_id", "bundle_id", "category", "split_name")
 
 

@@ -44,20 +44,14 @@ def test_hot_vertex_is_split_and_right(spark, scratch, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     arcs = edges.select(F.explode(F.array("u", "v")).alias("src"))
     assert skew.hot_keys(arcs, "src", 0.1, 10) == [1]
-    got = {r["vertex"]: r["cluster"] for r in C.decompose(edges, 0, [1]).collect()}
-    assert got == {r["vertex"]: r["cluster"] for r in C.decompose(edges, 0, []).collect()}
+    got = {r["vertex"]: r["cluster"] for r in C.decompose(edges, 0, [1], scratch).collect()}
+    assert got == {r["vertex"]: r["cluster"] for r in C.decompose(edges, 0, [], scratch).collect()}
 
 
-def test_short_groups(spark, scratch):
-    links = [(1, 2), (2, 3), (5, 6), (8, 7), (7, 9)]
-    got = {r["id"]: r["group_id"] for r in C.short_groups(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
-    assert got == union_find(links)
-
-
-def test_clusters_have_low_diameter(spark):
+def test_clusters_have_low_diameter(spark, scratch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
     clusters: dict = {}
-    for r in C.decompose(edges, 0, []).collect():
+    for r in C.decompose(edges, 0, [], scratch).collect():
         clusters.setdefault(r["cluster"], []).append(r["vertex"])
     for c, vs in clusters.items():
         assert c in vs and max(vs) - min(vs) <= 2 * C.ROUNDS and sorted(vs) == list(range(min(vs), max(vs) + 1))
