@@ -162,7 +162,7 @@ def _family(*columns: str):
 
 
 def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (id, k1, k2) and representatives (k1, k2, rep, n, fields)."""
+    """Members (id, k1, k2) and representatives (k1, k2, rep, n, told, t, a text per order)."""
     named = learned_series(listings, scratch)
     own = listings.join(named, "id", "left").withColumns({"series": F.coalesce("series", "learned"), "pack": F.coalesce("pack", F.lit(1).cast("long"))}).select("id", *FIELDS)
     own = scratch.save(own, "named")
@@ -177,7 +177,9 @@ def signatures(listings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     kept = both.withColumns({"weight": F.when(F.col("weighs"), F.col("weight")), "type": F.coalesce("type", "only")}).select("id", *FIELDS)
     kept = scratch.save(kept.withColumns(keys()), "kept")
     reps = kept.groupBy(*FIELDS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumns(keys())
-    return kept.select("id", "k1", "k2"), scratch.save(reps, "reps")
+    # the texts of all orders are made once
+    reps = reps.withColumns({"told": told(), "t": tokens()} | {f"order{i}": o for i, o in enumerate(orders())})
+    return kept.select("id", "k1", "k2"), scratch.save(reps.drop(*FIELDS), "reps")
 
 
 def _amount(f: str):
@@ -202,6 +204,12 @@ def orders() -> list[object]:
     ]
 
 
+def told() -> object:
+    """Whether a wording says enough to be compared."""
+    says = sum((F.when(F.col(f).isNotNull(), F.lit(WEIGHTS.get(f, 1.0))).otherwise(F.lit(0.0)) for f in FIELDS), F.lit(0.0))
+    return F.col("series").isNotNull() & (says >= LEAST_SCORE)
+
+
 def agree(a: list[str], b: list[str]) -> float:
     """Soft alignment of two token lists (texts in the order of FIELDS, empty where
     nothing is said): a score, or less than 0 on any conflict."""
@@ -275,7 +283,7 @@ def neighbours(reps: DataFrame, key: object, scratch: Scratch) -> DataFrame:
     anew, so the edges are the same however the order is cut.
     """
     n = parallelism(reps.sparkSession)
-    ordered = reps.select("rep", "n", tokens().alias("t"), key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
+    ordered = reps.select("rep", "n", "t", key.alias("key")).repartitionByRange(n, "key").sortWithinPartitions("key").drop("key")
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
@@ -352,13 +360,11 @@ def groups(items: DataFrame, brands: DataFrame, units: DataFrame, scratch: Scrat
     of its centre, and ``total`` is the number of its listings; ``told`` is whether
     a wording says enough to be compared."""
     members, reps = signatures(scratch.save(read_listings(items, brands, units, scratch), "read"), scratch)
-    says = sum((F.when(F.col(f).isNotNull(), F.lit(WEIGHTS.get(f, 1.0))).otherwise(F.lit(0.0)) for f in FIELDS), F.lit(0.0))
-    told = F.col("series").isNotNull() & (says >= LEAST_SCORE)
-    known = reps.where(told)
-    found = [neighbours(known, k, scratch) for k in orders()]
+    known = reps.where("told")
+    found = [neighbours(known, F.col(f"order{i}"), scratch) for i in range(len(orders()))]
     edges = scratch.save(reduce(DataFrame.unionByName, found).groupBy("u", "v").agg(F.max("score").alias("score"), F.max("nu").alias("nu"), F.max("nv").alias("nv")), "edges")
     centre = pivots(edges, scratch)
-    named = reps.select("k1", "k2", "rep", "n", told.alias("told")).join(centre, "rep", "left").select("k1", "k2", "n", "told", F.coalesce("centre", "rep").alias("product"))
+    named = reps.select("k1", "k2", "rep", "n", "told").join(centre, "rep", "left").select("k1", "k2", "n", "told", F.coalesce("centre", "rep").alias("product"))
     named = scratch.save(named, "products")
     totals = named.where("told").groupBy("product").agg(F.sum("n").alias("total"))
     return members, scratch.save(named.join(totals, "product", "left").withColumn("total", F.coalesce("total", F.lit(1))), "totals")

@@ -243,7 +243,7 @@ def test_large_group_is_cut_into_blocks(spark, scratch, monkeypatch):
 def test_windows_are_the_same_however_the_order_is_cut(spark, scratch, monkeypatch, rows, window):
     monkeypatch.setattr(products, "WINDOW", window)
     shape = "rep long, n long, " + ", ".join(f"{f} {'long' if f in products.KINDS or f == 'pack' else 'string'}" for f in products.FIELDS)
-    reps = spark.createDataFrame([(i, 1, "gorka", "novelfi one", "drill", None, None, 1, None, None, None, None, 1000, None) for i in range(rows)], shape)
+    reps = spark.createDataFrame([(i, 1, "gorka", "novelfi one", "drill", None, None, 1, None, None, None, None, 1000, None) for i in range(rows)], shape).withColumn("t", products.tokens())
     want = {(i, j) for i in range(rows) for j in range(i + 1, min(rows, i + window + 1))}
     for parts in (1, 2, 4, 17):
         monkeypatch.setattr(products, "parallelism", lambda _, parts=parts: parts)
