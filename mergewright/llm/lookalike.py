@@ -5,7 +5,8 @@ characters and odd spaces are folded. Every run of letters that mixes alphabets
 gets candidates, its dominant alphabet first; the look-alike letters are
 substituted only if the result occurs in the corpus vocabulary, which is counted
 over all texts. Brands spelled wholly in look-alike letters are recognised by
-the table of brands.
+the table of brands. A repair is taken only into a word that is seen at least
+``LEAST_SEEN`` times in the corpus.
 
 Scale: one pass counts words and mixed runs, combined per task before the
 shuffle, and sets apart the fields that hold something suspicious; the
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars
+from ..functions.words import one_of
 from ..operators.skew import hot_split_join
 from ..session import Scratch
 
-MAX_BRANDS = 20_000
+#: The table of brands travels with the tasks; a lookup costs the same however many there are.
+MAX_BRANDS = 1_000_000
 #: Letters of a run from which a foreign letter counts.
 LONG_RUN = 4
 #: Occurrences that make a word part of the vocabulary.
@@ -72,7 +75,7 @@ def disguised_brands(brands: list[str]) -> dict[str, str]:
 def brand_pattern(disguised: dict[str, str]) -> str | None:
     if not disguised:
         return None
-    return "|".join(sorted(map(re.escape, disguised), key=len, reverse=True))
+    return one_of(disguised)
 
 
 def candidates(run: str) -> list[str]:
@@ -209,7 +212,9 @@ def repair_fields(items: DataFrame, brands: DataFrame, scratch: Scratch, fields:
     stamp = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
     current = items.where("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(stamp).alias("stamp"))
     doubtful = scanned.where("kind = 1").select("id", "stamp", "field", "text", "findings", "runs")
-    now = scratch.save(doubtful.join(current, ["id", "stamp"]).dropDuplicates(["id", "field"]).drop("stamp"), "doubtful")
+    # of rows that tie with different texts the one with the least text counts
+    first = F.min(F.struct("text", "findings", "runs")).alias("r")
+    now = scratch.save(doubtful.join(current, ["id", "stamp"]).groupBy("id", "field").agg(first).select("id", "field", "r.*"), "doubtful")
     wanted = now.select("id", "field", F.explode("runs").alias("run"))
     pairs = hot_split_join(wanted, fix, "run").groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("run", "repaired"))).alias("fix"))
 

@@ -10,8 +10,8 @@ budget is crossed is the only one refined, with the next bits of the hash, until
 nothing is left to refine. The thresholds of growing budgets are nested, and the
 documents are chosen by a filter, never by a sort.
 
-Scale: one pass per 12 bits over (source, hash, size); a pass sends at most
-sources x 4096 sums. Sources are bounded by the table of targets, checked by
+Scale: one pass per 12 bits over (source, hash, size); a pass sends one row per
+source to the driver. Sources are bounded by the table of targets, checked by
 ``MAX_SOURCES``.
 
 Defined results: documents of a source without a target (or a null source) are
@@ -25,7 +25,7 @@ tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -51,36 +51,32 @@ def _plan(totals: dict[str, int], targets: dict[str, tuple[float, int]], total:
 
 def thresholds(sized: DataFrame, rest: dict[str, float]) -> dict[str, int]:
     """Hash threshold per source below which the sizes add up to the rest, or
-    as near to it as whole documents allow."""
-    out: dict[str, int] = {}
+    as near to it as whole documents allow.
+
+    The running sums over a source's buckets are taken in Spark, at most 4096 to a
+    source; one row per source reaches the driver: the bucket that crosses.
+    """
+    out: dict[str, int] = {s: 0 for s, r in rest.items() if r <= 0}
     open_: dict[str, tuple[int, float]] = {s: (0, r) for s, r in rest.items() if r > 0}  # prefix so far, what is left
-    out |= {s: 0 for s, r in rest.items() if r <= 0}
+    spark = sized.sparkSession
+    along = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     for depth in range(BITS // STEP):
         if not open_:
             break
         low = BITS - STEP * (depth + 1)
-        spark = sized.sparkSession
         # the boundary buckets only: one prefix per source
-        edge = spark.createDataFrame([(s, p) for s, (p, _) in open_.items()], "source string, p long")
-        inside = sized.join(F.broadcast(edge), (sized["source"] == edge["source"]) & (F.shiftright("h", low + STEP) == edge["p"])).select(sized["source"], F.shiftright("h", low).alias("b"), "n_tokens")
-        sums: dict[str, list[tuple[int, int]]] = {}
-        for r in inside.groupBy("source", "b").agg(F.sum("n_tokens").alias("n")).collect():
-            sums.setdefault(r["source"], []).append((r["b"], r["n"]))
-        nxt = {}
-        for s, (p, left) in open_.items():
-            end = (p + 1) << STEP
-            for b, n in sorted(sums.get(s, [])):
-                if n > left:
-                    nxt[s] = (b, left)
-                    break
-                left -= n
-            else:
-                out[s] = end << low
-                continue
-            if depth == BITS // STEP - 1:  # one hash left: take it if that is nearer
-                b, left = nxt.pop(s)
-                out[s] = b + (dict(sums[s])[b] - left < left)
-        open_ = nxt
+        edge = F.broadcast(spark.createDataFrame([(s, p, x) for s, (p, x) in open_.items()], "source string, p long, rest double"))
+        inside = sized.join(edge, "source").where(F.shiftright("h", low + STEP) == F.col("p")).select("source", "rest", F.shiftright("h", low).alias("b"), "n_tokens")
+        sums = inside.groupBy("source", "rest", "b").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+        crossing = sums.where(F.col("before") + F.col("n") > F.col("rest")).groupBy("source").agg(F.min(F.struct("b", "before", "n")).alias("c")).collect()
+        nxt = {r["source"]: (r["c"]["b"], open_[r["source"]][1] - r["c"]["before"], r["c"]["n"]) for r in crossing}
+        for s, (p, _) in open_.items():
+            if s not in nxt:
+                out[s] = ((p + 1) << STEP) << low
+            elif depth == BITS // STEP - 1:  # one hash left: take it if that is nearer
+                b, left, n = nxt[s]
+                out[s] = b + (n - left < left)
+        open_ = {s: (b, left) for s, (b, left, _) in nxt.items()}
     return out
 
 
@@ -103,7 +99,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     chosen = picked.where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"))
     all_tokens = sum(share for share, _ in goal.values()) or 1.0
-    report = F.broadcast(named).join(used, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_repeats"])
+    report = named.join(used, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_repeats"])
     grand = used.agg(F.sum("n_tokens").alias("grand"))
     report = report.crossJoin(F.broadcast(grand)).select(  # one row: the grand total
         "source", (F.col("share") / F.lit(all_tokens)).alias("target_share"), F.when(F.col("grand") > 0, F.col("n_tokens") / F.col("grand")).otherwise(F.lit(0.0)).alias("actual_share"), "n_docs", "n_tokens", "most_repeats",
