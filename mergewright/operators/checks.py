@@ -5,8 +5,10 @@ Every check returns the rows that fail: (what, detail). An empty result passes.
 
 from __future__ import annotations
 
+import ast
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,26 @@ def leaked_secrets(files: DataFrame) -> DataFrame:
 
 def unbalanced_fences(files: DataFrame) -> DataFrame:
     """V4: Markdown texts (value, path) with an odd number of fences."""
-    n = F.size(F.regexp_extract_all("value", F.lit("(?m)^```"), F.lit(0)))
+    n = F.size(F.regexp_extract_all("value", F.lit("```"), F.lit(0)))
     return _failures(files.where(n % 2 == 1), "fence", F.col("path"))
 
 
+def python_errors(files: DataFrame) -> DataFrame:
+    """V4: Python texts (value, path) that don't parse."""
+
+    def run(batches):
+        for b in batches:
+            bad = []
+            for path, value in zip(b["path"], b["value"]):
+                try:
+                    ast.parse(value or "")
+                except (SyntaxError, ValueError) as e:
+                    bad.append(("python", f"{path}: {type(e).__name__}"))
+            yield pd.DataFrame(bad, columns=["what", "detail"])
+
+    return files.select("path", "value").mapInPandas(run, "what string, detail string")
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """Name, length and SHA-256 of files with content."""
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", sha256(F.col("content")).alias("sha256"))

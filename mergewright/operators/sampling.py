@@ -44,14 +44,27 @@ def dense_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(coded, column, "left")
 
 
-def top_k(df: DataFrame, by: list[str], k: int | Column, *order: Column) -> DataFrame:
+#: The optimizer limits groups before the shuffle up to this many rows a group only.
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def top_k(df: DataFrame, by: list[str], k: int | Column, *order: Column, most: int | None = None) -> DataFrame:
     """At most k rows per group in a total order.
 
     A bound on ``row_number`` becomes a group limit before the shuffle, so a
-    group with most of the rows sends k rows per task.
+    group with most of the rows sends k rows per task; the session's threshold is
+    raised to the bound where it is lower. Where k depends on the row, ``most`` is
+    the greatest k and limits the groups first.
     """
+    limit = k if isinstance(k, int) else most
+    conf = df.sparkSession.conf
+    if limit and 0 < int(conf.get(_GROUP_LIMIT, "1000")) < limit:
+        conf.set(_GROUP_LIMIT, str(limit))
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    ranked = df.withColumn("_n", F.row_number().over(w))
+    if limit:
+        ranked = ranked.where(F.col("_n") <= limit)
+    return (ranked if isinstance(k, int) else ranked.where(F.col("_n") <= k)).drop("_n")
 
 
 def keyed_order(seed: int | str, *key: str) -> list[Column]:
@@ -59,9 +72,9 @@ def keyed_order(seed: int | str, *key: str) -> list[Column]:
     return [keyed_hash(str(seed), *[F.col(k) for k in key]), *[F.col(k) for k in key]]
 
 
-def sample_per_group(df: DataFrame, by: list[str], cap: int | Column, seed: int | str, *key: str) -> DataFrame:
+def sample_per_group(df: DataFrame, by: list[str], cap: int | Column, seed: int | str, *key: str, most: int | None = None) -> DataFrame:
     """At most ``cap`` rows per group without replacement."""
-    return top_k(df, by, cap, *keyed_order(seed, *key))
+    return top_k(df, by, cap, *keyed_order(seed, *key), most=most)
 
 
 def hard_and_anchor(df: DataFrame, by: list[str], error: str, hard: int, anchor: int, seed: int, pair: list[str], *key: str) -> DataFrame:

@@ -27,4 +27,4 @@ def moving_average(steps: DataFrame, decay: float) -> DataFrame:
     (param, step, value), started at the first step's value."""
     folded = F.array_sort(F.collect_list(F.struct("step", "value")))  # one short history per parameter
     start = F.col("h")[0]["value"]
-    return steps.groupBy("param").agg(folded.alias("h")).select("param", F.aggregate(F.slice("h", 2, 1_000_000), start, lambda acc, x: acc * F.lit(decay) + x["value"] * F.lit(1.0 - decay)).alias("ema"))
+    return steps.groupBy("param").agg(folded.alias("h")).select("param", F.aggregate(F.slice("h", F.lit(2), F.size("h")), start, lambda acc, x: acc * F.lit(decay) + x["value"] * F.lit(1.0 - decay)).alias("ema"))

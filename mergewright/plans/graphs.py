@@ -113,15 +113,9 @@ def _summed(f: DataFrame) -> DataFrame:
     return f.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in ("label_weight", "teacher_prob", "distill_weight", "gray_distill_weight")])
 
 
-@query("train_frame", _frame_sql(200, 100, 40))
+@query("train_frame", _frame_sql(POOL, HARD, ANCHOR))
 def train_frame(spark: SparkSession, d: str) -> DataFrame:
-    """The frame, summed up per source and category."""
-    return _summed(training_frame(spark, d, 200, 100, 40))
-
-
-@query("train_frame_whole", _frame_sql(POOL, HARD, ANCHOR))
-def train_frame_whole(spark: SparkSession, d: str) -> DataFrame:
-    """R1 to R4, U4 at the reference's limits."""
+    """R1 to R4, U4 at the limits of the recipe."""
     return _summed(training_frame(spark, d))
 
 
@@ -146,14 +140,8 @@ def _stages(spark: SparkSession, d: str, fast: int) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("stage_frames", _stage_sql(20))
+@query("stage_frames", _stage_sql(FAST_VAL))
 def stage_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Training, hold-out and a capped validation frame from components."""
-    return _stages(spark, d, 20)
-
-
-@query("stage_frames_whole", _stage_sql(FAST_VAL))
-def stage_frames_whole(spark: SparkSession, d: str) -> DataFrame:
     """R5 with the reference's limit of the validation frame."""
     return _stages(spark, d, FAST_VAL)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import soft_distillation, symmetric
 from ..functions import scores
 from ..operators import metrics as M
-from .fixtures import PROBLEM, PROBLEM_SQL, scored, scored_sql
+from ..operators import sampling as P
+from .fixtures import PROBLEM, PROBLEM_SQL, hash_sql, scored, scored_sql
 from .registry import query
 
 S = scored_sql()
@@ -210,15 +211,28 @@ def rank_loss(df: DataFrame, by: list[str], score: str, label: str, margin: floa
     return pos.join(neg, by).groupBy(*by).agg(loss.alias("rank_loss"), F.sum(w).alias("n_pairs"))
 
 
+#: Rows of a batch within which positive and negative rows of a category meet.
+BATCH = 128
+
+
+def batched_rank_loss(df: DataFrame, category: str, score: str, label: str, seed: int = 6) -> DataFrame:
+    """The loss over the pairs within a batch and category, per category.
+    Batches are dealt from a keyed order, so a group holds at most ``BATCH`` rows."""
+    dealt = P.batches(df, P.keyed_order(seed, "pair_id"), BATCH, drop_last=False)
+    per = rank_loss(dealt, ["batch", category], score, label)
+    total = F.sum("n_pairs")
+    return per.groupBy(category).agg((F.sum(F.col("rank_loss") * F.col("n_pairs")) / total).alias("rank_loss"), total.alias("n_pairs"))
+
+
 @query(
     "losses_rank",
-    f"""with x as ({S}), t as (select category, p, y, count(*) as c from x group by 1, 2, 3),
-    j as (select a.category, a.c * b.c as w, (0.1 - (a.p - b.p)) / 0.2 as z from t a join t b on a.category = b.category and a.y = 1 and b.y = 0)
-    select category, round(sum((greatest(z, 0) + ln(1 + exp(-abs(z)))) * 0.2 * w) / sum(w), 5) as rank_loss, sum(w)::bigint as n_pairs from j group by category""",
+    f"""with x as (select *, (row_number() over (order by {hash_sql(repr('6'), 'pair_id')}, pair_id) - 1) // {BATCH} as batch from ({S})),
+    j as (select a.category, (0.1 - (a.p - b.p)) / 0.2 as z from x a join x b on a.batch = b.batch and a.category = b.category and a.y = 1 and b.y = 0)
+    select category, round(sum((greatest(z, 0) + ln(1 + exp(-abs(z)))) * 0.2) / count(*), 5) as rank_loss, count(*) as n_pairs from j group by category""",
 )
 def losses_rank(spark: SparkSession, d: str) -> DataFrame:
     """J10, X19."""
-    return rank_loss(scored(spark, d), ["category"], "p", "y").select("category", F.round("rank_loss", 5).alias("rank_loss"), "n_pairs")
+    return batched_rank_loss(scored(spark, d), "category", "p", "y").select("category", F.round("rank_loss", 5).alias("rank_loss"), F.col("n_pairs").cast("long").alias("n_pairs"))
 
 
 @query(
@@ -226,7 +240,7 @@ def losses_rank(spark: SparkSession, d: str) -> DataFrame:
 )
 def combined_loss(spark: SparkSession, d: str) -> DataFrame:
     """M5: the five terms and their weighted sum over batches of stored scores."""
-    x = scored(spark, d).select("category", "y", "target", "p", "q", scores.logit(F.col("p")).alias("xl"), scores.logit(F.col("q")).alias("xr"))
+    x = scored(spark, d).select("pair_id", "category", "y", "target", "p", "q", scores.logit(F.col("p")).alias("xl"), scores.logit(F.col("q")).alias("xr"))
     lw = F.lit(3.5) + F.lit(2.0) * F.abs(F.col("q") - F.col("target"))
     flat = x.agg(
         M.weighted_mean(scores.bce_with_logits(F.col("xl"), F.col("y")), lw).alias("sup"),
@@ -234,7 +248,7 @@ def combined_loss(spark: SparkSession, d: str) -> DataFrame:
         M.weighted_mean(soft_distillation(F.col("xl"), F.col("q"), 1.5), F.when(F.col("target").between(0.2001, 0.7999), 1.0).otherwise(0.0)).alias("grey_distill"),
         F.avg(F.pow(F.col("xl") - F.col("xr"), 2)).alias("symmetry"),
     )
-    rank = rank_loss(x, ["category"], "xl", "y").agg(F.coalesce(F.avg("rank_loss"), F.lit(0.0)).alias("rank"))
+    rank = batched_rank_loss(x, "category", "xl", "y").agg(F.coalesce(F.avg("rank_loss"), F.lit(0.0)).alias("rank"))
     both = flat.crossJoin(F.broadcast(rank))  # one row each
     total = F.col("sup") * 0.45 + F.col("distill") * 0.18 + F.col("grey_distill") * 0.40 + F.col("rank") * 0.20 + F.col("symmetry") * 0.10
     return both.select(*[F.round(c, 4).alias(c) for c in ("sup", "distill", "grey_distill", "rank", "symmetry")], F.round(total, 4).alias("total"))

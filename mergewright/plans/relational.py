@@ -31,26 +31,19 @@ def human(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("id").agg(F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("attributes", F.lit("")).alias("attributes"), "category")).alias("r")).select("id", "r.*")
 
 
-def whole_texts(spark: SparkSession, d: str) -> DataFrame:
+def texts_of(spark: SparkSession, d: str) -> DataFrame:
     """Names of all current items as texts; a null name is an empty one."""
     return current(spark, d).select("id", F.coalesce("name", F.lit("")).alias("text"))
 
 
-def thinned_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Names as texts, without some items and with some empty ones."""
-    t = current(spark, d).where(F.col("id") % 50 != 0)
-    return t.select("id", F.when(F.col("id") % 51 == 0, "").otherwise(F.coalesce("name", F.lit(""))).alias("text"))
-
-
-TEXTS_SQL = f"(select id, case when id % 51 = 0 then '' else coalesce(name, '') end as text from {CURRENT_SQL} where id % 50 <> 0)"
-WHOLE_TEXTS_SQL = f"(select id, coalesce(name, '') as text from {CURRENT_SQL})"
+TEXTS_SQL = f"(select id, coalesce(name, '') as text from {CURRENT_SQL})"
 
 
 def joined_sql(texts: str) -> str:
     return f"select p.*, coalesce(a.text, '') as text1, coalesce(b.text, '') as text2, a.id is not null as has1, b.id is not null as has2 from ({X}) p left join {texts} a on p.id1 = a.id left join {texts} b on p.id2 = b.id"
 
 
-JOINED_SQL, WHOLE_JOINED_SQL = joined_sql(TEXTS_SQL), joined_sql(WHOLE_TEXTS_SQL)
+JOINED_SQL = joined_sql(TEXTS_SQL)
 
 
 @query("band_confident", f"select pair_id, target, (target >= 0.5)::int as y from ({X}) where target <= 0.2 or target >= 0.8")
@@ -112,38 +105,20 @@ def dict_encode(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pair_text_preserve", f"select pair_id, text1, text2 from ({JOINED_SQL})")
 def pair_text_preserve(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair stays."""
-    return J.pair_texts(pairs(spark, d), thinned_texts(spark, d), "preserve").select("pair_id", "text1", "text2")
-
-
-@query("pair_text_preserve_whole", f"select pair_id, text1, text2 from ({WHOLE_JOINED_SQL})")
-def pair_text_preserve_whole(spark: SparkSession, d: str) -> DataFrame:
     """J1 with the whole catalogue."""
-    return J.pair_texts(pairs(spark, d), whole_texts(spark, d), "preserve").select("pair_id", "text1", "text2")
+    return J.pair_texts(pairs(spark, d), texts_of(spark, d), "preserve").select("pair_id", "text1", "text2")
 
 
 @query("pair_text_drop", f"select pair_id, text1, text2 from ({JOINED_SQL}) where text1 <> '' and text2 <> ''")
 def pair_text_drop(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with a missing or empty text are dropped."""
-    return J.pair_texts(pairs(spark, d), thinned_texts(spark, d), "drop").select("pair_id", "text1", "text2")
-
-
-@query("pair_text_drop_whole", f"select pair_id, text1, text2 from ({WHOLE_JOINED_SQL}) where text1 <> '' and text2 <> ''")
-def pair_text_drop_whole(spark: SparkSession, d: str) -> DataFrame:
     """J1 with the whole catalogue."""
-    return J.pair_texts(pairs(spark, d), whole_texts(spark, d), "drop").select("pair_id", "text1", "text2")
+    return J.pair_texts(pairs(spark, d), texts_of(spark, d), "drop").select("pair_id", "text1", "text2")
 
 
 @query("missing_counts", f"select count(*) as n_pairs, sum((not has1)::int + (not has2)::int)::bigint as missing_items, sum((has1 and text1 = '')::int + (has2 and text2 = '')::int)::bigint as empty_texts from ({JOINED_SQL})")
 def missing_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A12."""
-    return J.missing_counts(J.pair_texts(pairs(spark, d), thinned_texts(spark, d)))
-
-
-@query("missing_counts_whole", f"select count(*) as n_pairs, sum((not has1)::int + (not has2)::int)::bigint as missing_items, sum((has1 and text1 = '')::int + (has2 and text2 = '')::int)::bigint as empty_texts from ({WHOLE_JOINED_SQL})")
-def missing_counts_whole(spark: SparkSession, d: str) -> DataFrame:
     """A12 with the whole catalogue."""
-    return J.missing_counts(J.pair_texts(pairs(spark, d), whole_texts(spark, d)))
+    return J.missing_counts(J.pair_texts(pairs(spark, d), texts_of(spark, d)))
 
 
 @query("category_default", f"select p.pair_id, coalesce(c.category, 'unknown') as category from ({X}) p left join (select id, {CATEGORY_SQL} as category from {CURRENT_SQL}) c on p.id1 = c.id")
@@ -245,57 +220,31 @@ def _per_group_sql(cap: str, seed: str, where: str = "true") -> str:
     return f"select pair_id, category from (select *, row_number() over (partition by category order by {hash_sql(repr(seed), 'pair_id')}, pair_id) as n from ({S}) where {where}) where n <= {cap}"
 
 
-@query("pool_per_category", _per_group_sql("120", "1"))
+@query("pool_per_category", _per_group_sql(str(POOL), "1"))
 def pool_per_category(spark: SparkSession, d: str) -> DataFrame:
-    """P1."""
-    return P.sample_per_group(scored(spark, d), ["category"], 120, 1, "pair_id").select("pair_id", "category")
-
-
-@query("pool_per_category_whole", _per_group_sql(str(POOL), "1"))
-def pool_per_category_whole(spark: SparkSession, d: str) -> DataFrame:
-    """P1 at the reference's limit."""
+    """P1 at the limit of the recipe."""
     return P.sample_per_group(scored(spark, d), ["category"], POOL, 1, "pair_id").select("pair_id", "category")
 
 
-@query("grey_caps", _per_group_sql(f"case when category in ({PROBLEM_SQL}) then 40 else 10 end", "2", "target > 0.2 and target < 0.8"))
+@query("grey_caps", _per_group_sql(f"case when category in ({PROBLEM_SQL}) then {GREY_PROBLEM} else {GREY_OTHER} end", "2", "target > 0.2 and target < 0.8"))
 def grey_caps(spark: SparkSession, d: str) -> DataFrame:
-    """Caps by category."""
-    cap = F.when(F.col("category").isin(*PROBLEM), 40).otherwise(10)
-    return P.sample_per_group(scored(spark, d).where(P.grey(F.col("target"))), ["category"], cap, 2, "pair_id").select("pair_id", "category")
-
-
-@query("grey_caps_whole", _per_group_sql(f"case when category in ({PROBLEM_SQL}) then {GREY_PROBLEM} else {GREY_OTHER} end", "2", "target > 0.2 and target < 0.8"))
-def grey_caps_whole(spark: SparkSession, d: str) -> DataFrame:
-    """P2 at the reference's limits."""
+    """P2 at the limits of the recipe."""
     cap = F.when(F.col("category").isin(*PROBLEM), GREY_PROBLEM).otherwise(GREY_OTHER)
-    return P.sample_per_group(scored(spark, d).where(P.grey(F.col("target"))), ["category"], cap, 2, "pair_id").select("pair_id", "category")
+    return P.sample_per_group(scored(spark, d).where(P.grey(F.col("target"))), ["category"], cap, 2, "pair_id", most=max(GREY_PROBLEM, GREY_OTHER)).select("pair_id", "category")
 
 
-@query("fast_val_head", _per_group_sql("30", "3", "split_name = 'eval'"))
+@query("fast_val_head", _per_group_sql(str(FAST_VAL), "3", "split_name = 'eval'"))
 def fast_val_head(spark: SparkSession, d: str) -> DataFrame:
-    """Head of a keyed shuffle per category."""
-    return P.sample_per_group(scored(spark, d).where("split_name = 'eval'"), ["category"], 30, 3, "pair_id").select("pair_id", "category")
-
-
-@query("fast_val_head_whole", _per_group_sql(str(FAST_VAL), "3", "split_name = 'eval'"))
-def fast_val_head_whole(spark: SparkSession, d: str) -> DataFrame:
-    """W3, P5 at the reference's limit."""
+    """W3, P5 at the limit of the recipe."""
     return P.sample_per_group(scored(spark, d).where("split_name = 'eval'"), ["category"], FAST_VAL, 3, "pair_id").select("pair_id", "category")
 
 
 HARD_SQL = f"(select *, row_number() over (partition by category order by abs(p - target) desc, pair_id) as n from ({S}))"
 
 
-@query("hard_topk", f"select pair_id, category, round(abs(p - target), 6) as err from {HARD_SQL} where n <= 80")
+@query("hard_topk", f"select pair_id, category, round(abs(p - target), 6) as err from {HARD_SQL} where n <= {HARD}")
 def hard_topk(spark: SparkSession, d: str) -> DataFrame:
-    """K1."""
-    x = scored(spark, d).withColumn("err", F.abs(F.col("p") - F.col("target")))
-    return P.top_k(x, ["category"], 80, F.col("err").desc(), F.col("pair_id")).select("pair_id", "category", F.round("err", 6).alias("err"))
-
-
-@query("hard_topk_whole", f"select pair_id, category, round(abs(p - target), 6) as err from {HARD_SQL} where n <= {HARD}")
-def hard_topk_whole(spark: SparkSession, d: str) -> DataFrame:
-    """K1 at the reference's limit."""
+    """K1 at the limit of the recipe."""
     x = scored(spark, d).withColumn("err", F.abs(F.col("p") - F.col("target")))
     return P.top_k(x, ["category"], HARD, F.col("err").desc(), F.col("pair_id")).select("pair_id", "category", F.round("err", 6).alias("err"))
 
@@ -311,15 +260,9 @@ def _hard_plus_anchor(spark: SparkSession, d: str, hard: int, anchor: int) -> Da
     return P.hard_and_anchor(x, ["category"], "err", hard, anchor, 4, ["id1", "id2"], "pair_id").select("pair_id", "source")
 
 
-@query("hard_plus_anchor", _hard_plus_anchor_sql(80, 30))
+@query("hard_plus_anchor", _hard_plus_anchor_sql(HARD, ANCHOR))
 def hard_plus_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """K1, J7, P3, P4."""
-    return _hard_plus_anchor(spark, d, 80, 30)
-
-
-@query("hard_plus_anchor_whole", _hard_plus_anchor_sql(HARD, ANCHOR))
-def hard_plus_anchor_whole(spark: SparkSession, d: str) -> DataFrame:
-    """K1, J7, P3, P4 at the reference's limits."""
+    """K1, J7, P3, P4 at the limits of the recipe."""
     return _hard_plus_anchor(spark, d, HARD, ANCHOR)
 
 
@@ -347,14 +290,8 @@ def _by_length(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
 
 @query("length_sorted", f"select pair_id, length(text1) + length(text2) as len from ({JOINED_SQL})")
 def length_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs in length buckets; the pair's key restores the order."""
-    return _by_length(spark, d, thinned_texts(spark, d))
-
-
-@query("length_sorted_whole", f"select pair_id, length(text1) + length(text2) as len from ({WHOLE_JOINED_SQL})")
-def length_sorted_whole(spark: SparkSession, d: str) -> DataFrame:
     """K2, X14 with the whole catalogue."""
-    return _by_length(spark, d, whole_texts(spark, d))
+    return _by_length(spark, d, texts_of(spark, d))
 
 
 @query("log_tail", "select event_id, event_type from (select * from events where event_type = 'click' order by ts desc, event_id desc limit 20)")
@@ -377,7 +314,7 @@ def row_range(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count(F.lit(1)).alias("n"))
 
 
-@query("observed_counts")
+@query("observed_counts", f"select count(*) as n_rows, count(*) filter (target >= 0.5) as n_pos from ({X})")
 def observed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counters that come with another action."""
     df, seen = observed(pairs(spark, d), n_rows=F.count(F.lit(1)), n_pos=F.count(F.when(F.col("target") >= 0.5, 1)))
@@ -391,3 +328,12 @@ def top_per_window(spark: SparkSession, d: str) -> DataFrame:
     """K1 by score, with the window's order explicit."""
     w = Window.partitionBy("category").orderBy(F.col("p").desc(), "pair_id")
     return scored(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3").select("category", "pair_id")
+
+
+@query("positional_join", f"select pair_id, p from ({S})")
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and their scores, which come without ids in the same order."""
+    x = scored(spark, d)
+    rows = P.numbered(x.select("pair_id"), [F.col("pair_id")])
+    scores = P.numbered(x.select("pair_id", "p"), [F.col("pair_id")]).select("position", "p")
+    return rows.join(scores, "position").select("pair_id", "p")

@@ -16,7 +16,7 @@ from ..sources.tables import current_rows, table
 from ..streaming import pairs as streams
 from .fixtures import pairs, pairs_sql
 from .registry import query
-from .relational import CURRENT_SQL, JOINED_SQL, WHOLE_JOINED_SQL, thinned_texts, whole_texts
+from .relational import CURRENT_SQL, JOINED_SQL, texts_of
 
 #: White space by its Unicode property, and the separators Python adds, for RE2.
 WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -131,20 +131,14 @@ def _symmetric(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
 
 @query("symmetric_score", _symmetric_sql(JOINED_SQL))
 def symmetric_score(spark: SparkSession, d: str) -> DataFrame:
-    """M1, M2, X21 natively: the token scorer in both directions."""
-    return _symmetric(spark, d, thinned_texts(spark, d))
-
-
-@query("symmetric_score_whole", _symmetric_sql(WHOLE_JOINED_SQL))
-def symmetric_score_whole(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2, X21 natively with the whole catalogue."""
-    return _symmetric(spark, d, whole_texts(spark, d))
+    return _symmetric(spark, d, texts_of(spark, d))
 
 
 @query("plugged_scorer")
 def plugged_scorer(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2, K2: a scorer made once per task, in length buckets."""
-    j = J.pair_texts(pairs(spark, d).select("pair_id", "id1", "id2"), whole_texts(spark, d)).drop("has1", "has2")
+    j = J.pair_texts(pairs(spark, d).select("pair_id", "id1", "id2"), texts_of(spark, d)).drop("has1", "has2")
     return M.score_pairs(j, M.TokenJaccard, both_ways=True, buckets=8).select("pair_id", F.round("predict", 6).alias("predict"))
 
 
@@ -159,9 +153,9 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pair_id", F.round(M.cosine(F.col("ea"), F.col("eb")), 5).alias("predict"))
 
 
-@query("masking", "select event_id, replace(event_type, 'click', '***') as event_type, regexp_replace(props, '[0-9]+', '***', 'g') as props from events")
+@query("masking", "select event_id, replace(event_type, 'click', '***') as event_type, props from events")
 def masking(spark: SparkSession, d: str) -> DataFrame:
-    """X25, X26."""
+    """Numbers of a JSON text are no strings, so the structure stays."""
     e = table(spark, d, "events", "event_id", "event_type", "props")
     return e.select("event_id", masked(F.col("event_type"), ["click"]).alias("event_type"), masked_json(F.col("props"), "[0-9]+").alias("props"))
 
@@ -185,17 +179,8 @@ def sinks_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("pair_id long, target double").json(js).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("target"), 4).alias("total"))
 
 
-@query("partial_cache", f"select source, count(*) as n from ({pairs_sql()}) where source in ('human', 'recheck') group by source")
+@query("partial_cache", f"select source, count(*) as n from ({pairs_sql()}) group by source")
 def partial_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Only the missing part is computed."""
-    where, x = Scratch(spark, "cache").path("parts"), pairs(spark, d)
-    io.cached_parts(spark, where, "source", {"human": lambda: x.where("source = 'human'").drop("source")})
-    parts = {s: (lambda s=s: x.where(F.col("source") == s).drop("source")) for s in ("human", "recheck")}
-    return io.cached_parts(spark, where, "source", parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("partial_cache_whole", f"select source, count(*) as n from ({pairs_sql()}) group by source")
-def partial_cache_whole(spark: SparkSession, d: str) -> DataFrame:
     """S13 over every source of the table."""
     where, x = Scratch(spark, "cache").path("parts"), pairs(spark, d)
     io.cached_parts(spark, where, "source", {"human": lambda: x.where("source = 'human'").drop("source")})
@@ -251,14 +236,8 @@ def _streamed(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
 
 @query("stream_pairs", _stream_sql(JOINED_SQL))
 def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """S3, J1 as a stream: pairs arrive as files and meet the catalogue."""
-    return _streamed(spark, d, thinned_texts(spark, d))
-
-
-@query("stream_pairs_whole", _stream_sql(WHOLE_JOINED_SQL))
-def stream_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
     """S3, J1 as a stream with the whole catalogue."""
-    return _streamed(spark, d, whole_texts(spark, d))
+    return _streamed(spark, d, texts_of(spark, d))
 
 
 @query("event_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
@@ -271,3 +250,32 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def ordered_listing(spark: SparkSession, d: str) -> DataFrame:
     """K4: the folder's tables in order, then two extra names."""
     return io.ordered_listing(spark, d, "*.parquet", ("last", "last_ema"))
+
+
+@query("prediction_contract", "select 'contract' as what, concat_ws(',', id1::varchar, id2::varchar, round(target::double, 4)::varchar) as detail from matches where id1 is null or id2 is null or target is null or not target between 0.0 and 1.0")
+def prediction_contract(spark: SparkSession, d: str) -> DataFrame:
+    """V6: records whose ids or score break the contract of predictions."""
+    m = table(spark, d, "matches", "id1", "id2", "target")
+    return V.data_contract(m.select("id1", "id2", F.round(F.col("target").cast("double"), 4).alias("predict")))
+
+
+@query("text_hygiene", "select 'fence' as what, doc_id::varchar as detail from documents where ((length(text) - length(replace(text, '```', ''))) // 3) % 2 = 1 union all select 'secret', 'AWS access key: ' || doc_id::varchar from documents where regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b')")
+def text_hygiene(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an odd number of fences or a credential's shape."""
+    docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
+    return V.unbalanced_fences(docs).unionByName(V.leaked_secrets(docs))
+
+
+@query("required_files", "select 'required' as what, 'labels.csv' as detail")
+def required_files(spark: SparkSession, d: str) -> DataFrame:
+    """V1: of the files that should be there, those that are missing or empty."""
+    return V.required(io.listing(spark, d, "*.parquet"), ["items.parquet", "matches.parquet", "labels.csv"])
+
+
+@query("manifest_changes", "select 'manifest' as what, 'changed.parquet' as detail union all select 'manifest', 'items.parquet'")
+def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
+    """V5: files that differ from a manifest or are missing."""
+    files = io.listing(spark, d, "*.parquet")
+    m = V.manifest(files)
+    expected = m.withColumn("length", F.when(F.col("name") == "items.parquet", F.col("length") + 1).otherwise(F.col("length")))
+    return V.manifest_mismatch(files, expected.unionByName(spark.createDataFrame([("changed.parquet", 1, "x")], "name string, length long, sha256 string")))

@@ -240,3 +240,26 @@ def test_salted_join_is_a_join(spark):
     got = salted_join(left, right, "k", rows=100).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert salted_join(left.limit(0), right, "k").count() == 0
+
+
+def test_masked_json_stays_json(spark):
+    import json
+
+    from mergewright.functions.mask import masked_json
+
+    inner = json.dumps({"path": "/home/a", "n": 69})
+    rows = [(1, '{"home": 69, "a": ["/home/b", {"c": "x /home/d"}], "t": null}'), (2, json.dumps({"k": inner})), (3, "see /home/a"), (4, None), (5, '{"cut": "/home'), (6, "")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "id int, t string").select("id", masked_json(F.col("t"), "/home/[a-z]+")).collect()}
+    assert json.loads(got[1]) == {"home": 69, "a": ["***", {"c": "x ***"}], "t": None}
+    assert json.loads(json.loads(got[2])["k"]) == {"path": "***", "n": 69}
+    assert got[3] == "see ***" and got[4] is None and got[5] == '{"cut": "/home' and got[6] == ""
+
+
+def test_credentials_and_python(spark):
+    t = [("a", "x AKIA" + "A" * 16), ("b", "github_pat_" + "a1_" * 8), ("c", "hf_" + "b" * 20), ("d", "sk-" + "c" * 24), ("e", "sk-short"), ("f", None)]
+    files = spark.createDataFrame(t, "path string, value string")
+    assert sorted(r["detail"][-1] for r in V.leaked_secrets(files).collect()) == ["a", "b", "c", "d"]
+    code = spark.createDataFrame([("ok.py", "def f():\n    return 1\n"), ("bad.py", "def f(:\n"), ("none.py", None)], "path string, value string")
+    assert [r["detail"].split(":")[0] for r in V.python_errors(code).collect()] == ["bad.py"]
+    fences = spark.createDataFrame([("a", "x ``` y"), ("b", "```\ncode\n```")], "path string, value string")
+    assert [r["detail"] for r in V.unbalanced_fences(fences).collect()] == ["a"]

@@ -10,19 +10,19 @@ from .conftest import SF
 
 
 def test_scorer_reads_every_item(spark):
-    """Ids that thinned_texts leaves out or blanks have their texts."""
+    """The two forms of the scorer agree over all items."""
     got = core.QUERIES["plugged_scorer"](spark, SF)
-    want = core.QUERIES["symmetric_score_whole"](spark, SF)
+    want = core.QUERIES["symmetric_score"](spark, SF)
     both = got.join(want.withColumnRenamed("predict", "whole"), "pair_id")
     assert both.count() == got.count() > 0
     assert both.where("abs(predict - whole) > 1e-6").isEmpty()
 
 
 def test_whole_texts_have_all_current_items(spark):
-    whole = relational.whole_texts(spark, SF)
-    assert whole.count() == relational.current(spark, SF).count() > relational.thinned_texts(spark, SF).count()
+    whole = relational.texts_of(spark, SF)
+    assert whole.count() == relational.current(spark, SF).count()
     touched = pairs(spark, SF).where("id1 % 50 = 0 or id1 % 51 = 0").join(relational.current(spark, SF).where("name <> ''").select(F.col("id").alias("id1")), "id1", "left_semi")
-    texts = core.QUERIES["pair_text_preserve_whole"](spark, SF)
+    texts = core.QUERIES["pair_text_preserve"](spark, SF)
     assert not touched.isEmpty() and touched.join(texts.where("text1 = ''"), "pair_id", "left_semi").isEmpty()
 
 
@@ -36,7 +36,7 @@ def test_training_frame_keeps_the_reference_limits(spark):
 
 
 def test_samples_reach_the_reference_limits(spark):
-    """The whole forms take min(limit, rows) of each category."""
+    """The samples take min(limit, rows) of each category."""
     x = pairs(spark, SF)
     n = {r["category"]: r["count"] for r in x.groupBy("category").count().collect()}
     grey = {r["category"]: r["count"] for r in x.where("target > 0.2 and target < 0.8").groupBy("category").count().collect()}
@@ -49,9 +49,9 @@ def test_samples_reach_the_reference_limits(spark):
         "grey_caps": sum(min(k, 2_000 if c in PROBLEM else 500) for c, k in grey.items()),
         "fast_val_head": sum(min(k, 3_000) for k in held.values()),
     }
-    got = {q: core.QUERIES[f"{q}_whole"](spark, SF).count() for q in want}
+    got = {q: core.QUERIES[f"{q}"](spark, SF).count() for q in want}
     assert got == want
-    parts = {r["part"]: r["n"] for r in core.QUERIES["stage_frames_whole"](spark, SF).collect()}
+    parts = {r["part"]: r["n"] for r in core.QUERIES["stage_frames"](spark, SF).collect()}
     assert parts["fast_val"] == parts["holdout"]
 
 
@@ -63,5 +63,5 @@ def test_entries_below_many_groups_are_read():
 
 
 def test_cache_holds_every_source(spark):
-    got = {r["source"]: r["n"] for r in core.QUERIES["partial_cache_whole"](spark, SF).collect()}
+    got = {r["source"]: r["n"] for r in core.QUERIES["partial_cache"](spark, SF).collect()}
     assert sum(got.values()) == pairs(spark, SF).count() and {"complaint", "unknown"} <= set(got)
